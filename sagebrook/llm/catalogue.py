@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .minhash import near_duplicates
+from . import decontaminate, embedding_dedup, minhash, mixing, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """A file of the public tokenizers that are installed beside Python."""
+    if importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return os.path.join("/opt/tokenizers", name)
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_warc_archive": op3_warc_archive,
+    "op5_token_counts": op5_token_counts,
+    "op6_source_mixing": op6_source_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_archive": warc.ROUND_TRIP_SQL,
+    "op10_decontamination": decontaminate.CONTAINED_SQL,
+}

@@ -177,6 +177,14 @@ def _units(ws: Workspace, groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return ws.save(one.union(many), "units")
 
 
+def candidate_groups(ws: Workspace, banded: DataFrame) -> DataFrame:
+    """(node, component): the groups that sharing a band makes of ``banded`` (node, bands). A
+    band's nodes are linked to its smallest one, which takes a row for each node, not each pair."""
+    rows = banded.select("node", F.explode("bands").alias("band"))
+    shared = ws.save(rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub").select("band", "hub"), "shared")
+    return components(ws, rows.join(small(shared), "band").where("node <> hub").select("node", "hub"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text).
 
@@ -194,11 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         sketches.where("n_shingles > 0").groupBy("digest", "n_shingles", "bands").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("node is not null"),
         "classes",
     )
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = ws.save(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub").select("band", "hub"), "shared")
-    stars = banded.join(shared, "band").where("node <> hub").select("node", "hub")
-    groups = components(ws, stars)
-
+    groups = candidate_groups(ws, classes)
     units = _units(ws, groups, classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")))
     found = docs.withColumnRenamed("doc_id", "node").join(small(units), "node").select("unit", "side", "node", "component", "text")
     members = found.mapInArrow(_members, "unit string, side int, node long, component long, shingles binary")
