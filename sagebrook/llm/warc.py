@@ -74,7 +74,7 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 def open_archive(path: str, write: bool = False):
     files, at = fs.FileSystem.from_uri(path)
-    return files.open_output_stream(at) if write else files.open_input_stream(at)
+    return files.open_output_stream(at, compression=None) if write else files.open_input_stream(at, compression=None)
 
 
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,7 +107,7 @@ def _writer(folder: str, trained: bytes):
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained)).compress
         files, at = fs.FileSystem.from_uri(part)
         n = size = 0
-        with files.open_output_stream(at) as out:
+        with files.open_output_stream(at, compression=None) as out:
             out.write(SKIPPABLE.to_bytes(4, "little") + len(trained).to_bytes(4, "little") + trained)
             for batch in batches:
                 columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")]
