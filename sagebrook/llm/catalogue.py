@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, minhash, mixing, token_counts, warc
+from . import decontaminate, embedding_dedup, minhash, mixing, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_warc_archive": op3_warc_archive,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op10_decontamination": op10_decontamination,

@@ -19,6 +19,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_KIND = np.full(256, 3, np.uint8)  # marks
+_KIND[_SPACE] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
 # Each byte gets a random odd-looking 64-bit value, so that a word's hash isn't linear in its bytes.
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = [np.uint64(x | 1) for x in np.random.default_rng(20240502).integers(1, 2**63, WIDTH, dtype=np.uint64)]
@@ -47,38 +51,62 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers(1 << 16)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and for n texts n+1 offsets into them."""
-    global _UP, _DOWN
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after the other, and for n texts n+1 offsets into them."""
     column = column.cast(pa.large_string())
     n = len(column)
     if n == 0 or column.null_count == n:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, n + 1, column.offset * 8)
     start = int(at[0])
     raw = np.frombuffer(data, np.uint8, int(at[-1]) - start, start) if data is not None else np.zeros(0, np.uint8)
     at = at - start
     if column.null_count:  # a null's bytes, if there are any, aren't text
-        raw, blank = raw.copy(), np.flatnonzero(np.asarray(column.is_null()))
-        for i in blank:
+        raw = raw.copy()
+        for i in np.flatnonzero(np.asarray(column.is_null())):
             raw[at[i] : at[i + 1]] = 0x20
+    return raw, at
+
+
+def _runs(kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of bytes of one kind within one text, but for kind 0."""
+    first = np.empty(len(kinds), bool)
+    first[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+    edges = at[1:-1]
+    first[edges[(edges > 0) & (edges < len(kinds))]] = True
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(kinds))
+    keep = kinds[begin] > 0
+    return begin[keep], end[keep]
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, A-Z lower-cased, and for n texts n+1 offsets."""
+    raw, at = _bytes(column)
+    if len(raw) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    begin, end = _runs((~_SPACE[raw]).view(np.uint8), at)
+    return _hashes(_LOWER[raw], begin, end), np.searchsorted(begin, at).astype(np.int64)
+
+
+def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of runs of letters, of digits and of marks, in their own case; bytes of characters
+    beyond ASCII count as letters."""
+    raw, at = _bytes(column)
+    if len(raw) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    begin, end = _runs(_KIND[raw], at)
+    return _hashes(raw, begin, end), np.searchsorted(begin, at).astype(np.int64)
+
+
+def _hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = len(raw)
-    if size == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    word = ~_SPACE[raw]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    edges = at[1:-1]  # a text's end also ends its last word
-    edges = edges[(edges > 0) & (edges < size)]
-    first[edges] = word[edges]
-    last[edges - 1] = word[edges - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     # Rolling hash in blocks of 2**16 bytes: the sum of value * BASE**(place in its block).
     block = len(_UP)
     sums = np.zeros(size + 1, np.uint64)
-    values = _BYTE[_LOWER[raw]]
+    values = _BYTE[raw]
     for a in range(0, size, block):
         b = min(size, a + block)
         np.cumsum(values[a:b] * _UP[: b - a], out=sums[a + 1 : b + 1])
@@ -95,7 +123,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), a, 2**64)
         out[i] = total % 2**64
     out ^= (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(out), np.searchsorted(begin, at).astype(np.int64)
+    return mix(out)
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
