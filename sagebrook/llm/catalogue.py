@@ -6,9 +6,10 @@ import importlib.util
 import os
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, quality, token_counts, warc
+from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark, _table(spark, sf_dir, "pages"))
 
@@ -68,11 +73,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_language": op7_language,
+    "op8_pii": op8_pii,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_archive": warc.ROUND_TRIP_SQL,
     "op10_decontamination": decontaminate.CONTAINED_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
