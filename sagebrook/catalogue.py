@@ -119,7 +119,7 @@ def fts_prefix_match(spark: SparkSession, d: str) -> DataFrame:
     return sparse.matches(_documents(spark, d), _asked(spark, d, 1, 2))
 
 
-_RANKED = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, doc_id AS id, round(hits * 0.1, 6) AS score FROM hit) s) r WHERE rank <= 30"
+_RANKED = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, doc_id AS id, round(hits * 0.1::DOUBLE, 6) AS score FROM hit) s) r WHERE rank <= 30"
 
 
 @query(_fts_sql(1, _RANKED))
@@ -162,8 +162,8 @@ _PREFIX = "left(trim(coalesce(text, ''), E' \\t\\n\\r\\x0b\\x0c'), 240)"
 
 @query(_fts_sql(1, f"""
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS kept_rank FROM (
-  SELECT query_id, h.doc_id AS id, round(hits * 0.1, 6) AS score,
-    row_number() OVER (PARTITION BY query_id, CASE WHEN {_PREFIX} = '' THEN h.doc_id::VARCHAR ELSE 'p' || {_PREFIX} END ORDER BY round(hits * 0.1, 6) DESC, h.doc_id) AS n
+  SELECT query_id, h.doc_id AS id, round(hits * 0.1::DOUBLE, 6) AS score,
+    row_number() OVER (PARTITION BY query_id, CASE WHEN {_PREFIX} = '' THEN h.doc_id::VARCHAR ELSE 'p' || {_PREFIX} END ORDER BY round(hits * 0.1::DOUBLE, 6) DESC, h.doc_id) AS n
   FROM hit h JOIN documents d USING (doc_id)) s WHERE n = 1
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30"""))
 def hybrid_rrf_single_sided(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +298,7 @@ def _found_chunks(chunks: DataFrame) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 3 = 0)
-SELECT DISTINCT f.conv_id AS asset_id, (f.turn + 1)::INT AS chunk_order, round(greatest(1.0::DOUBLE / (f.turn + 1), 0.95), 6) AS score
+SELECT DISTINCT f.conv_id AS asset_id, (f.turn + 1)::INT AS chunk_order, round(greatest(1.0::DOUBLE / (f.turn + 1), 0.95::DOUBLE), 6) AS score
 FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.turn + 1 WHERE (f.turn + 1) % 3 <> 0""")
 def continuation_chunk(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chat_chunks(spark, d)
@@ -309,7 +309,7 @@ def continuation_chunk(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT DISTINCT conv_id, turn, turn // 4 AS page FROM conversations),
 f AS (SELECT conv_id, page, max(1.0::DOUBLE / (turn + 1)) AS score FROM c WHERE turn % 3 = 0 GROUP BY ALL)
-SELECT c.conv_id AS asset_id, c.page::INT AS page, c.turn::INT AS chunk_order, round(greatest(f.score, 0.96), 6) AS score FROM c JOIN f USING (conv_id, page) WHERE c.turn % 3 <> 0""")
+SELECT c.conv_id AS asset_id, c.page::INT AS page, c.turn::INT AS chunk_order, round(greatest(f.score, 0.96::DOUBLE), 6) AS score FROM c JOIN f USING (conv_id, page) WHERE c.turn % 3 <> 0""")
 def page_siblings(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chat_chunks(spark, d).dropDuplicates(["asset_id", "chunk_order"])
     rows = enrich.page_siblings(_found_chunks(chunks), chunks)

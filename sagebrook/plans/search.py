@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import questions as Q
 from ..functions.text import cut_then_strip, focused, lexical_recall, question_language, source_label
@@ -63,7 +64,7 @@ def cross_encoded(rows: DataFrame, model: Reranker, *, chars: int = 1024, top: i
         part["model_score"] = model.scores(part["query"].iloc[0] or "", [(t or "").strip()[:chars] for t in part["text"]])
         return part.sort_values("model_score", ascending=False, kind="stable").head(top)
 
-    out = rows.groupBy("query_id").applyInPandas(run, rows.schema.add("model_score", "double"))
+    out = rows.groupBy("query_id").applyInPandas(run, StructType([*rows.schema.fields, StructField("model_score", DoubleType())]))
     at = Window.partitionBy("query_id").orderBy(F.desc("model_score"), F.asc("rank"))
     return out.withColumn("rank", F.row_number().over(at))
 
