@@ -51,7 +51,7 @@ def test_upsert_and_insert_absent(spark):
 def test_answering(spark):
     with_checkpoints(spark)
     texts = spark.createDataFrame([(1, "red apples grow"), (2, "green pears grow"), (3, "blue sea")], "doc_id long, text string")
-    model = HashEmbedder(16)
+    model = HashEmbedder(64)
     vectors = ingest.embedded(texts.toDF("chunk_id", "chunk_text"), model).select(F.col("chunk_id").alias("id"), "vector")
     asked = "green pears"
     queries = spark.createDataFrame([(7, model.embed([asked])[0], asked.split())], "query_id long, vector array<double>, terms array<string>")
