@@ -6,8 +6,10 @@ exchange mass at random, in words, until one of the two is certain to be in or o
 probability keeps its expectation and a source keeps its expected words exactly. In a source the
 documents are dealt by a hash into groups of some 32; a fold over each group leaves one fractional
 document at most, and these residuals are dealt into groups again, in a reduction tree, until one
-is left for each source. So a source misses its target by less than one document's words. All
-randomness is a hash of the documents' ids, so reruns agree. All of it is DataFrame functions.
+is left for each source, which is drawn. Documents above their source's median size come first; by
+what they miss, the probabilities of the smaller ones are shifted (in expectation by nothing), so
+that a source commonly misses its target by less than the words of one of its smaller documents.
+All randomness is a hash of the documents' ids, so reruns agree. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -68,6 +70,37 @@ def targets(ws: Workspace, sources: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", F.least(F.col("weight") * level, "most").alias("target"))
 
 
+def _settled(ws: Workspace, units: DataFrame, seed: int) -> DataFrame:
+    """(source, doc_id, size, rows, copies) of units (source, doc_id, size, rows, whole, p): the
+    reduction tree. The last unit of a source is in or out by its probability."""
+    whole = (F.col("whole") + F.col("p")).cast("long").alias("copies")
+    columns = ["source", "doc_id", "size", "rows"]
+    settled = F.col("p").isin(0.0, 1.0)
+    parts, level, open_now = [], seed, ws.save(units, "open")
+    while True:
+        counts = ws.save(open_now.groupBy("source").agg(F.count("*").alias("n")), "counts")
+        if (counts.agg(F.max("n")).first()[0] or 0) <= 1:
+            break
+        level += 1
+        lot = F.xxhash64(F.lit(level), "doc_id", "size")
+        counted = open_now.join(small(counts.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        grouped = counted.groupBy("source", F.pmod(lot, F.ceil(F.col("n") / GROUP)).alias("lot")).agg(
+            F.sort_array(F.collect_list(F.struct(lot.alias("order"), F.struct("doc_id", "size", "rows", "whole", "p").alias("unit")))).alias("units")
+        )
+        start = f"named_struct('held', CAST(NULL AS {_UNIT}), 'done', CAST(array() AS array<{_UNIT}>))"
+        folded = F.expr(f"aggregate(transform(units, u -> u.unit), {start}, (s, x) -> {_STEP.format(seed=level)})")
+        folded = ws.save(grouped.select("source", folded.alias("fold")).select("source", "fold.held", "fold.done"), "folded")
+        parts.append(folded.select("source", F.inline("done")).select(*columns, whole))
+        held = folded.select("source", "held.*")
+        parts.append(held.where(settled).select(*columns, whole))
+        open_now = ws.save(held.where(~settled), "open")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "doc_id", "size"), 11) / F.lit(float(1 << 53))
+    out = open_now.select(*columns, (F.col("whole") + (draw < F.col("p")).cast("long")).alias("copies"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, size long, source_size long, target double, taken long) for each row of ``docs``
     (doc_id, text, source): the words of the text, those of its source, its source's target, and
@@ -90,30 +123,22 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     units = units.select("source", "doc_id", "size", "rows", F.floor("wanted").alias("whole"), (F.col("wanted") - F.floor("wanted")).alias("p"))
 
     certain = units.where("p = 0").select("source", "doc_id", "size", "rows", F.col("whole").alias("copies"))
-    open_now = ws.save(units.where("p > 0"), "open")
-    parts = [certain]
-    level = 0
-    while True:
-        counts = ws.save(open_now.groupBy("source").agg(F.count("*").alias("n")), "counts")
-        most = counts.agg(F.max("n")).first()[0] or 0
-        if most <= 1:
-            break
-        level += 1
-        lot = F.xxhash64(F.lit(SEED), F.lit(level), "doc_id", "size")
-        counted = open_now.join(small(counts.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        grouped = counted.groupBy("source", F.pmod(lot, F.ceil(F.col("n") / GROUP)).alias("lot")).agg(
-            F.sort_array(F.collect_list(F.struct(lot.alias("order"), F.struct("doc_id", "size", "rows", "whole", "p").alias("unit")))).alias("units")
-        )
-        start = f"named_struct('held', CAST(NULL AS {_UNIT}), 'done', CAST(array() AS array<{_UNIT}>))"
-        folded = F.expr(f"aggregate(transform(units, u -> u.unit), {start}, (s, x) -> {_STEP.format(seed=SEED + level)})")
-        folded = ws.save(grouped.select("source", folded.alias("fold")).select("source", "fold.held", "fold.done"), "folded")
-        parts.append(folded.select("source", F.inline("done")).select("source", "doc_id", "size", "rows", (F.col("whole") + F.col("p")).cast("long").alias("copies")))
-        settled = F.col("p").isin(0.0, 1.0)
-        held = folded.select("source", "held.*")
-        parts.append(held.where(settled).select("source", "doc_id", "size", "rows", (F.col("whole") + F.col("p")).cast("long").alias("copies")))
-        open_now = ws.save(held.where(~settled), "open")
-    # The last residual is taken if that brings its source nearer to the target.
-    parts.append(open_now.select("source", "doc_id", "size", "rows", (F.col("whole") + (F.col("p") >= 0.5).cast("long")).alias("copies")))
+    # Documents of more than the median size first; what the last of them misses the target by is
+    # made up for by the probabilities of the smaller ones, whose last one then misses little.
+    open_now = units.where("p > 0")
+    median = open_now.groupBy(F.col("source").alias("of")).agg(F.percentile_approx("size", 0.5).alias("median"))
+    median = small(ws.save(median, "median"))
+    open_now = ws.save(open_now.join(median, F.col("source").eqNullSafe(F.col("of"))).withColumn("large", F.col("size") > F.col("median")).drop("of", "median"), "open")
+    large = _settled(ws, open_now.where("large").drop("large"), SEED)
+    large = ws.save(large, "large")
+    missed = open_now.where("large").groupBy("source").agg(F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("wished"))
+    missed = missed.join(large.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("copies") * F.col("size")).alias("got")), F.col("source").eqNullSafe(F.col("of")))
+    room = open_now.where("not large").groupBy(F.col("source").alias("at")).agg(F.sum("size").alias("room"))
+    shift = missed.join(room, F.col("source").eqNullSafe(F.col("at"))).select(F.col("source").alias("of"), ((F.col("wished") - F.col("got")) / F.col("room")).alias("shift"))
+    shift = small(ws.save(shift, "shift"))
+    less = open_now.where("not large").join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
+    less = less.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce("shift", F.lit(0.0)))))
+    parts = [certain, large, _settled(ws, less.drop("large", "of", "shift"), SEED + 100)]
 
     taken = parts[0]
     for part in parts[1:]:
