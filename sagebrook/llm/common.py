@@ -58,6 +58,17 @@ def small(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(saved) if saved.count() <= rows else saved
 
 
+def least_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of a saved table of narrow columns whose keys have the least hashes. Hashes are
+    even over their range, so a bound on them leaves some two times n rows to be sorted, however
+    many there are; if it should leave fewer than n, these are all that is taken."""
+    total = df.count()
+    hashed = F.shiftrightunsigned(F.xxhash64(key), 1)
+    if total > 4 * n:
+        df = df.where(hashed < int(2**63 * (2 * n / total)))
+    return df.orderBy(hashed, key).limit(n)
+
+
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (two columns of one orderable type), where
     component is the smallest node that can be reached.

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small
+from .common import Workspace, least_hashes, small
 
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000
@@ -138,7 +138,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, ws: Works
     copied = ws.save(copied.select("digest", "n", "first"), "copied")
     # All records of equal pages refer to the largest page_id; a row repeated under that id stays a response.
     revisits = ws.save(sizes.join(small(copied), ["digest", "n"]).where("page_id <> first").select("page_id", F.col("first").alias("refers_to"), "digest").distinct(), "revisits")
-    sample = pages.withColumn("order", F.xxhash64("page_id")).orderBy("order", "page_id").limit(DICTIONARY_PAGES).select("page_id", "url", F.substring("html", 1, 20_000).alias("html"))
+    chosen = ws.save(least_hashes(sizes.select("page_id"), "page_id", DICTIONARY_PAGES), "sample")
+    sample = pages.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min(F.struct("url", F.substring("html", 1, 20_000).alias("html"))).alias("page"))
+    sample = sample.select("page_id", "page.*").orderBy("page_id")
     samples = [record("response", r.page_id, r.url or "", hashlib.sha1(r.html.encode()).hexdigest(), r.html.encode(), None) for r in sample.collect()]
     trained = dictionary(samples)
 
