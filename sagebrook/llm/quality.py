@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small
+from .common import Workspace, least_hashes
 from .shingles import token_hashes
 
 BUCKETS = 2048
@@ -164,18 +164,20 @@ def _share(doc_id: str, parts: int) -> Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Word vectors over all ``docs``, and the network fitted on labelled ones; ``labels`` is
     (doc_id, quality). Rows with crc32(doc_id) mod 5 = 0 are never learnt from. A doc_id with
-    several labels has the rounded mean; null labels don't count."""
+    several labels has the rounded mean, one with several texts is learnt from the least; null
+    labels don't count."""
     ws = Workspace(spark, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vectors = word_vectors(docs)
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     known = known.where(_share("doc_id", 5) != 0)
-    known = ws.save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
+    known = ws.save(known, "known")
+    known = ws.save(least_hashes(known, "doc_id", sample), "labels")
     held = spark.sparkContext.broadcast(vectors)
-    rows = docs.where(_share("doc_id", 5) != 0).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.where(_share("doc_id", 5) != 0).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     made = rows.mapInArrow(_per_text(lambda c: features(c, held.value), pa.list_(pa.float32()), "features"), "doc_id long, quality int, features array<float>")
     made = ws.save(made, "features")
-    table = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("features")).limit(sample).toArrow()
+    table = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # ``sample`` rows at most
     x = np.array(table["features"].to_pylist(), np.float32).reshape(-1, FEATURES)
     y = table["quality"].to_numpy().astype(int)
     aside = np.array([i % 5 == 0 for i in range(len(y))], bool)
