@@ -80,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash.NEAR_DUPLICATES_SQL,
+    "op2_embedding_dedup": embedding_dedup.NEAR_DUPLICATES_SQL,
     "op3_warc_archive": warc.ROUND_TRIP_SQL,
     "op10_decontamination": decontaminate.CONTAINED_SQL,
 }

@@ -218,3 +218,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+NEAR_DUPLICATES_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM split
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(g) AS n FROM split LEFT JOIN grams USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS (
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 75 * (s.n + t.n - c)
+), links AS MATERIALIZED (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r
+), least AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""
