@@ -1,13 +1,14 @@
 """Benchmark decontamination: which documents contain a benchmark item.
 
 A size-partitioned MinHash containment search. Items are partitioned by the logarithm of their
-number of shingles; a document can only hold items of partitions that are no larger than itself.
-Under each of COORDINATES hash permutations, an item's MinHash coordinate is the shingle with the
-least value; the chance that a document holds this shingle is exactly the share of the item's
-shingles that the document holds. So the documents' shingles are looked up in the items'
-coordinates, whose number doesn't depend on the documents' lengths, and a document that holds at
-least HITS of an item's coordinates is a candidate. At a containment of 0.75 an item is missed with
-the chance that a binomial (24, 0.75) variable stays under 6, which is 8e-9.
+number of shingles. In the partitions below 2**WHOLE shingles, all of an item's shingles are its
+coordinates. In each larger one an item has COORDINATES of them: under each of so many hash
+permutations the shingle with the least value. The chance that a document holds such a shingle is
+exactly the share of the item's shingles that the document holds, however long it is. So the
+documents' shingles are looked up in the items' coordinates. A document is a candidate if it is
+large enough to hold so much of the item, and has three quarters of its coordinates in a partition
+of the first kind, or HITS of them in one of the second: there, at a containment of 0.75, an item
+is missed with the chance that a binomial (24, 0.75) variable stays under 6, which is 8e-9.
 
 Candidates are then confirmed by exact containment: of the item's distinct shingles, at least 75 of
 100 are in the whole document. All of it is DataFrame functions.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, small
 
 WIDTH = 5
-COORDINATES, HITS = 24, 6
+WHOLE, COORDINATES, HITS = 4, 24, 6
 PERCENT = 75
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -63,17 +64,18 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame) -> D
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     sized = ws.save(items.join(sizes, "item_id").withColumn("partition", F.floor(F.log2("n_item")).cast("int")), "sized")
 
+    entire = sized.where(F.col("partition") < WHOLE).select("item_id", "n_item", "shingle", F.lit(1).cast("long").alias("weight"), F.ceil(F.col("n_item") * PERCENT / 100).cast("int").alias("needed"))
     coordinate = F.explode(F.sequence(F.lit(1), F.lit(COORDINATES)))
-    least = sized.withColumn("k", coordinate).groupBy("partition", "item_id", "n_item", "k").agg(F.min_by("shingle", F.xxhash64("k", "shingle")).alias("shingle"))
-    sketch = least.groupBy("partition", "item_id", "n_item", "shingle").agg(F.count("*").alias("weight"))
-    sketch = ws.save(sketch, "sketch")
+    larger = sized.where(F.col("partition") >= WHOLE).withColumn("k", coordinate)
+    least = larger.groupBy("item_id", "n_item", "k").agg(F.min_by("shingle", F.xxhash64("k", "shingle")).alias("shingle"))
+    least = least.groupBy("item_id", "n_item", "shingle").agg(F.count("*").alias("weight")).withColumn("needed", F.lit(HITS))
+    sketch = ws.save(entire.unionByName(least), "sketch")
 
-    # ceil(log2) of what a document needs: an item's size times 0.75 is above its partition's half.
     bare = docs.select("doc_id", shingles(F.col("text")).alias("all"))
     rows = bare.where(F.size("all") > 0).select("doc_id", F.size("all").alias("n_doc"), F.explode("all").alias("shingle"))
     hits = rows.join(small(sketch), "shingle").where(F.col("n_doc") * 100 >= F.col("n_item") * PERCENT)
-    hits = hits.groupBy("doc_id", "item_id", "shingle").agg(F.max("weight").alias("weight"))
-    likely = hits.groupBy("doc_id", "item_id").agg(F.sum("weight").alias("hits")).where(F.col("hits") >= HITS)
+    hits = hits.groupBy("doc_id", "item_id", "needed", "shingle").agg(F.max("weight").alias("weight"))
+    likely = hits.groupBy("doc_id", "item_id", "needed").agg(F.sum("weight").alias("hits")).where(F.col("hits") >= F.col("needed"))
     likely = ws.save(likely.select("doc_id", "item_id"), "likely")
 
     wanted = ws.save(likely.select("doc_id").distinct(), "wanted")
