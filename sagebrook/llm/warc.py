@@ -8,8 +8,8 @@ payloads of the least hashes of page_id, which is the same whenever the same pag
 Payloads of REVISIT_BYTES or more that occur more than once are stored once, in the record of the
 largest page_id; the others become revisit records that refer to it. Archives are written by the
 executors straight to the given folder, each in one task, under a temporary name until it is whole.
-They hold some ARCHIVE_BYTES of payload each. Names come from the rows' hashes, and the manifest
-names only what a finished task has written, so a repeated task does no harm.
+They hold some ARCHIVE_BYTES of payload each. The manifest names only what a finished task has
+written, so a repeated task does no harm.
 """
 
 from __future__ import annotations
@@ -72,9 +72,9 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
 
 
-def open_archive(path: str, write: bool = False):
+def open_archive(path: str):
     files, at = fs.FileSystem.from_uri(path)
-    return files.open_output_stream(at, compression=None) if write else files.open_input_stream(at, compression=None)
+    return files.open_input_stream(at, compression=None)
 
 
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,9 +145,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, ws: Works
     trained = dictionary(samples)
 
     archives = max(1, -(-((total[0] or 0) + 500 * total[1]) // ARCHIVE_BYTES))
-    rows = pages.withColumn("digest", F.when(length >= REVISIT_BYTES, F.sha1(F.encode("html", "utf-8"))))
+    # The place of a row in its file parts even repeated rows; a task that runs again sees the same.
+    place = F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(archives))
+    rows = pages.withColumn("archive", place).withColumn("digest", F.when(length >= REVISIT_BYTES, F.sha1(F.encode("html", "utf-8"))))
     rows = rows.join(small(revisits), ["page_id", "digest"], "left").drop("digest")
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)))
     return ws.save(rows.groupBy("archive").applyInArrow(_writer(folder, trained), "path string, records long, bytes long"), "manifest")
 
 
