@@ -3,7 +3,9 @@
 Training counts the words of all labelled documents for each language, and the n-grams of these
 words with their edges marked. The model keeps what makes up at least RARE of its language's words,
 or n-grams of one length: at most 1 / RARE entries for each language and length, whatever the
-corpus's size. A known word adds its log frequency in each language to a text's score; an unseen
+corpus's size. Every label with a word is a language, however rare it is beside the others. Up to
+LANGS languages and ENTRIES entries go to the workers as one table; beyond that the same scores come
+from joins. A known word adds its log frequency in each language to a text's score; an unseen
 word is scored by the mean over its longest n-grams of which any is known, from MOST characters
 down to one.
 """
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, small
 
 MOST = 4
 RARE = 1e-5
-#: A label of fewer of all training words than this isn't a language of the model, which bounds it.
-LEAST_SHARE = 1e-3
+#: Log frequency of what a language of the model doesn't have.
+FLOOR = float(np.log(RARE / 10))
+#: Languages, entries, and entries times languages, up to which a worker holds the model.
+LANGS, ENTRIES, CELLS = 64, 1_000_000, 24_000_000
 UNKNOWN = "und"
 #: Entries that a Python worker holds before it passes counts on, or starts its memory anew.
 HELD = 300_000
@@ -75,6 +79,29 @@ def _count_grams(n: int):
     return run
 
 
+def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, words, word, times) for the distinct words of each (row, text) that has any."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            rows, ns, found, times = [], [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of = Counter(words(text))
+                rows += [row] * len(of)
+                ns += [of.total()] * len(of)
+                found += of.keys()
+                times += of.values()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ns, pa.int64()), pa.array(found, pa.string()), pa.array(times, pa.int64())], names=["row", "words", "word", "times"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n, gram) for each word itself, as length 0, and all its n-grams."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            made = [(w, n, g) for w in whole.column(0).slice(start, 4096).to_pylist() for n in range(MOST + 1) for g in (grams(w, n) if n else [w])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int32()), pa.array([x[2] for x in made], pa.string())], names=["word", "n", "gram"])
+
+
 class Model:
     """Log frequencies by language of known words (length 0) and n-grams. Words that have been seen
     keep their scores, as rows of a table that grows up to HELD of them and then begins anew."""
@@ -87,7 +114,7 @@ class Model:
             if gram not in at[length]:
                 at[length][gram], n = n, n + 1
         self.at = at
-        self.logs = np.full((n, len(langs)), np.log(RARE / 10), np.float32)
+        self.logs = np.full((n, len(langs)), FLOOR, np.float32)
         for lang, length, gram, log in rows:
             self.logs[at[length][gram], place[lang]] = log
         self.seen: dict[str, int] = {}
@@ -144,10 +171,9 @@ class Model:
         return out
 
 
-def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """Learn from rows of ``docs`` (text, lang) with a lang. Ties between languages go to the first
-    in order of code points."""
-    ws = Workspace(spark, "language")
+def train(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Learn from rows of ``docs`` (text, lang) with a lang: the languages (lang), and the entries
+    of the model (lang, n, gram, log)."""
     schema = "lang string, n int, gram string, count long"
 
     def summed(parts: DataFrame) -> DataFrame:
@@ -158,24 +184,63 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     for n in range(1, MOST + 1):
         counts = counts.unionByName(summed(own.mapInArrow(_count_grams(n), schema)))
     totals = ws.save(counts.groupBy("lang", "n").agg(F.sum("count").alias("total")), "totals")
-    every = totals.where("n = 0").agg(F.sum("total")).first()[0] or 0
-    langs = sorted(r.lang for r in totals.where((F.col("n") == 0) & (F.col("total") >= LEAST_SHARE * every)).select("lang").collect())
-    kept = counts.join(F.broadcast(totals.where(F.col("lang").isin(langs))), ["lang", "n"]).where(F.col("count") >= RARE * F.col("total"))
-    table = kept.select("lang", "n", "gram", F.log(F.col("count") / F.col("total")).alias("log")).toArrow()
-    return Model(langs, list(zip(*(table[c].to_pylist() for c in ("lang", "n", "gram", "log")), strict=True)))
+    kept = counts.join(small(totals), ["lang", "n"]).where(F.col("count") >= RARE * F.col("total"))
+    return totals.where("n = 0").select("lang"), ws.save(kept.select("lang", "n", "gram", F.log(F.col("count") / F.col("total")).alias("log")), "entries")
+
+
+def held_model(langs: DataFrame, entries: DataFrame) -> Model | None:
+    """The model as one table, or None if that would be too large. Ties between languages go to the
+    first in order of code points."""
+    n = langs.count()
+    if n > LANGS or (rows := entries.count()) > ENTRIES or (rows * n > CELLS and entries.select("n", "gram").distinct().count() * n > CELLS):
+        return None
+    table = entries.toArrow()
+    return Model(sorted(r.lang for r in langs.collect()), list(zip(*(table[c].to_pylist() for c in ("lang", "n", "gram", "log")), strict=True)))
+
+
+def joined(ws: Workspace, langs: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """What Model.predict() says of each of ``rows`` (doc_id, held_out, text), by joins: no process
+    holds the model. Scores count from FLOOR, which a language has for what it doesn't know."""
+    rows = ws.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = ws.save(rows.select("row", "text").mapInArrow(_row_words, "row long, words long, word string, times long"), "words")
+    parts = found.select("word").distinct().mapInArrow(_parts, "word string, n int, gram string")
+    known = ws.save(parts.join(entries.select("n", "gram").distinct(), ["n", "gram"], "left_semi"), "known")
+    # The word itself is best, then the longest n-grams.
+    level = known.groupBy("word").agg(F.coalesce(F.min(F.when(F.col("n") == 0, 0)), F.max("n")).alias("n"))
+    used = known.join(level, ["word", "n"])
+    n_used = used.groupBy("word").agg(F.count("*").alias("used"))
+    adds = used.join(entries, ["n", "gram"]).groupBy("word", "lang").agg(F.sum(F.col("log") - FLOOR).alias("above"))
+    adds = ws.save(adds.join(n_used, "word").select("word", "lang", (F.col("above") / F.col("used")).alias("above")), "adds")
+    sums = ws.save(found.join(adds, "word").groupBy("row", "lang").agg(F.sum(F.col("times") * F.col("above")).alias("total")), "sums")
+    best = ws.save(sums.groupBy("row").agg(F.min(F.struct((-F.col("total")).alias("less"), "lang")).alias("best"), F.count("*").alias("scored")), "best")
+    lengths = found.select("row", "words").distinct()
+    best = lengths.join(best, "row", "left").select("row", "words", F.coalesce("best.lang", F.lit(langs.agg(F.min("lang")).first()[0])).alias("lang_pred"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("most"), F.coalesce("scored", F.lit(0)).alias("scored"))
+    best = ws.save(best, "best")
+    odds = sums.join(best, "row").groupBy("row").agg(F.sum(F.exp((F.col("total") - F.col("most")) / F.sqrt("words"))).alias("odds"))
+    rest = (langs.count() - F.col("scored")) * F.exp(-F.col("most") / F.sqrt("words"))
+    scored = best.join(odds, "row", "left").select("row", "lang_pred", (1 / (F.coalesce("odds", F.lit(0.0)) + rest)).alias("score"))
+    out = rows.select("row", "doc_id", "held_out").join(scored, "row", "left")
+    return out.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs`` (doc_id, text, lang).
 
-    Rows with crc32(doc_id) mod 3 = 1 are held out: never learnt from. lang_pred is a learnt label,
+    Rows with crc32(doc_id) mod 3 = 1 are held out: never learnt from. lang_pred is a learnt label, which every lang of a
+    learnt row with a word is, however rare,
     or ``und`` with score 0 for null texts, texts without a letter, and if there was nothing to
     learn from. A null doc_id isn't held out and isn't learnt from. Repeated rows each get their
     row; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     part = F.crc32(F.col("doc_id").cast("string")) % 3
-    model = spark.sparkContext.broadcast(train(spark, docs.where(part != 1)))
+    ws = Workspace(spark, "language")
+    langs, entries = train(ws, docs.where(part != 1))
+    rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
+    held = held_model(langs, entries)
+    if held is None:
+        return joined(ws, langs, entries, rows)
+    model = spark.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -185,5 +250,4 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -68,6 +68,33 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(spark, spark.createDataFrame([(1, "abc", None, "s", 0)], DOC)).collect()} == {"und"}
 
 
+def test_rare_language_is_learnt(spark):
+    """A label at 0.01 % of the words."""
+    rows = [(i, "kako lumi tarra " * 10_000, "aa", "s", 0) for i in range(20)] + [(100 + i, "schwitz quork brunft", "bb", "s", 0) for i in range(20)]
+    found = language.identify(spark, spark.createDataFrame(rows, DOC)).collect()
+    assert all(r.lang_pred == ("aa" if r.doc_id < 100 else "bb") for r in found)
+    assert 0 < sum(r.held_out for r in found if r.doc_id >= 100) < 20
+
+
+def test_languages_by_joins(spark, monkeypatch):
+    """A model that is too large for the workers gives the same rows."""
+    rng = random.Random(5)
+    letters = {k: rng.sample("abcdefghijklmnopqrst", 8) for k in ("aa", "bb", "cc", "dd", "ee")}
+    texts = [(k, " ".join("".join(rng.choices(of, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 25)))) for k, of in letters.items() for _ in range(40)]
+    rows = [(i, t, k, "s", 0) for i, (k, t) in enumerate(texts)] + [(300, None, "aa", "s", 0), (301, "12 !", "bb", "s", 0), (302, "ß øøø", None, "s", 0), (3, texts[3][1], "aa", "s", 0), (None, "abc", "bb", "s", 0)]
+    docs = spark.createDataFrame(rows, DOC)
+
+    def found():
+        return sorted(((r.doc_id or -1, r.held_out, r.lang_pred, r.score) for r in language.identify(spark, docs).collect()))
+
+    held = found()
+    monkeypatch.setattr(language, "LANGS", 0)
+    joined = found()
+    assert len(joined) == len(rows) and [x[:3] for x in joined] == [x[:3] for x in held]
+    assert [x[3] for x in joined] == pytest.approx([x[3] for x in held], abs=1e-4)
+    assert language.identify(spark, docs.limit(0)).collect() == []
+
+
 def test_language_on_the_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     rows = language.identify(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
