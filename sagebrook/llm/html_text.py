@@ -4,6 +4,8 @@ A page is cut at block-level tags into a flat list of text blocks. A block's fea
 number of words and its link density, the same two of its neighbours, and three marks of where it
 stands: within a part that pages use for other things than their text (menus, footers, asides,
 forms, or a class or id that says so), within an article or main part, and in a page that has one.
+What holds the page's text is no such part: a form around an article or most of the words, or an
+element that has such a class or id and all articles.
 The tree is grown, when it is first needed in a process, from the labelled blocks in TABLE.
 """
 
@@ -13,6 +15,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 OTHER = frozenset("nav aside footer form menu dialog button fieldset".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words in a class or id, and starts of such words, that mark other parts of a page.
+#: Class names and ids that mark other parts of a page, as words between ``-`` and ``_``.
 OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|comment\w*|respond|replies|disqus\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*"
-    r"|footer|foot|header|masthead|topbar|cookie\w*|consent\w*|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|sign-?up|login|share|sharing|social\w*"
-    r"|related\w*|recommend\w*|widget\w*|pagination|pager|search\w*|form|toolbar|skip\w*|legal|copyright|disclaimer|gdpr|paywall)(?=$|[\s_-])"
+    r"(?:^|[_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|comment\w*|respond|replies|disqus\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*"
+    r"|footer|foot|masthead|topbar|cookie\w*|consent\w*|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|sign-?up|login|share|sharing|social\w*"
+    r"|related\w*|recommend\w*|widget\w*|pagination|pager|search\w*|toolbar|skip\w*|legal|copyright|disclaimer|gdpr|paywall)(?=$|[_-])"
+    r"|^(?:(?:site|main|top|global|page|blog|web)[_-])?header(?=$|[_-])|^(?:(?:contact|feedback|e-?mail|order|checkout|registration)[_-])?form$"
 )
+#: Such names say how a page is laid out or what state it is in.
+LAYOUT_NAMES = re.compile(r"(?:^|[_-])(?:has|no|not|non|with|without|hide|hides|show|shows|layout|template|open|opened|closed|enabled|disabled|active|inactive|allowed|free|less)(?=$|[_-])")
+#: Elements that hold a page's text, whatever their classes say.
+WHOLE = frozenset("html body main article".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 
 #: Pages of labelled blocks: (words, words in links, in another part, in an article, is main text).
 TABLE: list[list[tuple[int, int, int, int, int]]] = [
@@ -71,6 +79,9 @@ TABLE: list[list[tuple[int, int, int, int, int]]] = [
     [(9, 0, 0, 0, 1), (14, 0, 0, 0, 1), (16, 1, 0, 0, 1), (3, 3, 0, 0, 0)],
     [(2, 2, 0, 0, 0), (400, 0, 0, 0, 1), (3, 0, 0, 0, 1), (500, 4, 0, 0, 1), (20, 0, 0, 0, 1), (600, 0, 0, 0, 1), (4, 0, 0, 0, 1), (4, 4, 0, 0, 0)],
     [(90, 0, 1, 0, 0), (300, 0, 0, 0, 1), (2, 0, 0, 0, 1), (250, 0, 0, 0, 1), (200, 0, 1, 0, 0), (5, 0, 1, 0, 0), (30, 29, 0, 0, 0)],
+    # pages within a form, or with classes that tell their layout
+    [(2, 2, 1, 0, 0), (4, 0, 0, 1, 1), (30, 0, 0, 1, 1), (45, 0, 0, 1, 1), (6, 0, 1, 0, 0)],
+    [(2, 2, 1, 0, 0), (4, 0, 0, 0, 1), (45, 0, 0, 0, 1), (60, 0, 0, 0, 1), (3, 0, 1, 0, 0)],
 ]
 
 
@@ -135,26 +146,55 @@ def classify(x: np.ndarray, node=None) -> np.ndarray:
     return out
 
 
-def _marks_other(name: str, attributes: str, inside: bool) -> bool:
-    if name in OTHER or name == "header" and not inside:
-        return True
-    if not attributes:
-        return False
-    for key, *values in _NAMED.findall(attributes):
+class Mark:
+    """An element that may be another part of the page: always, if it is no form and has no class or
+    id that could say something else of what it holds. start and end: of its blocks."""
+
+    __slots__ = ("kind", "parent", "start", "end", "articles", "inside", "held")
+
+    def __init__(self, kind: str, parent: Mark | None, start: int, articles: int, inside: bool):
+        self.kind, self.parent, self.start, self.articles, self.inside = kind, parent, start, articles, inside
+        self.end = self.held = None
+
+    def close(self, end: int, articles: int) -> None:
+        self.end, self.held = end, articles - self.articles
+
+    def stands(self, sums: list[int], articles: int) -> bool:
+        if self.kind == "form":
+            return not self.held and 2 * (sums[self.end] - sums[self.start]) <= sums[-1]
+        return self.kind == "part" or self.inside or not self.held or self.held < articles
+
+
+def _names_other(names: str) -> bool:
+    return any(OTHER_NAMES.search(x) and not LAYOUT_NAMES.search(x) for x in names.split())
+
+
+def _marks_other(name: str, attributes: str, inside: bool) -> str:
+    """How an element is marked as another part: as a part, a form, by a name, or not at all."""
+    if name != "form" and name in OTHER or name == "header" and not inside:
+        return "part"
+    kind = "form" if name == "form" else ""
+    if not attributes or name in ("html", "head", "body"):
+        return kind
+    for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in OTHER_ROLES or key in ("class", "id") and OTHER_NAMES.search(value):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in OTHER_ROLES and not (name == "form" and value == "form"):
+            return "part"
+        if key in ("class", "id") and name not in WHOLE and _names_other(html.unescape(value)):
+            kind = kind or "name"
+    return kind
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page. Broken markup is fine: a closing tag closes what stands open
     within its element, and none closes what isn't open."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # of open elements that matter: name, other, inside
+    stack: list[tuple[str, Mark | None, bool]] = []  # of open elements that matter: name, mark, inside
+    marks: list[Mark] = []
+    of: list[Mark | None] = []  # of the blocks
     parts: list[str] = []
-    linked = links = raw = 0
-    other = inside = False
+    linked = links = raw = articles = 0
+    other, inside = None, False
     at, n = 0, len(page)
 
     def add(text: str) -> None:
@@ -170,7 +210,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, linked, other, inside))
+                out.append(Block(text, linked, False, inside))
+                of.append(other)
         linked = 0
 
     while at < n:
@@ -195,7 +236,10 @@ def blocks_of(page: str) -> list[Block]:
                 while stack.pop()[0] != name:
                     pass
                 raw = sum(x[0] in RAW for x in stack)
-                other, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                before, (other, inside) = other, (stack[-1][1], stack[-1][2]) if stack else (None, False)
+                while before is not other and before is not None:
+                    before.close(len(out), articles)
+                    before = before.parent
                 links = 0
             continue
         if name in UNPARSED and not attributes.endswith("/"):
@@ -208,11 +252,23 @@ def blocks_of(page: str) -> list[Block]:
             if name == "body" or name in ("article", "main") and stack and stack[-1][0] == "head":
                 stack = [x for x in stack if x[0] != "head"]
                 raw = sum(x[0] in RAW for x in stack)
-            inside = inside or name in ("article", "main")
-            other = other or _marks_other(name, attributes, inside)
+            within, inside = inside, inside or name in ("article", "main")
+            if kind := _marks_other(name, attributes, inside):
+                other = Mark(kind, other, len(out), articles, within)
+                marks.append(other)
+            articles += name in ("article", "main")
             stack.append((name, other, inside))
             raw += name in RAW
     flush()
+    sums = [0, *accumulate(b.words for b in out)]
+    for mark in marks:
+        if mark.end is None:
+            mark.close(len(out), articles)
+    stand: dict[Mark | None, bool] = {None: False}
+    for mark in marks:  # parents come first
+        stand[mark] = stand[mark.parent] or mark.stands(sums, articles)
+    for block, mark in zip(out, of, strict=True):
+        block.other = stand[mark]
     return out
 
 

@@ -173,6 +173,33 @@ def test_main_text_without_an_article():
     assert html_text.main_text(page) == f"A title here\n\n{text.strip()}\n\n{text.strip()}"
 
 
+TEXT = "A sentence that is long enough to be text. " * 5
+BODY = f"<h1>A title here</h1><p>{TEXT}</p><p>{TEXT}</p>"
+MAIN = f"A title here\n\n{TEXT.strip()}\n\n{TEXT.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<body class='{x}'><nav><a href=/>Home</a></nav><article>{BODY}</article><footer>me</footer>" for x in ("no-sidebar", "has-sidebar", "comments-open post", "sidebar", "search-results")),
+        *(f"<body><nav><a href=/>Home</a></nav><div {x}><article>{BODY}</article></div>" for x in ("style='overflow:hidden'", "data-id='search'", "title='no id=menu here'", "class='has-sidebar'", "class='long-form'", "class='entry-header'", "class='sidebar-right'", "data-hidden=1")),
+        *(f"<body><article {x}>{BODY}</article>" for x in ("title='The hidden valley'", "class='post comments-open'", "id='search'", 'title=\'say "hidden\'')),
+        f"<body><form id=aspnetForm action=x><nav><a href=/>Home</a></nav><article>{BODY}</article><div class=search>Find it</div></form>",
+        f"<body><form><nav><a href=/>Home</a></nav><div>{BODY}</div><footer>me</footer></form>",
+        f"<article><header class='entry-header'><h1>A title here</h1></header><p>{TEXT}</p><p>{TEXT}</p></article>",
+    ],
+)
+def test_main_text_within_loose_names(page):
+    assert html_text.main_text(page) == MAIN
+
+
+@pytest.mark.parametrize("part", ["<div hidden>", "<div class=x HIDDEN=''>", "<div class='a sidebar'>", "<div id=cookie-notice>", "<div class=site-header>", "<div role=banner>", "<div aria-hidden=true>", "<form>", "<div class='no-js menu'>", "<div class=contact-form>"])
+def test_other_parts_stay_out(part):
+    assert html_text.main_text("<div class=menu>" * 5_000 + "x") == ""
+    tag = part[1:].split()[0].rstrip(">")
+    assert html_text.main_text(f"<body>{part}Buy or read some other thing</{tag}><article>{BODY}</article><div id=comments><article class=comment><p>Nice one!</p></article></div>") == MAIN
+
+
 def test_tree_knows_its_table():
     right = [bool(g) == bool(b[4]) for page in html_text.TABLE for g, b in zip(html_text.classify(html_text.table_features([b[:4] for b in page])), page, strict=True)]
     assert np.mean(right) >= 0.95
