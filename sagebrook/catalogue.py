@@ -86,7 +86,8 @@ def knn_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.InvertedFile(corpus).nearest(corpus, queries, S.candidates, probes=24)
 
 
-# Full text. The words of a document whose id is divisible by 50 are looked for in all.
+# Full text. The words of a document whose id is divisible by 50 are looked for in all documents: all
+# of its words where there is no SQL, else the first one or two, which is what the SQL says.
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 _ASKED = f"SELECT doc_id AS query_id, {_TOKENS} AS w FROM documents WHERE doc_id % {EVERY} = 0"
@@ -103,6 +104,11 @@ def _asked(spark: SparkSession, d: str, first: int, n: int) -> DataFrame:
     return rows.select(F.col("doc_id").alias("query_id"), F.slice(words, first, n).alias("terms")).where("size(terms) > 0")
 
 
+def _asked_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d).where(F.col("doc_id") % EVERY == 0)
+    return rows.select(F.col("doc_id").alias("query_id"), sparse.query_tokens(F.col("text")).alias("terms")).where("size(terms) > 0")
+
+
 def _fts_sql(n: int, select: str, where: str = "true") -> str:
     return f"""
 WITH asked AS (SELECT query_id, list_distinct_ordered[1:{n}] AS terms FROM (
@@ -134,7 +140,7 @@ def fts_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fts_cover_rank(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.search(_documents(spark, d), _asked(spark, d, 1, 2), S.candidates)
+    return sparse.search(_documents(spark, d), _asked_whole(spark, d), S.candidates)
 
 
 # Fusion and re-ranking.
@@ -594,8 +600,10 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
-    near = hybrid_rrf(spark, d)
     docs = _documents(spark, d)
+    corpus, queries = _vectors(spark, d)
+    queries = queries.select("query_id", "vector").join(_asked_whole(spark, d), "query_id", "full")
+    near = search.hybrid(spark, corpus, docs, queries, candidates=S.candidates, k=S.rrf_k)
     rows = near.join(docs.select(F.col("doc_id").alias("key"), "text", F.col("source").alias("file_name")), "key").withColumn("page", F.lit(None).cast("int"))
     rows = rows.join(docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query")), "query_id")
     return search.prompts(rows, S.context_chars)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from compare import by_spark, by_sql
 
 from sagebrook.catalogue import ORACLE_SQL, QUERIES
+from sagebrook.operators import sparse
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -23,6 +27,24 @@ def test_index_recall(spark, sf_dir):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_whole_texts_are_looked_for(spark, tmp_path):
+    """Against brute force: all words of a query count, the last ones too."""
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choices(["the", "a1", "then", "sea", "see", "red", "dog"], k=rng.choice([3, 8, 20]))) for i in range(1, 50)}
+    texts |= {50: "the the sea", 100: "the sea red do x", 150: "the zebra", 200: "", 51: "The, sea! red dog " * 3}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for q in (50, 100, 150, 200):
+        terms = [w for w in dict.fromkeys(texts[q].split()) if len(w) > 1]
+        for i, t in texts.items():
+            places = [[p for p, w in enumerate(re.findall(r"\w+", t.lower())) if w.startswith(x)] for x in terms]
+            if terms and all(places):
+                want.add((q, i, round(sparse.covers(places), 6)))
+    best = {q: sorted((x for x in want if x[0] == q), key=lambda x: (-x[2], x[1]))[:30] for q in (50, 100, 150)}
+    found = QUERIES["fts_cover_rank"](spark, str(tmp_path)).collect()
+    assert len({x[1] for x in best[100]}) > 3 and sorted((r.query_id, r["rank"], r.id, r.score) for r in found) == sorted((q, n, i, s) for q, of in best.items() for n, (_, i, s) in enumerate(of, 1))
+
+
 def test_entry(spark):
     import __spark_entry__
 
