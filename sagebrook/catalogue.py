@@ -232,8 +232,9 @@ def rerank_rrf_lexical(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _vectors(spark, d)
     near = dense.nearest(spark, corpus, queries, S.candidates)
     docs = _documents(spark, d).select("doc_id", "text")
-    rows = near.join(docs.withColumnRenamed("doc_id", "id"), "id").join(docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("q")), "query_id")
-    ranked = fusion.rerank(rows, T.lexical_recall(F.col("text"), F.col("q")), Q.structural_boost(F.col("text"), F.col("q")))
+    asked = docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"), T.recall_terms(F.col("text")).alias("terms")).checkpoint()
+    rows = near.join(docs.withColumnRenamed("doc_id", "id"), "id").join(asked, "query_id")
+    ranked = fusion.rerank(rows, T.recall_of(F.col("text"), F.col("terms")), Q.structural_boost(F.col("text"), F.col("q")))
     return ranked.select("query_id", "id", "lexical", "combined", "new_rank")
 
 
@@ -605,7 +606,7 @@ def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
     queries = queries.select("query_id", "vector").join(_asked_whole(spark, d), "query_id", "full")
     near = search.hybrid(spark, corpus, docs, queries, candidates=S.candidates, k=S.rrf_k)
     rows = near.join(docs.select(F.col("doc_id").alias("key"), "text", F.col("source").alias("file_name")), "key").withColumn("page", F.lit(None).cast("int"))
-    rows = rows.join(docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query")), "query_id")
+    rows = rows.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     return search.prompts(rows, S.context_chars)
 
 

@@ -50,6 +50,20 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, numbers, F.filter(phrases, lambda p: p != "")))
 
 
+def recall_terms(query: Column) -> Column:
+    """The query's terms as they are compared: in their form, and as they are if of digits."""
+    return F.transform(query_terms(query), lambda x: F.struct(match_form(x, compose=False).alias("form"), F.when(x.rlike(r"^\d+$"), x).alias("digits")))
+
+
+def recall_of(text: Column, terms: Column, *, compose: bool = True) -> Column:
+    """lexical_recall() for ``recall_terms`` that are there already, so that a long query's are made
+    once, not for each text."""
+    form = F.array(match_form(text, compose=compose))
+    held = F.transform(form, lambda t: F.size(F.filter(terms, lambda x: F.contains(t, x["form"]) | F.coalesce(F.contains(text, x["digits"]), F.lit(False)))))
+    share = F.element_at(held, 1) / F.size(terms)
+    return F.when((F.size(terms) > 0) & (F.length(F.coalesce(text, F.lit(""))) > 0), share).otherwise(0.0)
+
+
 def lexical_recall(text: Column, query: Column, *, compose: bool = True) -> Column:
     """The share of the query's terms that the text holds, in the form for comparisons; a term of
     digits may also stand in the text as it is."""

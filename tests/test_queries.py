@@ -7,8 +7,10 @@ import re
 
 import pytest
 from compare import by_spark, by_sql
+from pyspark.sql import functions as F
 
 from sagebrook.catalogue import ORACLE_SQL, QUERIES
+from sagebrook.functions import text as T
 from sagebrook.operators import sparse
 
 
@@ -45,6 +47,25 @@ def test_whole_texts_are_looked_for(spark, tmp_path):
     assert len({x[1] for x in best[100]}) > 3 and sorted((r.query_id, r["rank"], r.id, r.score) for r in found) == sorted((q, n, i, s) for q, of in best.items() for n, (_, i, s) in enumerate(of, 1))
 
 
+def test_whole_texts_are_the_questions(spark, tmp_path):
+    """What stands behind the first 200 characters counts in re-ranking and in prompts."""
+    long = "filler " * 40
+    texts = [(50, long + "zebra article 5 مادة"), (51, "zebra"), (52, "filler 5"), (53, "Article 5 of it")]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'f.txt' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i % 7)], 0) for i, _ in texts], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.id: r.lexical for r in QUERIES["rerank_rrf_lexical"](spark, str(tmp_path)).collect()}
+    assert found == {i: pytest.approx(n / 5) for i, n in {51: 1, 52: 2, 53: 2, 50: 5}.items() if i in found} and {51, 52, 53} <= set(found)
+    prompt = QUERIES["answer_prompts"](spark, str(tmp_path)).collect()
+    assert len(prompt) == 1 and f"السؤال: {texts[0][1]}" in prompt[0].prompt
+
+
+def test_recall_of_terms_that_are_there(spark):
+    pairs = [("An article on trees, 12", "trees grow 12"), ("", "x"), (None, "tree"), ("x", ""), ("Über 7 «long words»", "uber 7 «long words» 123"), ("a", None)]
+    rows = spark.createDataFrame(pairs, "text string, q string")
+    both = rows.select(T.recall_of(F.col("text"), T.recall_terms(F.col("q"))).alias("a"), T.lexical_recall(F.col("text"), F.col("q")).alias("b")).collect()
+    assert all(r.a == r.b for r in both)
+
+
 def test_entry(spark):
     import __spark_entry__
 
