@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Kinds of HTML elements.
-RAW = frozenset("script style noscript template svg math iframe object textarea select title head audio video canvas".split())
+# Kinds of HTML elements. Those that aren't blocks stand within a line of text.
+UNSHOWN = frozenset("head template select".split())
 UNPARSED = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCKS = frozenset(
+    "html head body main article section nav aside header footer address hgroup search h1 h2 h3 h4 h5 h6 p div blockquote pre hr center figure figcaption details summary dialog ul ol li dl dt dd menu dir"
+    " table caption thead tbody tfoot tr td th form fieldset legend button select option optgroup textarea noscript template iframe title".split()
+)
 OTHER = frozenset("nav aside footer form menu dialog button fieldset".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Class names and ids that mark other parts of a page, as words between ``-`` and ``_``.
@@ -40,7 +44,9 @@ OTHER_NAMES = re.compile(
 LAYOUT_NAMES = re.compile(r"(?:^|[_-])(?:has|no|not|non|with|without|hide|hides|show|shows|layout|template|open|opened|closed|enabled|disabled|active|inactive|allowed|free|less)(?=$|[_-])")
 #: Elements that hold a page's text, whatever their classes say.
 WHOLE = frozenset("html body main article".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_OPENING = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 
 #: Pages of labelled blocks: (words, words in links, in another part, in an article, is main text).
@@ -79,6 +85,13 @@ TABLE: list[list[tuple[int, int, int, int, int]]] = [
     [(9, 0, 0, 0, 1), (14, 0, 0, 0, 1), (16, 1, 0, 0, 1), (3, 3, 0, 0, 0)],
     [(2, 2, 0, 0, 0), (400, 0, 0, 0, 1), (3, 0, 0, 0, 1), (500, 4, 0, 0, 1), (20, 0, 0, 0, 1), (600, 0, 0, 0, 1), (4, 0, 0, 0, 1), (4, 4, 0, 0, 0)],
     [(90, 0, 1, 0, 0), (300, 0, 0, 0, 1), (2, 0, 0, 0, 1), (250, 0, 0, 0, 1), (200, 0, 1, 0, 0), (5, 0, 1, 0, 0), (30, 29, 0, 0, 0)],
+    # lists of links within an article that carry no mark, among text that does hold links
+    [(6, 6, 1, 0, 0), (7, 0, 0, 1, 1), (2, 2, 0, 1, 0), (3, 3, 0, 1, 0), (2, 2, 0, 1, 0), (80, 2, 0, 1, 1), (120, 30, 0, 1, 1), (4, 4, 0, 1, 0), (5, 5, 0, 1, 0), (3, 3, 0, 1, 0), (10, 0, 1, 0, 0)],
+    [(9, 0, 0, 1, 1), (60, 1, 0, 1, 1), (5, 5, 0, 1, 1), (70, 0, 0, 1, 1), (1, 0, 0, 1, 1), (90, 40, 0, 1, 1), (3, 3, 0, 1, 0), (4, 4, 0, 1, 0), (6, 6, 0, 1, 0), (2, 2, 0, 1, 0)],
+    [(1, 1, 0, 1, 0), (1, 1, 0, 1, 0), (1, 1, 0, 1, 0), (6, 0, 0, 1, 1), (50, 0, 0, 1, 1), (2, 1, 0, 1, 1), (40, 12, 0, 1, 1), (8, 8, 0, 1, 1), (30, 0, 0, 1, 1)],
+    # pages without an article whose text stands between lists of links and short lines
+    [(1, 1, 0, 0, 0), (2, 2, 0, 0, 0), (1, 1, 0, 0, 0), (6, 0, 0, 0, 1), (40, 3, 0, 0, 1), (3, 0, 0, 0, 1), (55, 0, 0, 0, 1), (4, 4, 0, 0, 0), (7, 7, 0, 0, 0), (5, 5, 0, 0, 0)],
+    [(4, 4, 0, 0, 0), (3, 3, 0, 0, 0), (28, 10, 0, 0, 1), (33, 2, 0, 0, 1), (21, 4, 0, 0, 1), (6, 6, 0, 0, 0), (9, 9, 0, 0, 0), (3, 2, 0, 0, 0)],
     # pages within a form, or with classes that tell their layout
     [(2, 2, 1, 0, 0), (4, 0, 0, 1, 1), (30, 0, 0, 1, 1), (45, 0, 0, 1, 1), (6, 0, 1, 0, 0)],
     [(2, 2, 1, 0, 0), (4, 0, 0, 0, 1), (45, 0, 0, 0, 1), (60, 0, 0, 0, 1), (3, 0, 1, 0, 0)],
@@ -185,24 +198,55 @@ def _marks_other(name: str, attributes: str, inside: bool) -> str:
     return kind
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """A page's (text, name, attributes): a stretch of text and the tag behind it, whose name begins
+    with a slash if it closes and is empty behind the last stretch. Comments and what scripts,
+    styles and the like hold are left out.
+
+    Linear in the page: a ``<`` begins a tag only if some ``>`` follows it, and after one tag whose
+    quotes are never closed, tags end at their first ``>``, whatever the quotes say.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    text: list[str] = []
+    while (tag := _OPENING.search(page, at)) is not None and tag.start() < last:
+        text.append(page[at : tag.start()])
+        at = tag.end()
+        if tag[0] == "<!--":
+            end = page.find("-->", at - 2)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if tag[0] in ("<!", "<?"):
+            at = page.find(">", at) + 1
+            continue
+        name = _NAME.match(page, tag.start() + 1)
+        end = _QUOTED.match(page, name.end()) if quotes else None
+        quotes = end is not None
+        at = end.end() if end else page.find(">", name.end()) + 1
+        kind, attributes = name[0].lower(), page[name.end() : at - 1]
+        if kind in UNPARSED and not attributes.endswith("/"):
+            closing = _closing(kind).search(page, at)
+            at = closing and page.find(">", closing.end() - 1) + 1 or len(page)
+        yield "".join(text), kind, attributes
+        text.clear()
+    yield "".join([*text, page[at:]]), "", ""
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page. Broken markup is fine: a closing tag closes what stands open
     within its element, and none closes what isn't open."""
     out: list[Block] = []
-    stack: list[tuple[str, Mark | None, bool]] = []  # of open elements that matter: name, mark, inside
+    stack: list[tuple[str, Mark | None, bool]] = []  # of open blocks: name, mark, inside
+    opened: Counter[str] = Counter()
     marks: list[Mark] = []
     of: list[Mark | None] = []  # of the blocks
     parts: list[str] = []
-    linked = links = raw = articles = 0
+    linked = links = articles = 0
     other, inside = None, False
-    at, n = 0, len(page)
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if text and not raw:
-            parts.append(text)
-            if links:
-                linked += len(html.unescape(text).split())
 
     def flush() -> None:
         nonlocal linked
@@ -214,51 +258,42 @@ def blocks_of(page: str) -> list[Block]:
                 of.append(other)
         linked = 0
 
-    while at < n:
-        tag = _TAG.search(page, at)
-        if tag is None:
-            add(page[at:])
-            break
-        add(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
+    for text, name, attributes in pieces(page):
+        if text and not any(opened[x] for x in UNSHOWN):
+            parts.append(text)
+            if links:
+                linked += len(html.unescape(text).split())
         if name == "br" and parts:
             parts.append(" ")
-        if name not in INLINE:
-            flush()
-        if closing:
-            if name == "a":
-                links = 0
-            elif name not in INLINE and any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-                raw = sum(x[0] in RAW for x in stack)
+        kind = name.lstrip("/")
+        if kind == "a":
+            links = name == kind
+        if kind not in BLOCKS:
+            continue
+        flush()
+        if name != kind:
+            if opened[kind]:
+                while True:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == kind:
+                        break
                 before, (other, inside) = other, (stack[-1][1], stack[-1][2]) if stack else (None, False)
                 while before is not other and before is not None:
                     before.close(len(out), articles)
                     before = before.parent
                 links = 0
-            continue
-        if name in UNPARSED and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name == "a":
-            links = 1
-        elif name not in INLINE and name not in VOID and not attributes.endswith("/"):
-            if name == "body" or name in ("article", "main") and stack and stack[-1][0] == "head":
+        elif kind not in VOID and kind not in UNPARSED and not attributes.endswith("/"):
+            if opened["head"] and (kind == "body" or kind in ("article", "main") and stack[-1][0] == "head"):
                 stack = [x for x in stack if x[0] != "head"]
-                raw = sum(x[0] in RAW for x in stack)
-            within, inside = inside, inside or name in ("article", "main")
-            if kind := _marks_other(name, attributes, inside):
-                other = Mark(kind, other, len(out), articles, within)
+                opened["head"] = 0
+            within, inside = inside, inside or kind in ("article", "main")
+            if marked := _marks_other(kind, attributes, inside):
+                other = Mark(marked, other, len(out), articles, within)
                 marks.append(other)
-            articles += name in ("article", "main")
-            stack.append((name, other, inside))
-            raw += name in RAW
+            articles += kind in ("article", "main")
+            stack.append((kind, other, inside))
+            opened[kind] += 1
     flush()
     sums = [0, *accumulate(b.words for b in out)]
     for mark in marks:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -205,8 +206,55 @@ def test_tree_knows_its_table():
     assert np.mean(right) >= 0.95
 
 
+def test_broken_pages_take_linear_time():
+    n = 60_000
+    pages = ["<a " * n, "<a " * n + ">", "<a \"'" * n, "<div>" * n + "x" + "</div>" * n, "<script>" + "</script " * n, "<! " * n, "<a '> <b \"> " * n, "<head>" * n + "<article>" * n, "<nav>" * n + "x", "</p>" * n]
+    began = time.perf_counter()
+    assert [html_text.main_text(x) for x in pages][0] == ("<a " * n).strip()
+    assert time.perf_counter() - began < 20
+
+
+def test_what_stands_within_a_line_does_not_cut_it():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <svg><text>drawn</text></svg>, <object>kept</object><script>no()</script> <my-word>here</my-word>.</p><noscript>And shown</noscript><p>a <b title='x > y'>b</b> c</p></article>"
+    assert html_text.main_text(page) == "Let x=2 be drawn, kept here.\n\nAnd shown\n\na b c"
+
+
+def lists(n, word="Some page"):
+    return "".join(f"<li><a href=/{i}>{word} {i}</a></li>" for i in range(n))
+
+
+#: Pages that carry no mark, written by hand, with their main text: what decides is words and links.
+UNMARKED = [
+    (f"<ul>{lists(6)}</ul><h2>On rivers</h2><p>{TEXT}</p><p>It was <a href=x>so</a>. {TEXT}</p><ul>{lists(5)}</ul>", f"On rivers\n\n{TEXT.strip()}\n\nIt was so. {TEXT.strip()}"),
+    (f"<table><tr><td><a href=/>Home</a><td><a href=/a>All news</a><td><a href=/b>Our shop</a></table><p>{TEXT * 3}</p><div><a href=1>Next one</a></div><div><a href=2>The one before</a></div><div><a href=3>Top</a></div>", (TEXT * 3).strip()),
+    (f"<div><a href=1>One link of some words here</a></div><div><a href=2>Another link of some words</a></div><div>{TEXT}</div><div>{TEXT}</div><div>{TEXT}</div>", "\n\n".join([TEXT.strip()] * 3)),
+    (f"<article><h1>Long lists</h1><ul>{lists(7, 'Part')}</ul><p>{TEXT * 2}</p><p>{TEXT} <a href=x>{TEXT}</a></p></article>", f"Long lists\n\n{(TEXT * 2).strip()}\n\n{TEXT}{TEXT.strip()}"),
+    (f"<article><p>{TEXT}</p><p>{TEXT}</p><ul>{lists(5, 'Tag')}</ul></article><p>Yours.</p>", f"{TEXT.strip()}\n\n{TEXT.strip()}"),
+    (f"<main><ul>{lists(9, 'Go')}</ul><h1>A head</h1><p>{TEXT}</p><p>Short.</p><p>{TEXT * 4}</p></main>", f"A head\n\n{TEXT.strip()}\n\nShort.\n\n{(TEXT * 4).strip()}"),
+]
+
+
+def test_words_and_links_decide_where_no_mark_does():
+    right = wrong = missed = 0
+    for page, want in UNMARKED:
+        got, want = html_text.main_text(page).split("\n\n"), want.split("\n\n")
+        right += len([b for b in got if b in want])
+        wrong += len([b for b in got if b not in want])
+        missed += len([b for b in want if b not in got])
+    assert 2 * right / (2 * right + wrong + missed) >= 0.9
+    rng, changed, n = np.random.default_rng(1), 0, 0
+    for page, _ in UNMARKED:
+        x = html_text.table_features([(b.words, b.linked, b.other, b.inside) for b in html_text.blocks_of(page)])
+        for _ in range(20):
+            mixed = x.copy()
+            mixed[:, :6] = x[rng.permutation(len(x)), :6]
+            changed += (html_text.classify(mixed) != html_text.classify(x)).sum()
+            n += len(x)
+    assert changed >= n / 3
+
+
 def test_extract_rows(spark):
-    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "u", PAGE, "x", 5), (1, "u", PAGE, "x", 5), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     rows = html_text.extract(spark, df).collect()
     assert [(r.page_id, r.n_chars) for r in rows] == [(1, len(html_text.main_text(PAGE)))] * 2 + [(2, 0)] and html_text.extract(spark, df.limit(0)).collect() == []
 
