@@ -18,10 +18,8 @@ def expected(rows):
         if i is not None and len((html or "").encode()) >= 1000:
             last[html] = max(last.get(html, i), i)
     for i, _, html in rows:
-        if i is None:
-            continue
         data = (html or "").encode()
-        refers = last[html] if len(data) >= 1000 and last[html] != i else None
+        refers = last.get(html) if len(data) >= 1000 and last.get(html) != i else None
         out.append((i, len(data), hashlib.sha1(data).hexdigest(), "response" if refers is None else "revisit", refers))
     return sorted(out, key=repr)
 
@@ -31,14 +29,16 @@ def test_round_trip(spark, monkeypatch):
     big, other = "é<p>" * 400, "x" * 1000
     rows = [(i, f"http://a/{i}", f"<html><p>page {i} of many, all of one kind</p>{'y' * i}</html>") for i in range(60)]
     rows += [(100, "u", big), (101, "u", big), (99, "u", big), (103, "u", "x" * 999), (104, "u", "x" * 999), (105, None, other), (106, "a\r\nb", other)]
-    rows += [(107, "u", None), (108, "u", ""), (109, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (110, "u", "z" * 300_000), (110, "u", "z" * 300_000), (None, "u", big)]
+    rows += [(107, "u", None), (108, "u", ""), (109, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (110, "u", "z" * 300_000), (110, "v", "z" * 300_000), (None, "u", big)]
+    rows += [(None, None, None), (None, "u", "q" * 1500), (None, "u", "q" * 1500), (101, "u", big), (99, "u", big), (99, "u", big)] + [(200, "u", "r" * 1200)] * 40 + [(None, "u", "<p>")] * 30
     df = spark.createDataFrame([(*r, "q", 1) for r in rows], PAGES)
     assert sorted(map(tuple, warc.round_trip(spark, df).collect()), key=repr) == expected(rows)
     ws = Workspace(spark, "test")
     manifest = warc.write_archives(spark, df, f"{ws.folder}/a", ws)
-    texts = {r.page_id: bytes(r.content).decode() for r in warc.read_archives(manifest).collect() if r.record_type == "response"}
-    assert all(texts[i] == (h or "") for i, _, h in rows if i in texts and i != 101) and manifest.count() > 1
-    assert manifest.agg({"records": "sum"}).first()[0] == len(rows) - 1
+    read = warc.read_archives(manifest)
+    texts = {r.page_id: bytes(r.content).decode() for r in read.collect() if r.record_type == "response" and r.page_id is not None}
+    assert all(texts[i] == (h or "") for i, _, h in rows if i in texts) and manifest.count() > 1
+    assert manifest.agg({"records": "sum"}).first()[0] == len(rows) and read.rdd.getNumPartitions() == manifest.count()
 
 
 def test_archives_are_frames_behind_a_dictionary(spark):
@@ -57,7 +57,7 @@ def test_archives_are_frames_behind_a_dictionary(spark):
 def test_damage_is_noticed():
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(b"not an archive at all")))
-    record = warc.record("response", 1, "u", "d", b"abc", None)
+    record = warc.record("response", 1, "u", "d", 3, b"abc", None)
     with pytest.raises(ValueError):
         warc.parse(record[:-1])
 
