@@ -5,10 +5,10 @@ number of shingles. In the partitions below 2**WHOLE shingles, all of an item's
 coordinates. In each larger one an item has COORDINATES of them: under each of so many hash
 permutations the shingle with the least value. The chance that a document holds such a shingle is
 exactly the share of the item's shingles that the document holds, however long it is. So the
-documents' shingles are looked up in the items' coordinates. A document is a candidate if it is
-large enough to hold so much of the item, and has three quarters of its coordinates in a partition
-of the first kind, or HITS of them in one of the second: there, at a containment of 0.75, an item
-is missed with the chance that a binomial (24, 0.75) variable stays under 6, which is 8e-9.
+documents' shingles are looked up in the items' coordinates. A document, all rows of its doc_id
+together, is a candidate if it has three quarters of an item's coordinates in a partition of the
+first kind, or HITS of them in one of the second: there, at a containment of 0.75, an item is missed
+with the chance that a binomial (24, 0.75) variable stays under 6, which is 8e-9.
 
 Candidates are then confirmed by exact containment: of the item's distinct shingles, at least 75 of
 100 are in the whole document. All of it is DataFrame functions.
@@ -71,9 +71,8 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame) -> D
     least = least.groupBy("item_id", "n_item", "shingle").agg(F.count("*").alias("weight")).withColumn("needed", F.lit(HITS))
     sketch = ws.save(entire.unionByName(least), "sketch")
 
-    bare = docs.select("doc_id", shingles(F.col("text")).alias("all"))
-    rows = bare.where(F.size("all") > 0).select("doc_id", F.size("all").alias("n_doc"), F.explode("all").alias("shingle"))
-    hits = rows.join(small(sketch), "shingle").where(F.col("n_doc") * 100 >= F.col("n_item") * PERCENT)
+    rows = docs.select("doc_id", F.explode(shingles(F.col("text"))).alias("shingle"))
+    hits = rows.join(small(sketch), "shingle")
     hits = hits.groupBy("doc_id", "item_id", "needed", "shingle").agg(F.max("weight").alias("weight"))
     likely = hits.groupBy("doc_id", "item_id", "needed").agg(F.sum("weight").alias("hits")).where(F.col("hits") >= F.col("needed"))
     likely = ws.save(likely.select("doc_id", "item_id"), "likely")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sagebrook.llm import decontaminate, html_text, language, mixing, pii, quality, token_counts
 
@@ -362,7 +363,11 @@ def test_decontamination_matches_brute_force(spark):
             at = rng.randrange(len(own))
             own[at:at] = piece
         texts.append((i, " ".join(own)))
-    docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in texts] + [(None, items[5][1], "", "", 0)], DOC)
+    # Rows of one doc_id are one document, wherever an item is cut.
+    long = next(t for _, t in items[:40] if len(t.split()) == 120).split()
+    cut = [(500, " ".join(long[:64])), (500, " ".join(long[60:])), (500, None), (501, " ".join(long[:64])), (502, "q " * 200_000 + " ".join(long) + " q" * 100_000)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in texts + cut] + [(None, items[5][1], "", "", 0)], DOC).withColumns({"item_id": F.lit("x"), "shingle": F.lit(1), "n_item": F.lit(2)})
+    texts += [(500, " ".join(long)), *cut[-1:]]
     bench = spark.createDataFrame([(j, t, 1) for j, t in items] + [(None, "a b c d e", 1)], "item_id long, text string, n_doc int")
     want = contained(texts, items)
     rows = decontaminate.contained_items(spark, docs, bench).collect()
