@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,11 @@ BASE = ("email", "ip", "card", "phone")
 TYPES = (*BASE, "secret")
 LONGEST = 16
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_NUMBER = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SEED = re.compile(r"[0-9@]")
@@ -47,6 +51,8 @@ def _passes(kind: str, text: str) -> bool:
     if kind == "ip":  # the length first: a part may be of any length
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
     if kind == "card":
+        if len(text) > 37:  # 19 digits with marks between them
+            return False
         digits = text.replace(" ", "").replace("-", "")
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -54,13 +60,45 @@ def _passes(kind: str, text: str) -> bool:
     return True
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of _EMAIL. From each at-sign outwards, so that a long run of letters is read once,
+    not once from each of its places."""
+    taken, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > taken and text[start - 1] in _LOCAL_PART:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            taken = domain.end()
+            yield start, taken
+        at = text.find("@", max(taken, at + 1))
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of _IP: four numbers after four in a run of dotted ones, which is read once."""
+    if "." not in text:
+        return
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") >= 3:
+            numbers = [(m.start(), m.end()) for m in _NUMBER.finditer(text, run.start(), run.end())]
+            for i in range(3, len(numbers), 4):
+                yield numbers[i - 3][0], numbers[i][1]
+
+
+def _found(pattern: re.Pattern, needs: str):
+    return lambda text: (m.span() for m in pattern.finditer(text)) if needs in text else ()
+
+
+_FINDERS = (_emails, _ips, _found(_CARD, ""), _found(_PHONE, "+"))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, place of the kind) of all base matches, in order."""
     out = []
     if _SEED.search(text):
-        for k, (kind, pattern, needs) in enumerate(zip(BASE, (_EMAIL, _IP, _CARD, _PHONE), ("@", ".", "", "+"), strict=True)):
-            if needs in text:
-                out += [(m.start(), m.end(), k) for m in pattern.finditer(text) if _passes(kind, m[0])]
+        for k, (kind, find) in enumerate(zip(BASE, _FINDERS, strict=True)):
+            out += [(a, b, k) for a, b in find(text) if _passes(kind, text[a:b])]
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
@@ -83,23 +121,28 @@ def _kind_of(c: str) -> str:
     return "" if not c else "9" if c.isdigit() else "a" if c.isalpha() else "_" if c.isspace() else "q" if c in "\"'`" else c
 
 
-@cache
-def _shape(text: str) -> str:
-    return re.sub(r"9+", "9", re.sub(r"a+", "a", "".join(map(_kind_of, text[:60]))))[:24]
+@lru_cache(maxsize=20_000)
+def _shape(start: str) -> str:
+    """The shape of a segment that starts like this."""
+    return re.sub(r"9+", "9", re.sub(r"a+", "a", "".join(map(_kind_of, start))))[:24]
 
 
-def span_features(text: str, start: int, end: int) -> list[str]:
-    """Features of the whole segment text[start:end] where it stands."""
-    own = text[start:end]
-    digits = sum("0" <= c <= "9" for c in own)
-    before, after = text[start - 1 : start], text[end : end + 1]
+def surroundings(text: str, start: int, end: int) -> tuple[str, str, str, str]:
+    """What the features of text[start:end] are made from: itself, the characters beside it, and
+    the announcing word before it."""
     word = _WORD_BEFORE.search(text, max(0, start - 24), start)
     word = word[1].lower() if word and word[1].lower() in _CUES else "-"
+    return text[start:end], text[start - 1 : start], text[end : end + 1], word
+
+
+def span_features(own: str, before: str, after: str, word: str) -> list[str]:
+    """Features of a whole segment where it stands."""
+    digits = sum("0" <= c <= "9" for c in own[:400])
     email, ip, card, phone = _EMAIL.fullmatch(own), _IP.fullmatch(own) and _passes("ip", own), _CARD.fullmatch(own) and _passes("card", own), _PHONE.fullmatch(own) and _passes("phone", own)
     check = "email" if email else "ip" if ip else "card" if card else "phone" if phone else "hex" if _HEX.fullmatch(own) else "local" if _LOCAL.fullmatch(own) else "none"
     edges = f"{_kind_of(before)}|{_kind_of(after)}"
     joined = before.isalnum() or after.isalnum() or before in "@.+-" and bool(before) or after == "@"
-    return ["bias", f"shape={_shape(own)}", f"check={check}", f"check={check},joined={joined}", f"check={check},word={word}", f"digits={min(digits, 20)}", f"edges={edges}", f"word={word}"]
+    return ["bias", f"shape={_shape(own[:60])}", f"check={check}", f"check={check},joined={joined}", f"check={check},word={word}", f"digits={min(digits, 20)}", f"edges={edges}", f"word={word}"]
 
 
 #: Words that announce what follows; fixed values.
@@ -125,18 +168,28 @@ def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], li
 
 
 class Field:
-    """Weights of (feature, type); decodes regions."""
+    """Weights of (feature, type); decodes regions. Scores of the last short segments are kept."""
+
+    KEPT, SHORT = 20_000, 64
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
+        self.kept: dict[tuple[str, str, str, str], np.ndarray] = {}
+
+    def score(self, *around: str) -> np.ndarray:
+        row = self.kept.get(around)
+        if row is None:
+            row = np.zeros(len(TYPES))
+            for f in span_features(*around):
+                row += self.weights.get(f, 0.0)
+            if len(around[0]) <= self.SHORT:
+                if len(self.kept) >= self.KEPT:
+                    self.kept.clear()
+                self.kept[around] = row
+        return row
 
     def scores(self, text: str, found: list[tuple[int, int, int, int]]) -> np.ndarray:
-        out = np.zeros((len(found), len(TYPES)))
-        none = np.zeros(len(TYPES))
-        for row, (_, _, a, b) in zip(out, found, strict=True):
-            for f in span_features(text, a, b):
-                row += self.weights.get(f, none)
-        return out
+        return np.array([self.score(*surroundings(text, a, b)) for _, _, a, b in found]).reshape(len(found), len(TYPES))
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         pieces, found = segments(text, start, end)
@@ -241,7 +294,7 @@ def train() -> Field:
         for start, end in regions(text):
             pieces, found = segments(text, start, end)
             if found:
-                ids = np.array([[names.setdefault(f, len(names)) for f in span_features(text, a, b)] for _, _, a, b in found])
+                ids = np.array([[names.setdefault(f, len(names)) for f in span_features(*surroundings(text, a, b))] for _, _, a, b in found])
                 gold = [(s, next((k for x, y, k in spans if (x, y) == (a, b)), -1)) for s, (_, _, a, b) in enumerate(found)]
                 cases.append((len(pieces), found, ids, [(s, k) for s, k in gold if k >= 0]))
     w, square = np.zeros((len(names), len(TYPES))), np.full((len(names), len(TYPES)), 1e-8)
@@ -312,7 +365,8 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def masked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with all spans in text masked, and n_chars, if there is one, as it is then."""
+    """``docs`` with all spans in text masked, and n_chars, if there is one, as it is then. Null and
+    empty texts, null ids, repeated rows and other columns stay as they are; of an empty table none."""
     field = spark.sparkContext.broadcast(train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
