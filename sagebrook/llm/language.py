@@ -1,43 +1,54 @@
 """Language identification: words first, then ever shorter character n-grams.
 
 Training counts the words of all labelled documents for each language, and the n-grams of these
-words with their edges marked. The model keeps what makes up at least RARE of its language's words,
-or n-grams of one length: at most 1 / RARE entries for each language and length, whatever the
-corpus's size. Every label with a word is a language, however rare it is beside the others. Up to
-LANGS languages and ENTRIES entries go to the workers as one table; beyond that the same scores come
-from joins. A known word adds its log frequency in each language to a text's score; an unseen
-word is scored by the mean over its longest n-grams of which any is known, from MOST characters
-down to one.
+words with their edges marked, from MOST characters down to one. Nothing is dropped: every label
+with a word is a language, and every word and n-gram is an entry, with the log of its frequency in
+each language; a language without it has FLOOR. A text's score in a language is the sum over its
+words: of a known word its own log frequency, of an unseen one the mean over its longest n-grams of
+which any is known.
+
+Workers hold the commonest words, as many as fit into ENTRIES entries, and add up what these say
+where they read a text. A text's other words, each once, go over the network: the distinct ones
+among them are looked up in the whole table, or backed off, by joins, and their scores are added.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small
+from .common import BROADCAST_ROWS, Workspace, small
 
 MOST = 4
-RARE = 1e-5
-#: Log frequency of what a language of the model doesn't have.
-FLOOR = float(np.log(RARE / 10))
-#: Languages, entries, and entries times languages, up to which a worker holds the model.
-LANGS, ENTRIES, CELLS = 64, 1_000_000, 24_000_000
+#: What is added to each frequency before its log is taken, so that unknown words have one.
+LEAST = 1e-9
+FLOOR = math.log(LEAST)
+#: Entries (word, language) of the words that a worker holds; some 100 MB.
+ENTRIES = 400_000
 UNKNOWN = "und"
-#: Entries that a Python worker holds before it passes counts on, or starts its memory anew.
+#: Entries that a Python worker holds before it passes counts on.
 HELD = 300_000
-_WORDS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _WORDS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode's categories L) in lower case."""
+    found = _RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Other characters that count as parts of words are numbers like ½ or Ⅷ.
+    split = ("".join(c if c.isalpha() else " " for c in w).split() for w in found)
+    return list(chain.from_iterable(split))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -64,190 +75,197 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(held, 0)
 
 
-def _count_grams(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, word, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                of = held.setdefault(lang, Counter())
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all lengths, of (lang, word, count)."""
+    held: list[dict[str, Counter]] = [{} for _ in range(MOST + 1)]
+    for batch in batches:
+        for lang, word, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for n in range(1, MOST + 1):
+                of = held[n].setdefault(lang, Counter())
                 for g in grams(word, n):
                     of[g] += c
-            if sum(map(len, held.values())) > HELD:
-                yield from _rows(held, n)
-        yield from _rows(held, n)
+        if sum(len(of) for x in held for of in x.values()) > HELD:
+            for n in range(1, MOST + 1):
+                yield from _rows(held[n], n)
+    for n in range(1, MOST + 1):
+        yield from _rows(held[n], n)
+
+
+def _cut(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, gram) for all n-grams of (id, word)."""
+        for batch in batches:
+            ids, made = [], []
+            for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = grams(w, n)
+                ids += [i] * len(own)
+                made += own
+                if len(made) > 20_000:
+                    yield _pairs(ids, made)
+                    ids, made = [], []
+            yield _pairs(ids, made)
 
     return run
 
 
-def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, words, word, times) for the distinct words of each (row, text) that has any."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
-            rows, ns, found, times = [], [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                of = Counter(words(text))
-                rows += [row] * len(of)
-                ns += [of.total()] * len(of)
-                found += of.keys()
-                times += of.values()
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ns, pa.int64()), pa.array(found, pa.string()), pa.array(times, pa.int64())], names=["row", "words", "word", "times"])
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, gram) for each word itself, as length 0, and all its n-grams."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 4096):
-            made = [(w, n, g) for w in whole.column(0).slice(start, 4096).to_pylist() for n in range(MOST + 1) for g in (grams(w, n) if n else [w])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int32()), pa.array([x[2] for x in made], pa.string())], names=["word", "n", "gram"])
-
-
-class Model:
-    """Log frequencies by language of known words (length 0) and n-grams. Words that have been seen
-    keep their scores, as rows of a table that grows up to HELD of them and then begins anew."""
-
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, float]]):
-        self.langs, place = langs, {x: i for i, x in enumerate(langs)}
-        at: list[dict[str, int]] = [{} for _ in range(MOST + 1)]
-        n = 0
-        for _, length, gram, _ in rows:
-            if gram not in at[length]:
-                at[length][gram], n = n, n + 1
-        self.at = at
-        self.logs = np.full((n, len(langs)), FLOOR, np.float32)
-        for lang, length, gram, log in rows:
-            self.logs[at[length][gram], place[lang]] = log
-        self.seen: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)), np.float32)
-
-    def backed_off(self, word: str) -> list[int]:
-        """The word's entry, or those of its longest n-grams of which any is known."""
-        found = self.at[0].get(word)
-        if found is not None:
-            return [found]
-        marked = f"<{word}>"
-        for n in range(MOST, 0, -1):
-            get = self.at[n].get
-            known = [k for i in range(len(marked) - n + 1) if (k := get(marked[i : i + n])) is not None]
-            if known:
-                return known
-        return []
-
-    def learn(self, new: list[str]) -> None:
-        """Score words that haven't been seen: the mean over their entries; of none, zeros."""
-        entries = [self.backed_off(w) for w in new]
-        lens = np.array([len(e) for e in entries])
-        sums = np.zeros((len(new), len(self.langs)), np.float32)
-        if lens.any():
-            flat = np.array([k for e in entries for k in e])
-            full = np.flatnonzero(lens)
-            sums[full] = np.add.reduceat(self.logs[flat], (np.cumsum(lens) - lens)[full], axis=0) / lens[full, None]
-        start = len(self.seen)
-        self.seen.update(zip(new, range(start, start + len(new)), strict=True))
-        self.scores = np.vstack([self.scores[:start], sums])
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        of = [words(t) for t in texts]
-        if not self.langs:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        flat = [w for o in of for w in o]
-        if len(self.seen) > HELD:
-            self.seen, self.scores = {}, self.scores[:0]
-        new = list(dict.fromkeys(w for w in flat if w not in self.seen))
-        if new:
-            self.learn(new)
-        ids = np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
-        out, at = [], 0
-        for o in of:
-            if not o:
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.scores[ids[at : at + len(o)]].sum(axis=0, dtype=np.float64)
-            at += len(o)
-            # Neighbouring words aren't independent, so evidence grows with the root of their number.
-            odds = np.exp((total - total.max()) / np.sqrt(len(o)))
-            best = int(np.argmax(total))
-            out.append((self.langs[best], float(odds[best] / odds.sum())))
-        return out
-
-
-def train(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Learn from rows of ``docs`` (text, lang) with a lang: the languages (lang), and the entries
-    of the model (lang, n, gram, log)."""
+def _pairs(ids: list[int], made: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.string())], names=["id", "gram"])
+
+
+def _narrow(saved: DataFrame) -> DataFrame:
+    """A saved table with ``known``, marked for broadcast if it has few entries."""
+    return F.broadcast(saved) if (saved.agg(F.sum(F.size("known"))).first()[0] or 0) <= BROADCAST_ROWS else saved
+
+
+class Words:
+    """What words say of languages: how far above FLOOR their log frequency is, by places in the
+    list of languages. Adds that up over texts."""
+
+    def __init__(self, langs: int, known: list[str], ends: np.ndarray, places: np.ndarray, above: np.ndarray):
+        self.langs, self.of = langs, {w: i for i, w in enumerate(known)}
+        self.starts, self.lens = ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0)
+        self.places, self.above = places, above
+
+    def sums(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
+        """For each text: (text, place, sum) of the languages that know any of the words held here,
+        and the other words with how often each occurs."""
+        get, rest = self.of.get, []
+        ids, whose = [], []
+        for i, of in enumerate(texts):
+            found = [get(w, -1) for w in of]
+            rest.append(Counter(w for w, k in zip(of, found, strict=True) if k < 0) if -1 in found else Counter())
+            found = [k for k in found if k >= 0]
+            ids += found
+            whose += [i] * len(found)
+        flat, row = np.array(ids, np.int64), np.array(whose, np.int64)
+        lens = self.lens[flat]
+        at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(self.starts[flat], lens)
+        cells = np.repeat(row, lens) * self.langs + self.places[at]
+        totals = np.bincount(cells, self.above[at], minlength=1)
+        used = np.flatnonzero(totals)
+        return used // self.langs, used % self.langs, totals[used], rest
+
+
+def train(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Learn from rows of ``docs`` (text, lang) with a lang: the languages (place, lang) by code point, and as
+    (gram, seen, known) the words and (with n) the n-grams: how often each is seen, and for each
+    language that has it, (place, above), its place and its log frequency above FLOOR."""
     schema = "lang string, n int, gram string, count long"
+    own = docs.where("lang is not null").select("lang", "text").mapInArrow(_count_words, schema).groupBy("lang", "gram").agg(F.sum("count").alias("count"))
+    own = ws.save(own, "words")
+    parts = own.mapInArrow(_count_grams, schema).groupBy("n", "lang", "gram").agg(F.sum("count").alias("count"))
+    parts = ws.save(parts, "grams")
+    langs = own.groupBy("lang").count().select((F.row_number().over(Window.orderBy("lang")) - 1).alias("place"), "lang")
+    place = ws.save(langs, "langs")
+
+    def entries(counts: DataFrame, *n: str) -> DataFrame:
+        totals = ws.save(counts.groupBy(*n, "lang").agg(F.sum("count").alias("total")).join(small(place), "lang"), "totals")
+        above = F.log(F.col("count") / F.col("total") + LEAST) - FLOOR
+        found = counts.join(small(totals), [*n, "lang"]).groupBy(*n, "gram").agg(F.sum("count").alias("seen"), F.collect_list(F.struct("place", above.alias("above"))).alias("known"))
+        return ws.save(found, "entries")
+
+    return place, entries(own), entries(parts, "n")
+
+
+def common(entries: DataFrame, most: int) -> int:
+    """The least power of two so that words seen as often hold no more than so many entries."""
+    by = entries.groupBy(F.floor(F.log2("seen")).cast("int").alias("power")).agg(F.sum(F.size("known")).alias("entries")).collect()
+    held, least = 0, 64
+    for power, n in sorted(((r.power, r.entries) for r in by), reverse=True):  # 64 rows at most
+        held += n
+        if held > most:
+            break
+        least = power
+    return 1 << min(least, 62)
+
+
+def _held(entries: DataFrame, least: int, langs: int) -> Words:
+    table = entries.where(F.col("seen") >= least).select("gram", "known").toArrow()
+    known = table["known"].combine_chunks()
+    flat = known.flatten()
+    return Words(langs, table["gram"].to_pylist(), np.cumsum(np.array(pc.list_value_length(known), np.int64)), flat.field("place").to_numpy().astype(np.int64), flat.field("above").to_numpy())
+
+
+def _texts(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, words, sums, rest) of (row, text): how many words there are, what those held here
+        say, and the others."""
+        sums, rest = pa.list_(pa.struct([("place", pa.int32()), ("above", pa.float64())])), pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                of = [words(t) for t in batch.column(1).to_pylist()]
+                row, place, total, others = held.value.sums(of)
+                ends = np.searchsorted(row, np.arange(len(of) + 1)).astype(np.int32)
+                local = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(total)], ["place", "above"]))
+                far = pa.array([[{"word": w, "times": c} for w, c in x.items()] for x in others], rest)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in of], pa.int64()), local.cast(sums), far], names=["row", "words", "sums", "rest"])
 
-    def summed(parts: DataFrame) -> DataFrame:
-        return ws.save(parts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "counts")
+    return run
 
-    counts = summed(docs.where("lang is not null").select("lang", "text").mapInArrow(_count_words, schema))
-    own = counts.select("lang", "gram", "count")
-    for n in range(1, MOST + 1):
-        counts = counts.unionByName(summed(own.mapInArrow(_count_grams(n), schema)))
-    totals = ws.save(counts.groupBy("lang", "n").agg(F.sum("count").alias("total")), "totals")
-    kept = counts.join(small(totals), ["lang", "n"]).where(F.col("count") >= RARE * F.col("total"))
-    return totals.where("n = 0").select("lang"), ws.save(kept.select("lang", "n", "gram", F.log(F.col("count") / F.col("total")).alias("log")), "entries")
-
-
-def held_model(langs: DataFrame, entries: DataFrame) -> Model | None:
-    """The model as one table, or None if that would be too large. Ties between languages go to the
-    first in order of code points."""
-    n = langs.count()
-    if n > LANGS or (rows := entries.count()) > ENTRIES or (rows * n > CELLS and entries.select("n", "gram").distinct().count() * n > CELLS):
-        return None
-    table = entries.toArrow()
-    return Model(sorted(r.lang for r in langs.collect()), list(zip(*(table[c].to_pylist() for c in ("lang", "n", "gram", "log")), strict=True)))
-
-
-def joined(ws: Workspace, langs: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """What Model.predict() says of each of ``rows`` (doc_id, held_out, text), by joins: no process
-    holds the model. Scores count from FLOOR, which a language has for what it doesn't know."""
-    rows = ws.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = ws.save(rows.select("row", "text").mapInArrow(_row_words, "row long, words long, word string, times long"), "words")
-    parts = found.select("word").distinct().mapInArrow(_parts, "word string, n int, gram string")
-    known = ws.save(parts.join(entries.select("n", "gram").distinct(), ["n", "gram"], "left_semi"), "known")
-    # The word itself is best, then the longest n-grams.
-    level = known.groupBy("word").agg(F.coalesce(F.min(F.when(F.col("n") == 0, 0)), F.max("n")).alias("n"))
-    used = known.join(level, ["word", "n"])
-    n_used = used.groupBy("word").agg(F.count("*").alias("used"))
-    adds = used.join(entries, ["n", "gram"]).groupBy("word", "lang").agg(F.sum(F.col("log") - FLOOR).alias("above"))
-    adds = ws.save(adds.join(n_used, "word").select("word", "lang", (F.col("above") / F.col("used")).alias("above")), "adds")
-    sums = ws.save(found.join(adds, "word").groupBy("row", "lang").agg(F.sum(F.col("times") * F.col("above")).alias("total")), "sums")
-    best = ws.save(sums.groupBy("row").agg(F.min(F.struct((-F.col("total")).alias("less"), "lang")).alias("best"), F.count("*").alias("scored")), "best")
-    lengths = found.select("row", "words").distinct()
-    best = lengths.join(best, "row", "left").select("row", "words", F.coalesce("best.lang", F.lit(langs.agg(F.min("lang")).first()[0])).alias("lang_pred"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("most"), F.coalesce("scored", F.lit(0)).alias("scored"))
-    best = ws.save(best, "best")
-    odds = sums.join(best, "row").groupBy("row").agg(F.sum(F.exp((F.col("total") - F.col("most")) / F.sqrt("words"))).alias("odds"))
-    rest = (langs.count() - F.col("scored")) * F.exp(-F.col("most") / F.sqrt("words"))
-    scored = best.join(odds, "row", "left").select("row", "lang_pred", (1 / (F.coalesce("odds", F.lit(0.0)) + rest)).alias("score"))
-    out = rows.select("row", "doc_id", "held_out").join(scored, "row", "left")
-    return out.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
+
+def looked_up(ws: Workspace, wanted: DataFrame, own: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, known) of ``wanted`` (word): the entry of a known word; the mean over the longest
+    n-grams of another one, of which any is known."""
+    out = wanted.join(own.select(F.col("gram").alias("word"), "known"), "word")
+    rest = wanted.join(own.select(F.col("gram").alias("word")), "word", "left_anti")
+    unseen = rest = ws.save(rest.withColumn("id", F.monotonically_increasing_id()).select("id", "word"), "unseen")
+    backed = []
+    for n in range(MOST, 0, -1):
+        of = ws.save(parts.where(F.col("n") == n).select("gram", "known"), f"of{n}")
+        hit = ws.save(rest.mapInArrow(_cut(n), "id long, gram string").join(_narrow(of), "gram").select("id", "known"), f"hit{n}")
+        used = hit.groupBy("id").agg(F.count("*").alias("used"))
+        adds = hit.select("id", F.inline("known")).groupBy("id", "place").agg(F.sum("above").alias("above")).join(used, "id")
+        backed.append(adds.groupBy("id").agg(F.collect_list(F.struct("place", (F.col("above") / F.col("used")).alias("above"))).alias("known")))
+        rest = ws.save(rest.join(hit.select("id").distinct(), "id", "left_anti"), f"rest{n}")
+        if rest.isEmpty():
+            break
+    return out.unionByName(unseen.join(reduce(DataFrame.union, backed), "id").select("word", "known"))
+
+
+def identify(spark: SparkSession, docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs`` (doc_id, text, lang).
 
-    Rows with crc32(doc_id) mod 3 = 1 are held out: never learnt from. lang_pred is a learnt label, which every lang of a
-    learnt row with a word is, however rare,
-    or ``und`` with score 0 for null texts, texts without a letter, and if there was nothing to
-    learn from. A null doc_id isn't held out and isn't learnt from. Repeated rows each get their
-    row; an empty table gives an empty result; other columns are ignored.
+    Rows with crc32(doc_id) mod 3 = 1 are held out: never learnt from. lang_pred is a learnt label,
+    which every lang of a learnt row with a word is, however rare, or ``und`` with score 0 for null
+    texts, texts without a letter, and if there was nothing to learn from. Of equal languages it is
+    the first by code point. score is the share of the best language, evidence growing with the root
+    of the number of words, as neighbouring words aren't independent. A null doc_id isn't held out
+    and isn't learnt from. Repeated rows each get their row; an empty table gives an empty result;
+    other columns are ignored. ``entries`` bounds what workers hold and changes no result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     part = F.crc32(F.col("doc_id").cast("string")) % 3
+    held_out = F.coalesce(part == 1, F.lit(False)).alias("held_out")
     ws = Workspace(spark, "language")
-    langs, entries = train(ws, docs.where(part != 1))
-    rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
-    held = held_model(langs, entries)
-    if held is None:
-        return joined(ws, langs, entries, rows)
-    model = spark.sparkContext.broadcast(held)
+    names, own, parts = train(ws, docs.where(part != 1))
+    langs = names.count()
+    if not langs:
+        return docs.select("doc_id", held_out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    held = spark.sparkContext.broadcast(_held(own, common(own, entries), langs))
+    row = "row long, doc_id long, held_out boolean"
+    schema = f"{row}, words long, sums array<struct<place:int,above:double>>, rest array<struct<word:string,times:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                made = model.value.predict(batch.column(2).to_pylist())
-                columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+        for batch in batches:
+            at = 0
+            for made in _texts(held)(iter([batch.select(["row", "text"])])):
+                same = batch.slice(at, made.num_rows)
+                at += made.num_rows
+                yield pa.RecordBatch.from_arrays([made.column(0), same.column("doc_id"), same.column("held_out"), *made.columns[1:]], names=["row", "doc_id", "held_out", "words", "sums", "rest"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out, "text")
+    read = ws.save(rows.mapInArrow(run, schema), "texts")
+    rest = read.select("row", F.inline("rest"))
+    adds = ws.save(looked_up(ws, ws.save(rest.select("word").distinct(), "wanted"), own, parts), "adds")
+    far = rest.join(_narrow(adds), "word").select("row", "times", F.inline("known")).select("row", "place", (F.col("times") * F.col("above")).alias("above"))
+    sums = read.select("row", F.inline("sums")).union(far).groupBy("row", "place").agg(F.sum("above").alias("above"))
+    # A text has no more sums than there are languages.
+    scores = sums.groupBy("row").agg(F.collect_list("above").alias("every"), F.min(F.struct((-F.round("above", 9)).alias("less"), "place")).alias("best"))
+    out = read.select("row", "doc_id", "held_out", "words").join(scores, "row", "left")
+    every = F.coalesce("every", F.array().cast("array<double>"))
+    most, root = F.coalesce(F.array_max(every), F.lit(0.0)), F.sqrt(F.greatest("words", F.lit(1)))
+    odds = F.aggregate(every, F.lit(0.0), lambda s, x: s + F.exp((x - most) / root)) + (F.lit(langs) - F.size(every)) * F.exp(-most / root)
+    out = out.select("doc_id", "held_out", "words", F.coalesce("best.place", F.lit(0)).alias("place"), (1 / odds).alias("score")).join(small(names), "place", "left")
+    none = F.col("words") == 0
+    return out.select("doc_id", "held_out", F.when(none, UNKNOWN).otherwise(F.col("lang")).alias("lang_pred"), F.when(none, 0.0).otherwise(F.col("score")).alias("score"))

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -80,23 +83,57 @@ def test_rare_language_is_learnt(spark):
     assert 0 < sum(r.held_out for r in found if r.doc_id >= 100) < 20
 
 
-def test_languages_by_joins(spark, monkeypatch):
-    """A model that is too large for the workers gives the same rows."""
+def brute_languages(rows):
+    """lang_pred and score of (doc_id, text, lang), one word after the other."""
+    def letters(text):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+
+    counts = {}
+    for i, text, lang in rows:
+        if i is not None and not held(i, 3, 1) and lang is not None:
+            for w in letters(text):
+                for n, g in [(0, w)] + [(n, f"<{w}>"[k : k + n]) for n in (1, 2, 3, 4) for k in range(len(w) + 3 - n)]:
+                    counts.setdefault(n, {}).setdefault(lang, Counter())[g] += 1
+    langs = sorted(counts.get(0, {}))
+    totals = {(n, x): c.total() for n, of in counts.items() for x, c in of.items()}
+
+    def log(n, lang, g):
+        return math.log(counts[n].get(lang, {}).get(g, 0) / totals.get((n, lang), 1) + 1e-9)
+
+    def of_word(w):
+        if any(w in counts[0][x] for x in langs):
+            return [log(0, x, w) for x in langs]
+        for n in (4, 3, 2, 1):
+            known = [g for k in range(len(w) + 3 - n) if any((g := f"<{w}>"[k : k + n]) in counts[n].get(x, {}) for x in langs)]
+            if known:
+                return [sum(log(n, x, g) for g in known) / len(known) for x in langs]
+        return [math.log(1e-9)] * len(langs)
+
+    out = []
+    for i, text, _ in rows:
+        of = letters(text)
+        if not of or not langs:
+            out.append((i, "und", 0.0))
+            continue
+        totals_of = np.sum([of_word(w) for w in of], axis=0)
+        odds = np.exp((totals_of - totals_of.max()) / np.sqrt(len(of)))
+        out.append((i, langs[int(np.argmax(np.round(totals_of, 7)))], 1 / odds.sum()))
+    return out
+
+
+@pytest.mark.parametrize("entries", [0, 60, 400_000])
+def test_languages_match_brute_force(spark, entries):
+    """Whatever part of the words the workers hold."""
     rng = random.Random(5)
     letters = {k: rng.sample("abcdefghijklmnopqrst", 8) for k in ("aa", "bb", "cc", "dd", "ee")}
     texts = [(k, " ".join("".join(rng.choices(of, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 25)))) for k, of in letters.items() for _ in range(40)]
-    rows = [(i, t, k, "s", 0) for i, (k, t) in enumerate(texts)] + [(300, None, "aa", "s", 0), (301, "12 !", "bb", "s", 0), (302, "ß øøø", None, "s", 0), (3, texts[3][1], "aa", "s", 0), (None, "abc", "bb", "s", 0)]
-    docs = spark.createDataFrame(rows, DOC)
-
-    def found():
-        return sorted(((r.doc_id or -1, r.held_out, r.lang_pred, r.score) for r in language.identify(spark, docs).collect()))
-
-    held = found()
-    monkeypatch.setattr(language, "LANGS", 0)
-    joined = found()
-    assert len(joined) == len(rows) and [x[:3] for x in joined] == [x[:3] for x in held]
-    assert [x[3] for x in joined] == pytest.approx([x[3] for x in held], abs=1e-4)
-    assert language.identify(spark, docs.limit(0)).collect() == []
+    rows = [(i, t, k) for i, (k, t) in enumerate(texts)] + [(300, None, "aa"), (301, "12 !", "bb"), (302, "ß øøø", None), (3, texts[3][1], "aa"), (None, "abc", "bb"), (303, "", None), (304, "½ ² Ⅷ ١٢", "cc"), (305, "x½y z²", "dd"), (306, "q" * 50_000, "ee")]
+    docs = spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in rows], DOC).withColumns({"word": F.lit(1), "row": F.lit("x"), "place": F.lit(2)})
+    found = language.identify(spark, docs, entries).collect()
+    assert all(r.held_out == held(r.doc_id, 3, 1) for r in found)
+    by = sorted(((r.doc_id or -1, r.lang_pred, round(r.score, 6)) for r in found))
+    assert by == sorted((i or -1, x, round(s, 6)) for i, x, s in brute_languages(rows))
+    assert language.identify(spark, docs.limit(0), entries).collect() == []
 
 
 def test_language_on_the_given_documents(spark, sf_dir):
