@@ -29,6 +29,8 @@ from .common import Workspace, least_hashes, small
 SKIPPABLE = 0x184D2A5D
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32_000_000
+#: Archives at most, as each is a partition; beyond, they grow.
+ARCHIVES = 100_000
 DICTIONARY_BYTES = 64_000
 DICTIONARY_PAGES = 500
 LEVEL = 3
@@ -104,22 +106,26 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _writer(folder: str, trained: bytes):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{folder}/pages-{key[0].as_py():08d}.warc.zst"
-        part = f"{name}.{uuid.uuid4().hex}.part"
-        compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained)).compress
-        files, at = fs.FileSystem.from_uri(part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's rows are one archive."""
         n = size = 0
-        with files.open_output_stream(at, compression=None) as out:
-            out.write(SKIPPABLE.to_bytes(4, "little") + len(trained).to_bytes(4, "little") + trained)
-            for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "n", "refers_to")]
-                for page_id, url, html, digest, length, refers_to in zip(*columns, strict=True):
-                    kind = "response" if refers_to is None else "revisit"
-                    size += out.write(compress(record(kind, page_id, url or "", digest, length, (html or "").encode(), refers_to)))
-                    n += 1
-        files.move(at, fs.FileSystem.from_uri(name)[1])
-        yield pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+        out = None
+        for batch in batches:
+            if out is None and batch.num_rows:
+                name = f"{folder}/pages-{batch.column('archive')[0].as_py():08d}.warc.zst"
+                files, at = fs.FileSystem.from_uri(f"{name}.{uuid.uuid4().hex}.part")
+                compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained)).compress
+                out = files.open_output_stream(at, compression=None)
+                out.write(SKIPPABLE.to_bytes(4, "little") + len(trained).to_bytes(4, "little") + trained)
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "n", "refers_to")]
+            for page_id, url, html, digest, length, refers_to in zip(*columns, strict=True):
+                kind = "response" if refers_to is None else "revisit"
+                size += out.write(compress(record(kind, page_id, url or "", digest, length, (html or "").encode(), refers_to)))
+                n += 1
+        if out is not None:
+            out.close()
+            files.move(at, fs.FileSystem.from_uri(name)[1])
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
     return run
 
@@ -150,9 +156,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, ws: Works
         again = rows.join(small(repeated), same, "left_semi").groupBy("page_id", "url", "digest", "n", "refers_to").agg(F.first("html").alias("html"), F.count("*").alias("rows"))
         again = again.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(rows.columns)
         rows = rows.join(small(repeated), same, "left_anti").unionByName(again)
-    archives = max(1, -(-((total[0] or 0) + 500 * total[1]) // ARCHIVE_BYTES))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest", "copy"), F.lit(archives)))
-    return ws.save(rows.groupBy("archive").applyInArrow(_writer(folder, trained), "path string, records long, bytes long"), "manifest")
+    archives = min(max(1, -(-((total[0] or 0) + 500 * total[1]) // ARCHIVE_BYTES)), ARCHIVES)
+    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest", "copy"), F.lit(archives)).cast("int"))
+    return ws.save(rows.repartitionById(archives, "archive").mapInArrow(_writer(folder, trained), "path string, records long, bytes long"), "manifest")
 
 
 def _trained(ws: Workspace, pages: DataFrame, sizes: DataFrame) -> bytes:
