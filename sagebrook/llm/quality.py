@@ -1,14 +1,17 @@
 """Document quality from random-indexing word vectors and a small network.
 
-A text's tokens are its runs of letters, of digits and of other marks. Tokens are hashed to BUCKETS
-names, so that all tables have a fixed size at any scale. Random indexing gives every name a sparse
-random index vector; a name's word vector is the sum of the index vectors of its neighbours within
-WINDOW tokens over all documents. Tasks count neighbours in one table of a fixed size, and only the
-projected tables (BUCKETS x DIMENSIONS numbers for each task) are summed up.
+A text's tokens are its runs of letters, of digits and of other marks. Random indexing gives every
+token a sparse random index vector, which follows from its hash; its word vector is the sum of the
+index vectors of its neighbours within WINDOW tokens over all documents, counted in whole numbers:
+tasks add up what they read by token, Spark adds these up, and every token has a row of its own.
+A token seen less than RARE times in all has no neighbours to speak of; it takes the vector of all
+such tokens of its kind (letters, digits or marks, and how long).
 
 A document is the mean and the spread of its tokens' unit vectors, its length and how often it
-repeats itself. A two-layer network is fitted on a bounded sample of labelled rows, SAMPLE of those
-with the least hashes, and a temperature fitted on a part kept aside makes its probabilities honest.
+repeats itself. Workers hold the commonest tokens' vectors, up to HELD of them; what the others add
+to a document comes from a join. A two-layer network is fitted on a bounded sample of labelled rows,
+SAMPLE of those with the least hashes, and a temperature fitted on a part kept aside makes its
+probabilities honest.
 """
 
 from __future__ import annotations
@@ -19,81 +22,166 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from .common import Workspace, least_hashes
-from .shingles import token_hashes
+from .shingles import mix, token_hashes
 
-BUCKETS = 2048
-DIMENSIONS = 64
-NONZERO = 8
+DIMENSIONS = 16
+NONZERO = 4
 WINDOW = 2
+RARE = 5
+#: Tokens whose vectors a worker holds; some 70 bytes each.
+HELD = 500_000
+#: Tokens that a task adds up before it passes sums on.
+SUMMED = 400_000
 SAMPLE = 20_000
 HIDDEN = 32
 THRESHOLD = 0.3
 FEATURES = 2 * DIMENSIONS + 3
+_AXES = [f"v{i}" for i in range(DIMENSIONS)]
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse random vectors of -1, 0 and 1, one for each name."""
-    rng = np.random.default_rng(20240507)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    for row in out:
-        row[rng.choice(DIMENSIONS, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The sparse random vectors of tokens: NONZERO times 1 or -1, at places that the hash tells."""
+    bits = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    out = np.zeros((len(hashes), DIMENSIONS), np.int32)
+    for k in range(NONZERO):
+        part = (bits >> np.uint64(8 * k)).astype(np.int64)
+        np.add.at(out, (np.arange(len(hashes)), part % DIMENSIONS), np.where(part & 128, 1, -1))
     return out
 
 
-def names(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The names of all tokens of all texts, and each text's place among them."""
-    hashes, at = token_hashes(column)
-    return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS, at
+def _grouped(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows added up by key, sorted by it."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    if not len(first):
+        return keys, kinds, seen, sums
+    return keys[first], kinds[order][first], np.add.reduceat(seen[order], first), np.add.reduceat(sums[order], first, axis=0)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS * BUCKETS, np.float32)
+    """(token, kind, seen, v0, v1, ...): how often each token is seen, and the sum of its neighbours'
+    index vectors."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int64))
+    held, n = [none], 0
+
+    def rows(of: tuple) -> pa.RecordBatch:
+        keys, kinds, seen, sums = of
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds), pa.array(seen), *(pa.array(c.copy()) for c in sums.T)], names=["token", "kind", "seen", *_AXES])
+
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
-            tokens, at = names(whole.slice(start, 512).column(0))
+            tokens, at, kinds = token_hashes(whole.slice(start, 512).column(0))
+            if not len(tokens):
+                continue
+            unique, first, inverse = np.unique(tokens, return_index=True, return_inverse=True)
+            own = index_vectors(unique)[inverse]
             text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            keys = [(tokens[:-d] * BUCKETS + tokens[d:])[text[:-d] == text[d:]] for d in range(1, WINDOW + 1)]
-            keys = np.concatenate(keys)
-            if len(keys):
-                counts += np.bincount(keys, minlength=len(counts)).astype(np.float32)
-    table = counts.reshape(BUCKETS, BUCKETS)
-    vectors = (table + table.T) @ index_vectors()
-    used = np.flatnonzero(np.abs(vectors).sum(axis=1))
-    values = pa.FixedSizeListArray.from_arrays(pa.array(vectors[used].ravel(), pa.float32()), DIMENSIONS).cast(pa.list_(pa.float32()))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), values], names=["name", "vector"])
-
-
-def _sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(DIMENSIONS)
-    for batch in batches:
-        total += batch.column(1).flatten().to_numpy().reshape(-1, DIMENSIONS).sum(axis=0, dtype=np.float64)
-    yield pa.RecordBatch.from_pydict({"name": pa.array([key[0].as_py()], pa.int32()), "vector": pa.array([total], pa.list_(pa.float64()))})
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit word vectors of all names over all of ``docs`` (text); of names without neighbours 0."""
-    parts = docs.select("text").mapInArrow(_neighbours, "name int, vector array<float>")
-    # Twice, so that a name's vectors from very many tasks don't meet in one group at once.
-    salted = parts.withColumn("lot", F.pmod(F.xxhash64("vector"), F.lit(64))).groupBy("name", "lot").applyInArrow(_sum, "name int, vector array<double>")
-    out = np.zeros((BUCKETS, DIMENSIONS))
-    for row in salted.groupBy("name").applyInArrow(_sum, "name int, vector array<double>").collect():  # BUCKETS rows
-        out[row["name"]] = row["vector"]
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norms > 0, norms, 1)).astype(np.float32)
-
-
-def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    tokens, at = names(column)
+            near = np.zeros((len(tokens), DIMENSIONS), np.int32)
+            for d in range(1, WINDOW + 1):
+                same = (text[:-d] == text[d:])[:, None]
+                near[:-d] += own[d:] * same
+                near[d:] += own[:-d] * same
+            order = np.argsort(inverse, kind="stable")
+            sums = np.add.reduceat(near[order], np.searchsorted(inverse[order], np.arange(len(unique))), axis=0).astype(np.int64)
+            held.append((unique, kinds[first], np.bincount(inverse), sums))
+            n += len(unique)
+            if n > SUMMED:
+                held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                n = len(held[0][0])
+                if n > SUMMED // 2:
+                    yield rows(held[0])
+                    held, n = [none], 0
+    last = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    if len(last[0]):
+        yield rows(last)
+
+
+def word_vectors(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors over all of ``docs`` (text): (token, seen, v0, ...) of the tokens seen RARE times
+    or more, and (kind, v0, ...) of each kind of the others. A vector without any sum is 0."""
+    schema = "token long, kind int, seen long, " + ", ".join(f"{x} long" for x in _AXES)
+    sums = [F.sum(x).alias(x) for x in _AXES]
+    parts = docs.select("text").mapInArrow(_neighbours, schema)
+    every = ws.save(parts.groupBy("token").agg(F.min("kind").alias("kind"), F.sum("seen").alias("seen"), *sums), "sums")
+
+    def units(df: DataFrame, *keep: str) -> DataFrame:
+        norm = F.sqrt(sum(F.col(x).cast("double") * F.col(x) for x in _AXES))
+        return df.withColumn("norm", F.when(norm > 0, norm).otherwise(1.0)).select(*keep, *[(F.col(x) / F.col("norm")).cast("float").alias(x) for x in _AXES])
+
+    rare = every.where(F.col("seen") < RARE).groupBy("kind").agg(*sums)
+    return ws.save(units(every.where(F.col("seen") >= RARE), "token", "seen"), "words"), ws.save(units(rare, "kind"), "kinds")
+
+
+class Vectors:
+    """What a worker holds: the vectors of tokens (sorted hashes) and of kinds. ``whole`` says that
+    no token has a row of its own but those held here."""
+
+    def __init__(self, words: DataFrame, kinds: DataFrame, held: int):
+        total = words.count()
+        self.whole = total <= held
+        if not self.whole:
+            words = words.where(F.col("seen") > _seen_by(words, held))
+        table = words.select("token", *_AXES).toArrow()
+        tokens = table["token"].to_numpy().view(np.uint64)
+        order = np.argsort(tokens)
+        self.tokens = tokens[order]
+        self.vectors = np.vstack([np.column_stack([table[x].to_numpy() for x in _AXES]).reshape(-1, DIMENSIONS)[order], np.zeros((64, DIMENSIONS))]).astype(np.float32)
+        for row in kinds.collect():  # 64 at most
+            self.vectors[len(tokens) + row["kind"]] = [row[x] for x in _AXES]
+
+    def places(self, tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's place among the vectors, that of its kind if it isn't held; and whether it is."""
+        at = np.minimum(np.searchsorted(self.tokens, tokens), max(len(self.tokens) - 1, 0))
+        found = self.tokens[at] == tokens if len(self.tokens) else np.zeros(len(tokens), bool)
+        return np.where(found, at, len(self.tokens) + kinds), found
+
+
+def _seen_by(words: DataFrame, most: int) -> int:
+    """A power of two, less one, so that no more than so many tokens are seen more often."""
+    by = words.groupBy(F.floor(F.log2("seen")).cast("int").alias("power")).count().collect()  # 64 rows at most
+    held = 0
+    for power, n in sorted(((r["power"], r["count"]) for r in by), reverse=True):
+        held += n
+        if held > most:
+            return (2 << power) - 1
+    return 0
+
+
+def sums_of(column: pa.Array, held: Vectors) -> tuple[np.ndarray, np.ndarray, list]:
+    """For each text: (tokens, share of repeats) and the sums of its tokens' vectors and of their
+    squares; and, unless all vectors are held, (token, times) of those that aren't held. What their
+    kinds add is in the sums, and what their own vectors add beyond that is for a join to find."""
+    tokens, at, kinds = token_hashes(column)
     n = len(at) - 1
-    counts = np.bincount(np.repeat(np.arange(n), np.diff(at)) * BUCKETS + tokens, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
-    total = counts.sum(axis=1, keepdims=True)
-    shares = counts / np.maximum(total, 1)
-    mean = shares @ vectors
-    spread = np.sqrt(np.maximum(shares @ (vectors * vectors) - mean * mean, 0))
-    again = (shares * shares).sum(axis=1, keepdims=True)
+    text = np.repeat(np.arange(n), np.diff(at))
+    unique, first, inverse = np.unique(tokens, return_index=True, return_inverse=True)
+    cells, times = np.unique(text * len(unique) + inverse, return_counts=True)
+    row, word = cells // max(len(unique), 1), cells % max(len(unique), 1)
+    total = np.diff(at).astype(np.float64)
+    again = np.bincount(row, times.astype(np.float64) ** 2, minlength=n) / np.maximum(total, 1) ** 2
+    places, found = held.places(unique, kinds[first])
+    own = held.vectors[places].astype(np.float64)
+    sums = np.zeros((n, 2 * DIMENSIONS))
+    starts = np.searchsorted(row, np.arange(n))
+    some = total > 0
+    if some.any():
+        each = own[word] * times[:, None]
+        sums[some] = np.hstack([np.add.reduceat(x, starts[some], axis=0) for x in (each, each * own[word])])
+    rest: list = [[] for _ in range(n)]
+    if not held.whole:
+        for k in np.flatnonzero(~found[word]).tolist():
+            rest[row[k]].append({"token": int(unique[word[k]].view(np.int64)), "times": int(times[k]), "kind": int(kinds[first[word[k]]])})
+    return np.column_stack([total, again]), sums, rest
+
+
+def features(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    total, again = counts[:, :1], counts[:, 1:]
+    mean, square = np.hsplit(sums / np.maximum(total, 1), 2)
+    spread = np.sqrt(np.maximum(square - mean * mean, 0))
     return np.hstack([mean, spread, np.log1p(total) / 5, np.log(again + 1e-4), again * np.log1p(total)]).astype(np.float32)
 
 
@@ -143,40 +231,79 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def _per_text(result, kind: pa.DataType, name: str):
-    """Rows as they are, with what ``result`` makes of their texts (the last column) in its place."""
+_FEATURES = ArrayType(FloatType())
+_SUMS = "total double, again double, sums array<double>, rest array<struct<token:bigint,times:bigint,kind:int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _schema(df: DataFrame, without: str, *more: StructField) -> StructType:
+    return StructType([f for f in df.schema.fields if f.name != without] + list(more))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def pooled(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame], most: int) -> DataFrame:
+    """``rows`` (row, text and others) with features in place of text: those of the whole text, with
+    every token's own vector."""
+    words, kinds = vectors
+    held = Vectors(words, kinds, most)
+    sent = ws.spark.sparkContext.broadcast(held)
+    keep = [c for c in rows.columns if c != "text"]
+    schema = _schema(rows, "text", StructField("features", _FEATURES))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                made = result(batch.column(batch.num_columns - 1))
-                made = pa.array(list(made), kind) if pa.types.is_list(kind) else pa.array(made, kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], name])
-
-    return run
+                counts, sums, rest = sums_of(batch.column("text"), sent.value)
+                own = [batch.column(c) for c in keep]
+                if sent.value.whole:
+                    made = [pa.array(list(features(counts, sums)), pa.list_(pa.float32()))]
+                    yield pa.RecordBatch.from_arrays([*own, *made], names=[*keep, "features"])
+                else:
+                    made = [pa.array(counts[:, 0]), pa.array(counts[:, 1]), pa.array(list(sums), pa.list_(pa.float64()))]
+                    made.append(pa.array(rest, pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64()), ("kind", pa.int32())]))))
+                    yield pa.RecordBatch.from_arrays([*own, *made], names=[*keep, "total", "again", "sums", "rest"])
+
+    if held.whole:
+        return rows.mapInArrow(read, schema)
+    texts = ws.save(rows.mapInArrow(read, _schema(rows, "text", *StructType.fromDDL(_SUMS).fields)), "texts")
+    rest = texts.select("row", F.inline("rest")).join(words.select("token", *_AXES), "token")
+    # A kind that no rare token has isn't there, and its vector is 0.
+    as_kind = F.broadcast(kinds.select(F.col("kind").alias("of"), *[F.col(x).alias(f"k{x}") for x in _AXES]))
+    rest = rest.join(as_kind, F.col("kind") == F.col("of"), "left")
+    value, old = [[F.coalesce(F.col(f"{p}{x}").cast("double"), F.lit(0.0)) for x in _AXES] for p in ("", "k")]
+    adds = [F.sum(F.col("times") * (a - b)) for a, b in zip(value, old, strict=True)] + [F.sum(F.col("times") * (a * a - b * b)) for a, b in zip(value, old, strict=True)]
+    adds = rest.groupBy("row").agg(F.array(*adds).alias("adds"))
+    whole = F.zip_with("sums", F.coalesce("adds", F.array_repeat(F.lit(0.0), 2 * DIMENSIONS)), lambda a, b: a + b)
+    joined = texts.drop("rest").join(adds, "row", "left").select(*keep, "total", "again", whole.alias("sums"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.column_stack([batch.column("total").to_numpy(), batch.column("again").to_numpy()])
+            made = features(counts, _numbers(batch.column("sums"))) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(list(made), pa.list_(pa.float32()))], names=[*keep, "features"])
+
+    return joined.mapInArrow(finish, schema)
 
 
 def _share(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors over all ``docs``, and the network fitted on labelled ones; ``labels`` is
-    (doc_id, quality). Rows with crc32(doc_id) mod 5 = 0 are never learnt from. A doc_id with
-    several labels has the rounded mean, one with several texts is learnt from the least; null
-    labels don't count."""
-    ws = Workspace(spark, "quality")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = word_vectors(docs)
+def train(ws: Workspace, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = HELD) -> tuple[tuple[DataFrame, DataFrame], Network]:
+    """Word vectors over all ``docs`` (doc_id, text), and the network fitted on labelled ones;
+    ``labels`` is (doc_id, quality). Rows with crc32(doc_id) mod 5 = 0 are never learnt from. A
+    doc_id with several labels has the rounded mean, one with several texts is learnt from the
+    least; null labels don't count."""
+    vectors = word_vectors(ws, docs)
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     known = known.where(_share("doc_id", 5) != 0)
     known = ws.save(known, "known")
     known = ws.save(least_hashes(known, "doc_id", sample), "labels")
-    held = spark.sparkContext.broadcast(vectors)
     rows = docs.where(_share("doc_id", 5) != 0).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    made = rows.mapInArrow(_per_text(lambda c: features(c, held.value), pa.list_(pa.float32()), "features"), "doc_id long, quality int, features array<float>")
-    made = ws.save(made, "features")
+    made = ws.save(pooled(ws, rows.withColumn("row", F.col("doc_id")), vectors, held).select("doc_id", "quality", "features"), "features")
     table = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # ``sample`` rows at most
     x = np.array(table["features"].to_pylist(), np.float32).reshape(-1, FEATURES)
     y = table["quality"].to_numpy().astype(int)
@@ -184,35 +311,47 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return vectors, Network(x, y, aside)
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _scored(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame], network: Network, held: int) -> DataFrame:
+    """``rows`` (row, text and others) with a score in place of text."""
+    sent = ws.spark.sparkContext.broadcast(network)
+    df = pooled(ws, rows, vectors, held)
+    keep = [c for c in df.columns if c != "features"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = sent.value(_numbers(batch.column("features"))).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made)], names=[*keep, "score"])
+
+    return df.mapInArrow(run, _schema(df, "features", StructField("score", DoubleType())))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = HELD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
     score is the probability of label 1, from the text alone; predicted is 1 from THRESHOLD on.
     Null and empty texts have a score like any other, that of no tokens. Without labels, or with
     one label only, all scores are that label's share, or 0.5. A null doc_id isn't held out.
-    Repeated rows each get their row; an empty table gives an empty result.
+    Repeated rows each get their row; an empty table gives an empty result; other columns are
+    ignored. ``held`` bounds what workers hold and changes no result.
     """
-    vectors, network = train(spark, docs, labels, sample)
-    held = spark.sparkContext.broadcast((vectors, network))
-
-    def result(column: pa.Array) -> np.ndarray:
-        return held.value[1](features(column, held.value[0])).astype(np.float64)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_per_text(result, pa.float64(), "score"), "doc_id long, score double")
+    ws = Workspace(spark, "quality")
+    texts = _texts(docs)
+    vectors, network = train(ws, texts, labels, sample, held)
+    scored = _scored(ws, texts.withColumn("row", F.monotonically_increasing_id()), vectors, network, held)
     return scored.select("doc_id", F.coalesce(_share("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is THRESHOLD or more, with all their columns."""
-    vectors, network = train(spark, docs, labels)
-    held = spark.sparkContext.broadcast((vectors, network))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                good = held.value[1](features(batch.column("text"), held.value[0])) >= THRESHOLD
-                yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, held: int = HELD) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) whose score is THRESHOLD or more, with all
+    their columns as they are. Each row is judged by its own text, null and empty ones as texts
+    without tokens; repeated rows stay or go together; of an empty table none is left."""
+    ws = Workspace(spark, "quality")
+    vectors, network = train(ws, _texts(docs), labels, held=held)
+    # A struct keeps all columns apart from those that are added.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    return _scored(ws, rows, vectors, network, held).where(F.col("score") >= THRESHOLD).select("doc.*")

@@ -91,14 +91,16 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _hashes(_LOWER[raw], begin, end), np.searchsorted(begin, at).astype(np.int64)
 
 
-def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same of runs of letters, of digits and of marks, in their own case; bytes of characters
-    beyond ASCII count as letters."""
+    beyond ASCII count as letters. Last the kind of each, from 0 to 63: a run of what, and its
+    number of bytes, up to 15."""
     raw, at = _bytes(column)
     if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int32)
     begin, end = _runs(_KIND[raw], at)
-    return _hashes(raw, begin, end), np.searchsorted(begin, at).astype(np.int64)
+    kinds = _KIND[raw[begin]].astype(np.int32) * 16 + np.minimum(end - begin, 15).astype(np.int32)
+    return _hashes(raw, begin, end), np.searchsorted(begin, at).astype(np.int64), kinds
 
 
 def _hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

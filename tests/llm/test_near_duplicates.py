@@ -63,8 +63,8 @@ def test_shingles_match_python():
 
 
 def test_tokens():
-    _, at = token_hashes(pa.array(["a1!! b", None, "", "é***"]))
-    assert np.diff(at).tolist() == [4, 0, 0, 2]
+    _, at, kinds = token_hashes(pa.array(["a1!! b", None, "", "é***"]))
+    assert np.diff(at).tolist() == [4, 0, 0, 2] and kinds.tolist() == [17, 33, 50, 17, 18, 51]
 
 
 def test_matches_brute_force(spark):

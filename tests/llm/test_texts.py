@@ -9,11 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sagebrook.llm import decontaminate, html_text, language, mixing, pii, quality, token_counts
+from sagebrook.llm.common import Workspace
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 100_000
@@ -60,6 +62,52 @@ def test_quality_on_the_given_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(spark, docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) >= 0.97
+
+
+def test_word_vectors_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SUMMED", 40)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["ab", "cd", "x", "77", "***", "é", "fgh,", "ij"], k=rng.randrange(12))) for _ in range(80)] + [None, "", "once", "twice twice", "never7seen"]
+
+    def tokens(text):
+        hashes, at, kinds = quality.token_hashes(pa.array([text], pa.string()))
+        return [(int(h), int(k)) for h, k in zip(hashes.view(np.int64), kinds)]
+
+    def index(h):
+        return quality.index_vectors(np.array([h], np.int64).view(np.uint64))[0]
+
+    sums, seen, kind_of = {}, Counter(), {}
+    for text in texts:
+        of = tokens(text)
+        for i, (h, k) in enumerate(of):
+            seen[h] += 1
+            kind_of[h] = k
+            near = [index(of[j][0]) for j in range(max(0, i - 2), min(len(of), i + 3)) if j != i]
+            sums[h] = sums.get(h, 0) + (np.sum(near, axis=0) if near else np.zeros(quality.DIMENSIONS, int))
+    kinds = {}
+    for h, n in seen.items():
+        if n < quality.RARE:
+            kinds[kind_of[h]] = kinds.get(kind_of[h], 0) + sums[h]
+    ws = Workspace(spark, "test")
+    words, others = quality.word_vectors(ws, spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    axes = [f"v{i}" for i in range(quality.DIMENSIONS)]
+    got = {r.token: (r.seen, [r[x] for x in axes]) for r in words.collect()}
+    assert set(got) == {h for h, n in seen.items() if n >= quality.RARE} and len(got) > 6 and kinds
+    for h, (n, v) in got.items():
+        assert n == seen[h] and v == pytest.approx((sums[h] / max(np.linalg.norm(sums[h]), 1)).tolist(), abs=1e-6)
+    for r in others.collect():
+        assert [r[x] for x in axes] == pytest.approx((kinds[r.kind] / max(np.linalg.norm(kinds[r.kind]), 1e-9)).tolist(), abs=1e-6)
+
+
+def test_quality_whatever_workers_hold(spark, labelled):
+    docs, labels = labelled
+    docs = docs.withColumns({"row": F.lit("x"), "score": F.lit(1), "features": F.lit(None).cast("int")})
+    want, got = ([(r.doc_id, r.predicted, round(r.score, 4)) for r in quality.score(spark, docs, labels, held=h).collect()] for h in (500_000, 3))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == docs.count()
+    kept = quality.keep_good(spark, docs, labels, held=3)
+    assert kept.dtypes == docs.dtypes and sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(i) for i, p, _ in want if p)
 
 
 def test_language(spark):
