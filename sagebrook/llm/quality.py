@@ -45,13 +45,24 @@ _AXES = [f"v{i}" for i in range(DIMENSIONS)]
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
     """The sparse random vectors of tokens: NONZERO times 1 or -1, at places that the hash tells."""
     bits = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
-    out = np.zeros((len(hashes), DIMENSIONS), np.int32)
+    out, row = np.zeros((len(hashes), DIMENSIONS), np.int8), np.arange(len(hashes))
     for k in range(NONZERO):
         part = (bits >> np.uint64(8 * k)).astype(np.int64)
-        np.add.at(out, (np.arange(len(hashes)), part % DIMENSIONS), np.where(part & 128, 1, -1))
+        out[row, part % DIMENSIONS] += np.where(part & 128, 1, -1).astype(np.int8)
     return out
 
 
+def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, order that sorts tokens, starts of each in it, each token's place among the
+    distinct ones); there must be some."""
+    order = np.argsort(tokens)
+    ordered = tokens[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    starts, places = np.flatnonzero(new), np.empty(len(tokens), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[starts], order, starts, places
+
+
 def _grouped(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows added up by key, sorted by it."""
     order = np.argsort(keys, kind="stable")
@@ -77,17 +88,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, at, kinds = token_hashes(whole.slice(start, 512).column(0))
             if not len(tokens):
                 continue
-            unique, first, inverse = np.unique(tokens, return_index=True, return_inverse=True)
-            own = index_vectors(unique)[inverse]
+            unique, order, starts, places = _distinct(tokens)
+            own = index_vectors(unique)[places]
             text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            near = np.zeros((len(tokens), DIMENSIONS), np.int32)
+            near = np.zeros((len(tokens), DIMENSIONS), np.int8)  # from -16 to 16
             for d in range(1, WINDOW + 1):
                 same = (text[:-d] == text[d:])[:, None]
                 near[:-d] += own[d:] * same
                 near[d:] += own[:-d] * same
-            order = np.argsort(inverse, kind="stable")
-            sums = np.add.reduceat(near[order], np.searchsorted(inverse[order], np.arange(len(unique))), axis=0).astype(np.int64)
-            held.append((unique, kinds[first], np.bincount(inverse), sums))
+            sums = np.add.reduceat(near[order], starts, axis=0, dtype=np.int64)
+            held.append((unique, kinds[order[starts]], np.diff(starts, append=len(tokens)), sums))
             n += len(unique)
             if n > SUMMED:
                 held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
@@ -158,9 +168,12 @@ def sums_of(column: pa.Array, held: Vectors) -> tuple[np.ndarray, np.ndarray, li
     tokens, at, kinds = token_hashes(column)
     n = len(at) - 1
     text = np.repeat(np.arange(n), np.diff(at))
-    unique, first, inverse = np.unique(tokens, return_index=True, return_inverse=True)
-    cells, times = np.unique(text * len(unique) + inverse, return_counts=True)
-    row, word = cells // max(len(unique), 1), cells % max(len(unique), 1)
+    if not len(tokens):
+        return np.zeros((n, 2)), np.zeros((n, 2 * DIMENSIONS)), [[] for _ in range(n)]
+    unique, order, starts, place = _distinct(tokens)
+    first = order[starts]
+    cells, times = np.unique(text * len(unique) + place, return_counts=True)
+    row, word = cells // len(unique), cells % len(unique)
     total = np.diff(at).astype(np.float64)
     again = np.bincount(row, times.astype(np.float64) ** 2, minlength=n) / np.maximum(total, 1) ** 2
     places, found = held.places(unique, kinds[first])
