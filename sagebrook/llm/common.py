@@ -69,6 +69,21 @@ def least_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(hashed, key).limit(n)
 
 
+#: Rows of one key from which on a join keeps them where they are.
+HEAVY = 10_000
+
+
+def joined(rows: DataFrame, saved: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of a saved table (key, n, ...), one row for each key, where n is the
+    number of rows with that key. Keys of very many rows don't meet in one task: they are looked up
+    in a broadcast, which holds a row for HEAVY rows or more. A small table is broadcast whole."""
+    if saved.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(saved), key)
+    heavy = saved.where(F.col("n") >= HEAVY)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(saved.where(F.col("n") < HEAVY), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (two columns of one orderable type), where
     component is the smallest node that can be reached.
@@ -84,15 +99,15 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     while not _stars(edges):
         # Large star: u's larger neighbours are attached to the smallest node u knows.
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = ws.save(large, "large")
+        least = ws.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        large = joined(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = ws.save(large.distinct(), "large")
         # Small star: u and its smaller neighbours are attached to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        rest = large.join(low.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = ws.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        rest = joined(large, low.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = ws.save(rest.union(low.select("u", "m")).distinct(), "edges")
-        ws.drop(edges)
-        ws.drop(large)
+        for old in (edges, least, large, low):
+            ws.drop(old)
         edges = after
     roots = edges.select("v").distinct()
     return ws.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v")), "components")

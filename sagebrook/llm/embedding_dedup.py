@@ -2,14 +2,16 @@
 
 Normalised vectors are projected on Gaussian directions; a projection plus a random offset, divided
 by WIDTH and rounded down, is one hash, and a bucket of a table is the combination of ``k`` of them.
-Two vectors at distance c share one hash with the chance p(c) of Datar et al. (2004). The number of
-hashes of a table follows the size of the largest label, so that unrelated vectors (at right
-angles) seldom share a bucket in any table; the number of tables follows from that, so that a pair
-at the threshold misses all tables with a chance of MISS at most.
-
-As with MinHash, identical vectors of a label form one class, each bucket links its classes to its
-smallest one, and exact cosines in double precision are computed within the connected groups, in
-units of at most two blocks of vectors.
+Two vectors at distance c share one hash with the chance p(c) of Datar et al. (2004). A table has as
+many hashes as leave some BUCKET unrelated vectors (at right angles) of the largest label together,
+up to MOST hashes, beyond which buckets grow; the number of tables follows from that, 129 at most, so
+that a pair at the threshold misses all tables with a chance of MISS at most.
+
+Identical vectors of a label form one class. What shares a bucket is compared there, before anything
+is connected, by SIGNS signs of other projections (see buckets.py): a pair at the threshold differs
+in too many of them with a chance of 3e-7, one at a cosine of 0.7 seldom in as few. Exact cosines in
+double precision are then computed between all vectors of each connected group, in units of at most
+two blocks, since n_links counts all of them.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import buckets as shared
 from .common import Workspace, components, small
-from .minhash import candidate_groups
 from .shingles import mix
 
 COSINE = 0.93
 WIDTH = 2.5
 MISS = 1e-3
+BUCKET, FEWEST, MOST = 200, 4, 23
+#: Signs of a sketch, and how many may differ: at the threshold, all but five standard deviations.
+SIGNS, DIFFERING = 512, 98
 #: Vectors in one block of exact comparisons.
 BLOCK = 1000
 
@@ -44,11 +49,23 @@ def chance(distance: float) -> float:
 def shape(vectors: int) -> tuple[int, int]:
     """(tables, hashes in each) for so many vectors to be compared with one another."""
     near, far = chance(math.sqrt(2 - 2 * COSINE)), chance(math.sqrt(2))
-    for k in range(4, 200):
-        tables = math.ceil(math.log(MISS) / math.log1p(-(near**k)))
-        if vectors * tables * far**k < 0.3:
-            break
-    return tables, k
+    k = max(FEWEST, min(MOST, round(math.log(max(vectors, 1) / BUCKET) / -math.log(far))))
+    return math.ceil(math.log(MISS) / math.log1p(-(near**k))), k
+
+
+@cache
+def _sign_directions(dim: int) -> np.ndarray:
+    return np.random.default_rng([20240510, dim]).standard_normal((dim, SIGNS)).astype(np.float32)
+
+
+def signs(units: np.ndarray) -> list[bytes]:
+    """On which sides of SIGNS random planes each vector lies."""
+    return [row.tobytes() for row in np.packbits(units.astype(np.float32) @ _sign_directions(units.shape[1]) > 0, axis=1)]
+
+
+def alike(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether signs leave it open that vectors have a cosine of COSINE."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= DIFFERING
 
 
 @cache
@@ -76,15 +93,17 @@ def _hashes(tables: int, k: int):
                 salt = np.array([hash_label(x) for x in batch.column(1).to_pylist()], np.uint64)
                 vectors = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
                 names: list = [None] * len(vectors)
+                sketches: list = [None] * len(vectors)
                 for dim in {len(v) for v in vectors}:
                     of = [i for i, v in enumerate(vectors) if len(v) == dim]
                     x = np.stack([vectors[i] for i in of])
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     found = mix(buckets(x, tables, k).view(np.uint64) ^ mix(salt[of] + np.uint64(dim))[:, None]).view(np.int64)
-                    for i, row in zip(of, found, strict=True):
-                        names[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.int64()))], names=["node", "bands"])
+                    for i, row, sketch in zip(of, found, signs(x), strict=True):
+                        names[i], sketches[i] = row, sketch
+                columns = [batch.column(0), pa.array([1] * len(names), pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "bands", "sketch"])
 
     return run
 
@@ -144,12 +163,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False))
-    classes = vectors.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    classes = ws.save(classes, "classes")
+    vectors = vectors.withColumns({"usable": usable, "h": F.xxhash64("label", "embedding"), "g": F.xxhash64("embedding", F.lit(20240511), "label")})
+    classes = vectors.where("usable").groupBy("h", "g").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = ws.save(classes.withColumn("node", F.col("h")), "classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
-    banded = ws.save(classes.select("node", "label", "embedding").mapInArrow(_hashes(*shape(most)), "node long, bands array<long>"), "banded")
-    groups = candidate_groups(ws, banded)
+    banded = classes.select("node", "label", "embedding").mapInArrow(_hashes(*shape(most)), "node long, size long, bands array<long>, sketch binary")
+    groups = components(ws, shared.links(ws, ws.save(banded, "banded"), alike))
     sizes = ws.save(groups.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")), "sizes")
     packs = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("count")).first()[0] or 0) // (2 * BLOCK)))
     rows = groups.join(small(sizes), "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -162,10 +182,11 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
     degrees = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(ws, found.select("node", "hub"))
-    labels = classes.join(degrees, "node", "left").join(small(linked), "node", "left")
-    labels = labels.select("label", "embedding", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    labels = ws.save(labels.where("n_links > 0"), "labels")
-    out = vectors.withColumn("usable", usable).join(labels, ["label", "embedding"], "left")
+    of = classes.select("h", "g", "node", "first", "copies").join(degrees, "node", "left").join(small(linked), "node", "left")
+    of = ws.save(of.select("h", "g", "first", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).where("n_links > 0"), "of")
+    least = ws.save(of.where("component is not null").groupBy("component").agg(F.min("first").alias("least")), "least")
+    labels = ws.save(of.join(small(least), "component", "left").select("h", "g", F.coalesce("least", "first").alias("component"), "n_links"), "labels")
+    out = vectors.select("vec_id", "usable", "h", "g").join(small(labels), ["h", "g"], "left")
     out = out.select(
         "vec_id",
         F.when(F.col("usable"), F.coalesce("n_links", F.lit(0).cast("long"))).otherwise(0).alias("n_links"),

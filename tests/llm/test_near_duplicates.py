@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sagebrook.llm import embedding_dedup, minhash
+from sagebrook.llm import buckets, common, embedding_dedup, minhash
 from sagebrook.llm.common import Workspace, components
 from sagebrook.llm.shingles import shingle_sets, token_hashes
 
@@ -78,6 +78,7 @@ def test_matches_brute_force(spark):
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "UNIT_SHINGLES", 400)
+    monkeypatch.setattr(buckets, "UNIT", 30)
     texts = corpus(5, 40)
     base = ["w%d" % i for i in range(60)]
     for i in range(60):
@@ -106,6 +107,15 @@ def test_components_of_a_chain(spark):
     assert found == {i: 0 for i in range(51)} | {100: 100, 101: 100}
 
 
+def test_components_with_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(common, "HEAVY", 10)
+    ws = Workspace(spark, "test")
+    edges = [(i, i + 1) for i in range(20)] + [(500, i) for i in range(200, 260)] + [(i, i + 300) for i in range(200, 260)]
+    found = {r.node: r.component for r in components(ws, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(21)} | {i: 200 for i in [500, *range(200, 260), *range(500, 560)]}
+
+
 def test_estimate_of_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 800, dtype=np.uint64))
@@ -146,6 +156,7 @@ def brute_vectors(rows):
 
 def test_embeddings_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(buckets, "UNIT", 60)
     rows = vectors()
     v = rows[0][1]
     rows += [(9000, None, 1), (9001, [0.0] * 16, 1), (9002, [float("nan")] + v[1:], 1), (9003, [None] + v[1:], 1), (9004, v, None), (9005, v[:8], rows[0][2]), (9006, [], 1), (9007, [float("inf")] + v[1:], 1)]
@@ -154,6 +165,55 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, embedding_dedup.near_duplicates(spark, df).collect())) == brute_vectors(rows)
 
 
-def test_shape_grows_with_the_label():
-    assert embedding_dedup.shape(10)[1] < embedding_dedup.shape(100_000)[1]
+def test_shape_grows_with_the_label_and_stays_bounded():
+    assert embedding_dedup.shape(10)[1] < embedding_dedup.shape(100_000)[1] and embedding_dedup.shape(0)[1] == embedding_dedup.FEWEST
+    assert embedding_dedup.shape(10**12) == embedding_dedup.shape(10**14) and embedding_dedup.shape(10**14)[0] < 130
     assert embedding_dedup.chance(0.1) > embedding_dedup.chance(1.0) > 0
+
+
+@pytest.mark.parametrize("cosine", [0.931, 0.95])
+def test_recall_of_embeddings_near_the_threshold(cosine):
+    """Share of pairs at a cosine that share a bucket and pass by their signs, for a small and for a
+    very large label."""
+    rng = np.random.default_rng(3)
+    a, b = (rng.standard_normal((3000, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    likely = embedding_dedup.alike(*(np.frombuffer(b"".join(embedding_dedup.signs(x)), np.uint64).reshape(len(x), -1) if i % 2 == 0 else x for i, x in enumerate((a, a, b, b))))
+    for size in (10_000, 10**9):
+        shared = (embedding_dedup.buckets(a, *embedding_dedup.shape(size)) == embedding_dedup.buckets(b, *embedding_dedup.shape(size))).any(axis=1)
+        assert (likely & shared).mean() >= 0.995
+
+
+@pytest.mark.parametrize("n", [8, 60, 400])
+def test_recall_of_texts_near_the_threshold(n):
+    """Sets of n shingles at a similarity of just 0.75 share a band and pass by their sketches; at
+    0.5 few pass."""
+    rng = np.random.default_rng(4)
+
+    def pair(common):
+        every = rng.integers(0, 2**63, 2 * n - common, dtype=np.uint64)
+        return np.sort(every[:n]), np.sort(every[n - common :])
+
+    def found(common):
+        out = []
+        for _ in range(400):
+            x, y = (minhash.signature(s) for s in pair(common))
+            words = [np.frombuffer(minhash.sketch(s), np.uint64)[None] for s in (x, y)]
+            size = np.array([n])
+            out.append(bool((minhash.bands(x) == minhash.bands(y)).any() and minhash.alike(words[0], size, words[1], size)[0]))
+        return np.mean(out)
+
+    assert found(-(-6 * n // 7)) >= 0.995
+    if n > 8:
+        assert found(2 * n // 3) < 0.2
+
+
+def test_half_alike_chains_are_cut():
+    """Links of a chain of texts, each at 0.5 to the next, don't connect it."""
+    rng = np.random.default_rng(5)
+    ring = rng.integers(0, 2**63, 30_000, dtype=np.uint64)
+    sketches = np.stack([np.frombuffer(minhash.sketch(minhash.signature(ring[100 * i : 100 * i + 300])), np.uint64) for i in range(250)])
+    sizes = np.full(len(sketches), 300)
+    assert minhash.alike(sketches[1:], sizes[1:], sketches[:-1], sizes[:-1]).mean() < 0.05
