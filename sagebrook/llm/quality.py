@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
@@ -34,7 +35,9 @@ RARE = 5
 #: Tokens whose vectors a worker holds; some 70 bytes each.
 HELD = 500_000
 #: Tokens that a task adds up before it passes sums on.
-SUMMED = 400_000
+SUMMED = 200_000
+#: Tokens that it reads before it does so, which keeps sums below 2**31.
+READ = 1 << 26
 SAMPLE = 20_000
 HIDDEN = 32
 THRESHOLD = 0.3
@@ -73,16 +76,28 @@ def _grouped(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.nda
     return keys[first], kinds[order][first], np.add.reduceat(seen[order], first), np.add.reduceat(sums[order], first, axis=0)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, kind, seen, v0, v1, ...): how often each token is seen, and the sum of its neighbours'
-    index vectors."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int64))
-    held, n = [none], 0
+_WIDTHS = (np.int8, np.int16, np.int32, np.int64)
+
 
-    def rows(of: tuple) -> pa.RecordBatch:
-        keys, kinds, seen, sums = of
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds), pa.array(seen), *(pa.array(c.copy()) for c in sums.T)], names=["token", "kind", "seen", *_AXES])
+def _written(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with sums as bytes, in the narrowest whole numbers that hold them: most tokens are rare."""
+    most = np.abs(sums).max(axis=1, initial=0)
+    low = 0
+    for width in _WIDTHS:
+        high = np.iinfo(width).max
+        of = (most >= low) & (most < high)
+        low = high
+        if of.any():
+            size = DIMENSIONS * np.dtype(width).itemsize
+            vectors = pa.Array.from_buffers(pa.binary(), int(of.sum()), [None, pa.py_buffer(np.arange(of.sum() + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(sums[of].astype(width).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[of].view(np.int64)), pa.array(kinds[of]), pa.array(seen[of]), vectors], names=["token", "kind", "seen", "vector"])
 
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, kind, seen, vector): how often each token is seen, and the sum of its neighbours' index
+    vectors."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int32))
+    held, n, read = [none], 0, 0
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
             tokens, at, kinds = token_hashes(whole.slice(start, 512).column(0))
@@ -96,18 +111,42 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = (text[:-d] == text[d:])[:, None]
                 near[:-d] += own[d:] * same
                 near[d:] += own[:-d] * same
-            sums = np.add.reduceat(near[order], starts, axis=0, dtype=np.int64)
+            sums = np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
             held.append((unique, kinds[order[starts]], np.diff(starts, append=len(tokens)), sums))
-            n += len(unique)
+            n, read = n + len(unique), read + len(tokens)
             if n > SUMMED:
                 held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                 n = len(held[0][0])
-                if n > SUMMED // 2:
-                    yield rows(held[0])
-                    held, n = [none], 0
-    last = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    if len(last[0]):
-        yield rows(last)
+                if n > SUMMED // 2 or read > READ:
+                    yield from _written(*held[0])
+                    held, n, read = [none], 0, 0
+    yield from _written(*_grouped(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, kind, seen, v0, v1, ...) of rows as _neighbours() makes them, sorted by token. What a
+    batch ends with may go on in the next one."""
+    last: tuple = ()
+    for batch in batches:
+        keys, kinds, seen = (batch.column(c).to_numpy() for c in ("token", "kind", "seen"))
+        if not len(keys):
+            continue
+        lengths = pc.binary_length(batch.column("vector")).to_numpy()
+        sums = np.zeros((len(keys), DIMENSIONS), np.int64)
+        for width in _WIDTHS:
+            of = np.flatnonzero(lengths == DIMENSIONS * np.dtype(width).itemsize)
+            sums[of] = np.frombuffer(b"".join(batch.column("vector").take(pa.array(of)).to_pylist()), width).reshape(-1, DIMENSIONS)
+        if last:
+            keys, kinds, seen, sums = (np.concatenate(x) for x in zip(last, (keys, kinds, seen, sums), strict=True))
+        keys, kinds, seen, sums = _grouped(keys, kinds, seen, sums)
+        last = (keys[-1:], kinds[-1:], seen[-1:], sums[-1:])
+        yield _totals(keys[:-1], kinds[:-1], seen[:-1], sums[:-1])
+    if last:
+        yield _totals(*last)
+
+
+def _totals(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(seen), *(pa.array(c.copy()) for c in sums.T)], names=["token", "kind", "seen", *_AXES])
 
 
 def word_vectors(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,8 +154,8 @@ def word_vectors(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     or more, and (kind, v0, ...) of each kind of the others. A vector without any sum is 0."""
     schema = "token long, kind int, seen long, " + ", ".join(f"{x} long" for x in _AXES)
     sums = [F.sum(x).alias(x) for x in _AXES]
-    parts = docs.select("text").mapInArrow(_neighbours, schema)
-    every = ws.save(parts.groupBy("token").agg(F.min("kind").alias("kind"), F.sum("seen").alias("seen"), *sums), "sums")
+    parts = docs.select("text").mapInArrow(_neighbours, "token long, kind int, seen long, vector binary")
+    every = ws.save(parts.repartition("token").sortWithinPartitions("token").mapInArrow(_added, schema), "sums")
 
     def units(df: DataFrame, *keep: str) -> DataFrame:
         norm = F.sqrt(sum(F.col(x).cast("double") * F.col(x) for x in _AXES))
