@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, quality, token_counts, warc
+from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, pipeline, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _tokenizer(name: str) -> str:
     """A file of the public tokenizers that are installed beside Python."""
-    if importlib.util.find_spec("public_tokenizers"):
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    return os.path.join("/opt/tokenizers", name)
+    return public_tokenizers.path(name)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,5 +80,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc_archive": warc.ROUND_TRIP_SQL,
     "op10_decontamination": decontaminate.CONTAINED_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL

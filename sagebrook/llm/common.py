@@ -17,15 +17,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, as in tests
-    on one machine, a temporary one is made and set."""
+    """The folder that driver and executors share. Where the session names none, a temporary one is
+    made and set on one machine; on a cluster that would lose data, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 class Workspace:
     """Tables written under a folder of their own in the shared folder. They cut lineage, survive
     the loss of any executor, and are read again instead of being computed again."""
@@ -34,6 +41,7 @@ class Workspace:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: list[str] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -44,12 +52,24 @@ class Workspace:
         df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
+        self._saved.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._workspace_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        self._saved.remove(path)
+
+    def drop(self, *saved: DataFrame) -> None:
+        """Delete saved tables that nothing reads any more."""
+        for df in saved:
+            self._delete(df._workspace_path)
+
+    def keep_only(self, *saved: DataFrame) -> None:
+        """Delete all saved tables but these, which are all that results still read."""
+        kept = {df._workspace_path for df in saved}
+        for path in [p for p in self._saved if p not in kept]:
+            self._delete(path)
 
 
 def small(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -106,8 +126,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         low = ws.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         rest = joined(large, low.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = ws.save(rest.union(low.select("u", "m")).distinct(), "edges")
-        for old in (edges, least, large, low):
-            ws.drop(old)
+        ws.drop(edges, least, large, low)
         edges = after
     roots = edges.select("v").distinct()
     return ws.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v")), "components")

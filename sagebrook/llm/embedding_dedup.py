@@ -186,6 +186,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     of = ws.save(of.select("h", "g", "first", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).where("n_links > 0"), "of")
     least = ws.save(of.where("component is not null").groupBy("component").agg(F.min("first").alias("least")), "least")
     labels = ws.save(of.join(small(least), "component", "left").select("h", "g", F.coalesce("least", "first").alias("component"), "n_links"), "labels")
+    ws.keep_only(labels)
     out = vectors.select("vec_id", "usable", "h", "g").join(small(labels), ["h", "g"], "left")
     out = out.select(
         "vec_id",

@@ -258,6 +258,7 @@ def identify(spark: SparkSession, docs: DataFrame, entries: int = ENTRIES) -> Da
     read = ws.save(rows.mapInArrow(run, schema), "texts")
     rest = read.select("row", F.inline("rest"))
     adds = ws.save(looked_up(ws, ws.save(rest.select("word").distinct(), "wanted"), own, parts), "adds")
+    ws.keep_only(read, adds, names)
     far = rest.join(_narrow(adds), "word").select("row", "times", F.inline("known")).select("row", "place", (F.col("times") * F.col("above")).alias("above"))
     sums = read.select("row", F.inline("sums")).union(far).groupBy("row", "place").agg(F.sum("above").alias("above"))
     # A text has no more sums than there are languages.

@@ -282,6 +282,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     least = ws.save(of.where("component is not null").groupBy("component").agg(F.min("doc").alias("least")), "least")
     labels = of.where("component is not null or copies > 1").join(small(least), "component", "left").select("digest", F.coalesce("least", "doc").alias("component"))
     labels = ws.save(labels, "labels")
+    ws.keep_only(sketches, labels)
     out = sketches.select("doc_id", "n_shingles", "digest").join(small(labels), "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))
     return out.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")).withColumn(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, shared_folder, small
+from .common import Workspace, exists, shared_folder, small
 
 LIMIT = 512
 #: Encoded words that a Python worker remembers (some 100 MB at most).
@@ -136,13 +136,9 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
     keyed = docs.withColumn("content", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
     keys = ws.save(keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
     schema = "tokenizer string, content binary, n_tokens long"
-    try:
-        stored = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == stamp)
-        stored = ws.save(stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "stored")
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        stored = ws.save(spark.createDataFrame([], "content binary, n_tokens long"), "stored")
+    stored = spark.read.schema(schema).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], schema)
+    stored = stored.where(F.col("tokenizer") == stamp).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = ws.save(stored, "stored")
 
     # What is to do of each content that occurs more than once or is in the cache; the rest is encoded in place.
     seen = keys.groupBy("content").agg(F.count("*").alias("n")).join(stored, "content", "left").where("n > 1 or n_tokens is not null")

@@ -158,7 +158,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, ws: Works
         rows = rows.join(small(repeated), same, "left_anti").unionByName(again)
     archives = min(max(1, -(-((total[0] or 0) + 500 * total[1]) // ARCHIVE_BYTES)), ARCHIVES)
     rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest", "copy"), F.lit(archives)).cast("int"))
-    return ws.save(rows.repartitionById(archives, "archive").mapInArrow(_writer(folder, trained), "path string, records long, bytes long"), "manifest")
+    manifest = ws.save(rows.repartitionById(archives, "archive").mapInArrow(_writer(folder, trained), "path string, records long, bytes long"), "manifest")
+    ws.keep_only(manifest)
+    return manifest
 
 
 def _trained(ws: Workspace, pages: DataFrame, sizes: DataFrame) -> bytes:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -29,14 +31,24 @@ def test_stages(spark, sf_dir):
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3]
     want = sorted(map(tuple, mixing.mix(spark, before).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == want
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in before.collect()}
+    assert {i: n for i, n, *_ in want} == words and all(t <= 3 * n for _, n, _, _, t in want)
 
 
 def test_one_of_each_group_stays(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     text = "one two three four five six seven eight nine ten"
     rows = [(3, text, "en", "s", 1), (1, text.upper(), "en", "s", 1), (1, text.upper(), "en", "s", 1), (2, "other", None, None, None), (None, None, None, None, None)]
+    rows += [(None, text, "en", "s", 1), (7, "alone", "en", "s", 1), (7, "one thing and another that is said", "en", "s", 1), (8, "one thing and another that is said", "en", "s", 1)]
+    rows += [(None, "nameless copies of one text", None, None, None)] * 3
     kept = corpus_pipeline.unique(spark, spark.createDataFrame(rows, schema), sf_dir)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
+        [("1", text.upper()), ("2", "other"), ("None", "None"), ("7", "alone"), ("7", "one thing and another that is said"), ("None", "nameless copies of one text")]
+    )
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 100").first().text
+    rows = [(1, f"some words and {passage}", "en", "s", 1), (1, "clean text of the same name", "en", "s", 1), (None, f"{passage} and more", "en", "s", 1), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    clean = corpus_pipeline.uncontaminated(spark, spark.createDataFrame(rows, schema).withColumns({"row": F.lit("x"), "doc": F.lit(1)}), sf_dir)
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == [("1", "clean text of the same name"), ("2", ""), ("None", "None")] and clean.columns[-2:] == ["row", "doc"]
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, sf_dir).collect() == []
