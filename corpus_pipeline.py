@@ -1,75 +1,7 @@
-"""A training corpus from ``documents``: five stages, each applying one operator to all that the
-stage before it kept.
-
-Every function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
-"""
+"""A training corpus from ``documents``: the stages of sagebrook.llm.pipeline, one after the other."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sagebrook.llm import decontaminate, minhash, mixing, pii, quality
-from sagebrook.llm.common import Workspace, small
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for those whose doc_id is in ``ids`` (doc_id)."""
-    ids = Workspace(spark, "dropped").save(ids.where("doc_id is not null").distinct(), "ids")
-    return docs.join(small(ids), "doc_id", "left_anti").select(docs.columns)
-
-
-def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Of rows
-    that repeat a doc_id one stays; rows without a doc_id can't be told apart and stay."""
-    found = Workspace(spark, "unique").save(minhash.near_duplicates(spark, docs), "components")
-    kept = without(spark, docs, found.where("not kept").select("doc_id"))
-    if found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        return kept
-    nameless = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)
-
-
-def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contained_items(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(spark, docs, found.select("doc_id"))
-
-
-def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts masked and n_chars as it is then."""
-    return pii.masked(spark, docs)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document: (doc_id, size, source_size, target, taken)."""
-    return mixing.mix(spark, docs)
-
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality classifier", good_quality),
-    ("MinHash near-dedup", unique),
-    ("benchmark decontamination", uncontaminated),
-    ("PII", private_data_masked),
-    ("mixing sources", mixed),
-]
-
-#: The classifier and the random transfers of the mix can't be written as SQL.
-ORACLE_SQL: str | None = None
-
+from sagebrook.llm.pipeline import ORACLE_SQL, STAGES, good_quality, mixed, private_data_masked, run, uncontaminated, unique
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = ws.save(stage(spark, docs, sf_dir), name.split()[0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "good_quality", "mixed", "private_data_masked", "run", "uncontaminated", "unique"]
