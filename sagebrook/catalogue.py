@@ -83,64 +83,75 @@ def knn_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def knn_index_topk(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _vectors(spark, d)
-    return dense.InvertedFile(corpus).nearest(corpus, queries, S.candidates, probes=24)
+    return dense.InvertedFile(corpus).nearest(spark, corpus, queries, S.candidates, probes=24)
 
 
 # Full text. The words of a document whose id is divisible by 50 are looked for in all documents: all
-# of its words where there is no SQL, else the first one or two, which is what the SQL says.
+# of its words, but for fts_single_term_rank, which is about the first one.
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
-_ASKED = f"SELECT doc_id AS query_id, {_TOKENS} AS w FROM documents WHERE doc_id % {EVERY} = 0"
-_FOUND = f"SELECT doc_id, lang, token, count(*) AS tf FROM (SELECT doc_id, lang, unnest({_TOKENS}) AS token FROM documents) t GROUP BY ALL"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _asked(spark: SparkSession, d: str, first: int, n: int) -> DataFrame:
-    rows = _documents(spark, d).where(F.col("doc_id") % EVERY == 0)
-    words = F.array_distinct(F.filter(sparse.tokens(F.col("text")), lambda t: F.length(t) >= 2))
-    return rows.select(F.col("doc_id").alias("query_id"), F.slice(words, first, n).alias("terms")).where("size(terms) > 0")
-
-
-def _asked_whole(spark: SparkSession, d: str) -> DataFrame:
+def _asked(spark: SparkSession, d: str) -> DataFrame:
     rows = _documents(spark, d).where(F.col("doc_id") % EVERY == 0)
     return rows.select(F.col("doc_id").alias("query_id"), sparse.query_tokens(F.col("text")).alias("terms")).where("size(terms) > 0")
 
 
-def _fts_sql(n: int, select: str, where: str = "true") -> str:
+def _fts_sql(select: str, where: str = "true", terms: str = "w") -> str:
     return f"""
-WITH asked AS (SELECT query_id, list_distinct_ordered[1:{n}] AS terms FROM (
-    SELECT query_id, list_filter(w, lambda t, i: length(t) >= 2 AND list_position(w, t) = i) AS list_distinct_ordered FROM ({_ASKED}) a) b),
-terms AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM asked WHERE len(terms) > 0),
-found AS ({_FOUND}),
-each AS (SELECT query_id, doc_id, n, term, sum(tf) AS tf FROM found JOIN terms ON starts_with(token, term) AND {where} GROUP BY ALL),
-hit AS (SELECT query_id, doc_id, sum(tf)::BIGINT AS hits FROM each GROUP BY query_id, doc_id, n HAVING count(*) = n)
+WITH RECURSIVE asked AS (
+  SELECT doc_id AS query_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: length(w) >= 2) AS w
+  FROM documents WHERE doc_id % {EVERY} = 0
+), terms AS (
+  SELECT query_id, len(list_distinct({terms})) AS n, unnest(list_distinct({terms})) AS term FROM asked
+), words AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE {where}) t
+), begun AS MATERIALIZED (
+  SELECT term, token FROM (SELECT DISTINCT term FROM terms) t JOIN (SELECT DISTINCT token FROM words) v ON left(token, 2) = left(term, 2) AND starts_with(token, term)
+), each AS (
+  SELECT query_id, doc_id, n, term, list(pos ORDER BY pos) AS p FROM terms JOIN begun USING (term) JOIN words USING (token) GROUP BY ALL
+), hit AS MATERIALIZED (
+  SELECT query_id, doc_id, sum(len(p))::BIGINT AS hits, list(p) AS places FROM each GROUP BY query_id, doc_id, n HAVING count(*) = n
+), step AS (
+  SELECT query_id, doc_id, places, 0::BIGINT AS start, 0.0::DOUBLE AS total FROM hit WHERE len(places) > 1
+  UNION ALL
+  SELECT query_id, doc_id, places, first, total + 0.1::DOUBLE / greatest(1, 1 + (last - first) - (len(places) - 1)) FROM (
+    SELECT *, list_min(list_transform(places, lambda p: list_max(list_filter(p, lambda x: x <= last)))) AS first FROM (
+      SELECT *, list_max(list_transform(places, lambda p: list_min(list_filter(p, lambda x: x > start)))) AS last FROM step
+      WHERE list_min(list_transform(places, lambda p: p[-1])) > start) a) b
+), scored AS MATERIALIZED (
+  SELECT query_id, doc_id AS id, round(0.1::DOUBLE * hits, 6) AS score FROM hit WHERE len(places) = 1
+  UNION ALL SELECT query_id, doc_id, round(max(total), 6) FROM step GROUP BY query_id, doc_id
+)
 {select}"""
 
 
-@query(_fts_sql(2, "SELECT * FROM hit"))
+@query(_fts_sql("SELECT query_id, doc_id, hits FROM hit"))
 def fts_prefix_match(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.matches(_documents(spark, d), _asked(spark, d, 1, 2))
+    return sparse.matches(_documents(spark, d), _asked(spark, d))
 
 
-_RANKED = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, doc_id AS id, round(hits * 0.1::DOUBLE, 6) AS score FROM hit) s) r WHERE rank <= 30"
+_RANKED = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) r WHERE rank <= 30"
 
 
-@query(_fts_sql(1, _RANKED))
+@query(_fts_sql(_RANKED, terms="w[1:1]"))
 def fts_single_term_rank(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.search_one_term(_documents(spark, d), _asked(spark, d, 1, 1), S.candidates)
+    first = _asked(spark, d).withColumn("terms", F.slice("terms", 1, 1))
+    return sparse.search_one_term(_documents(spark, d), first, S.candidates)
 
 
-@query(_fts_sql(1, _RANKED, "lang = 'en'"))
+@query(_fts_sql(_RANKED, "lang = 'en'"))
 def fts_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.search_one_term(_documents(spark, d).where(F.col("lang") == "en"), _asked(spark, d, 1, 1), S.candidates)
+    return sparse.search(_documents(spark, d).where(F.col("lang") == "en"), _asked(spark, d), S.candidates)
 
 
-@query()
+@query(_fts_sql(_RANKED))
 def fts_cover_rank(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.search(_documents(spark, d), _asked_whole(spark, d), S.candidates)
+    return sparse.search(_documents(spark, d), _asked(spark, d), S.candidates)
 
 
 # Fusion and re-ranking.
@@ -149,7 +160,7 @@ _DENSE_KEYS = _knn_sql(_COSINE)
 
 
 @query(f"""
-WITH dense AS ({_DENSE_KEYS}), sparse AS ({_fts_sql(1, _RANKED)}),
+WITH dense AS ({_DENSE_KEYS}), sparse AS ({_fts_sql(_RANKED)}),
 shared AS (SELECT query_id FROM dense INTERSECT SELECT query_id FROM sparse),
 fused AS (SELECT query_id, id AS key, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 9) AS score
   FROM (SELECT * FROM dense WHERE query_id IN (FROM shared)) d FULL JOIN (SELECT * FROM sparse WHERE query_id IN (FROM shared)) s USING (query_id, id))
@@ -157,7 +168,7 @@ SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION B
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _vectors(spark, d)
     near = dense.nearest(spark, corpus, queries, S.candidates).withColumnRenamed("id", "key").checkpoint()
-    worded = sparse.search_one_term(_documents(spark, d), _asked(spark, d, 1, 1), S.candidates).withColumnRenamed("id", "key").checkpoint()
+    worded = sparse.search(_documents(spark, d), _asked(spark, d), S.candidates).withColumnRenamed("id", "key").checkpoint()
     both = near.select("query_id").distinct().join(worded.select("query_id").distinct(), "query_id")
     near, worded = (x.join(both, "query_id", "left_semi") for x in (near, worded))
     return fusion.reciprocal_rank_fusion(near, worded, k=S.rrf_k, limit=S.candidates)
@@ -166,17 +177,15 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 _PREFIX = "left(trim(coalesce(text, ''), E' \\t\\n\\r\\x0b\\x0c'), 240)"
 
 
-@query(_fts_sql(1, f"""
+@query(_fts_sql(f"""
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS kept_rank FROM (
-  SELECT query_id, h.doc_id AS id, round(hits * 0.1::DOUBLE, 6) AS score,
-    row_number() OVER (PARTITION BY query_id, CASE WHEN {_PREFIX} = '' THEN h.doc_id::VARCHAR ELSE 'p' || {_PREFIX} END ORDER BY round(hits * 0.1::DOUBLE, 6) DESC, h.doc_id) AS n
-  FROM hit h JOIN documents d USING (doc_id)) s WHERE n = 1
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, CASE WHEN {_PREFIX} = '' THEN id::VARCHAR ELSE 'p' || {_PREFIX} END ORDER BY score DESC, id) AS n
+  FROM scored h JOIN documents d ON d.doc_id = h.id) s WHERE n = 1
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30"""))
 def hybrid_rrf_single_sided(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    hit = sparse.matches(docs, _asked(spark, d, 1, 1)).select("query_id", F.col("doc_id").alias("id"), F.round(F.col("hits") * sparse.WEIGHT, 6).alias("score"))
-    worded = hit.join(docs.select(F.col("doc_id").alias("id"), fusion.text_key(F.col("text")).alias("prefix")), "id")
-    kept = fusion.greedy_dedup(worded, ["id", "prefix"], order=[F.desc("score"), F.asc("id")], limit=S.candidates)
+    worded = sparse.scored(docs, _asked(spark, d)).join(docs.select(F.col("doc_id").alias("id"), fusion.text_key(F.col("text")).alias("prefix")), "id")
+    kept = fusion.greedy_dedup(worded, ["id", "prefix"], order=[-F.col("score"), F.col("id")], limit=S.candidates)
     return kept.select("query_id", "id", "score", "kept_rank")
 
 
@@ -186,7 +195,7 @@ SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC,
 WHERE n = 1""")
 def dedup_retrieved(spark: SparkSession, d: str) -> DataFrame:
     rows = _documents(spark, d).select("lang", "doc_id", "n_chars", fusion.text_key(F.col("text")).alias("prefix"))
-    kept = fusion.greedy_dedup(rows, ["doc_id", "prefix"], by="lang", order=[F.desc("n_chars"), F.asc("doc_id")])
+    kept = fusion.greedy_dedup(rows, ["doc_id", "prefix"], by="lang", order=[-F.col("n_chars"), F.col("doc_id")])
     return kept.select("lang", "doc_id", "kept_rank")
 
 
@@ -603,7 +612,7 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
 def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     corpus, queries = _vectors(spark, d)
-    queries = queries.select("query_id", "vector").join(_asked_whole(spark, d), "query_id", "full")
+    queries = queries.select("query_id", "vector").join(_asked(spark, d), "query_id", "full")
     near = search.hybrid(spark, corpus, docs, queries, candidates=S.candidates, k=S.rrf_k)
     rows = near.join(docs.select(F.col("doc_id").alias("key"), "text", F.col("source").alias("file_name")), "key").withColumn("page", F.lit(None).cast("int"))
     rows = rows.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")

@@ -38,7 +38,7 @@ def hybrid(spark: SparkSession, vectors: DataFrame, texts: DataFrame, queries: D
     fused = reciprocal_rank_fusion(dense.join(both, "query_id", "left_semi"), sparse.join(both, "query_id", "left_semi"), k=k, limit=candidates)
     alone = dense.unionByName(sparse).join(both, "query_id", "left_anti")
     worded = alone.join(texts.select(F.col("doc_id").alias("key"), text_key(F.col("text")).alias("_t")), "key", "left")
-    single = greedy_dedup(worded, ["key", "_t"], order=[F.desc("score"), F.asc("key")], limit=candidates)
+    single = greedy_dedup(worded, ["key", "_t"], order=[-F.col("score"), F.col("key")], limit=candidates)
     return fused.unionByName(single.select("query_id", "key", "score", F.col("kept_rank").alias("rank")))
 
 
@@ -50,7 +50,7 @@ def expanded(found: DataFrame, extra: DataFrame, query: Column, limit: Column) -
     both = both.withColumn("rank", F.row_number().over(at)).withColumn("_q", query)
     ranked = rerank(both, lexical_recall(F.col("text"), F.col("_q")), Q.structural_boost(F.col("text"), F.col("_q")))
     ranked = ranked.withColumn("_t", text_key(F.col("text"))).withColumn("_most", limit)
-    kept = greedy_dedup(ranked.drop("rank"), ["id", "_t"], order=[F.asc("new_rank")])
+    kept = greedy_dedup(ranked.drop("rank"), ["id", "_t"], order=[F.col("new_rank")])
     return kept.where("kept_rank <= _most").select("query_id", "id", "text", F.col("combined").alias("score"), F.col("kept_rank").alias("rank"))
 
 

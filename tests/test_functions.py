@@ -128,9 +128,9 @@ def test_covers():
 
 def test_greedy_dedup_chain(spark):
     rows = spark.createDataFrame([(1, "A", 3.0, "k1", "p1"), (1, "B", 2.0, "k1", "p2"), (1, "C", 1.0, "k2", "p2"), (1, "D", 0.5, None, ""), (1, "E", 0.4, None, "")], "query_id long, id string, score double, k string, p string")
-    kept = fusion.greedy_dedup(rows, ["k", "p"], order=[F.desc("score"), F.asc("id")])
+    kept = fusion.greedy_dedup(rows, ["k", "p"], order=[-F.col("score"), F.col("id")])
     assert [r.id for r in kept.orderBy("kept_rank").collect()] == ["A", "C", "D", "E"]
-    assert fusion.greedy_dedup(rows, ["k", "p"], order=[F.desc("score"), F.asc("id")], limit=2).count() == 2
+    assert fusion.greedy_dedup(rows, ["k", "p"], order=[-F.col("score"), F.col("id")], limit=2).count() == 2
 
 
 def test_rrf(spark):
