@@ -3,9 +3,10 @@
 A text's tokens are its runs of letters, of digits and of other marks. Random indexing gives every
 token a sparse random index vector, which follows from its hash; its word vector is the sum of the
 index vectors of its neighbours within WINDOW tokens over all documents, counted in whole numbers:
-tasks add up what they read by token, Spark adds these up, and every token has a row of its own.
-A token seen less than RARE times in all has no neighbours to speak of; it takes the vector of all
-such tokens of its kind (letters, digits or marks, and how long).
+tasks add up what they read by token, Spark adds these up, and a token has a row of its own. One
+seen less than RARE times in all, whatever the corpus's size, has too few neighbours to tell
+anything; it takes the vector of all such tokens of its kind (letters, digits or marks, and how
+long). Tokens are counted first, so that sums of rare ones don't travel.
 
 A document is the mean and the spread of its tokens' unit vectors, its length and how often it
 repeats itself. Workers hold the commonest tokens' vectors, up to HELD of them; what the others add
@@ -31,11 +32,11 @@ from .shingles import mix, token_hashes
 DIMENSIONS = 16
 NONZERO = 4
 WINDOW = 2
-RARE = 5
+RARE = 20
 #: Tokens whose vectors a worker holds; some 70 bytes each.
 HELD = 500_000
 #: Tokens that a task adds up before it passes sums on.
-SUMMED = 200_000
+SUMMED = 400_000
 #: Tokens that it reads before it does so, which keeps sums below 2**31.
 READ = 1 << 26
 SAMPLE = 20_000
@@ -93,34 +94,74 @@ def _written(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.nda
             yield pa.RecordBatch.from_arrays([pa.array(keys[of].view(np.int64)), pa.array(kinds[of]), pa.array(seen[of]), vectors], names=["token", "kind", "seen", "vector"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, kind, seen, vector): how often each token is seen, and the sum of its neighbours' index
-    vectors."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int32))
-    held, n, read = [none], 0, 0
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, seen): how often each token is seen."""
+    held, n = [], 0
+
+    def rows() -> pa.RecordBatch:
+        keys, places = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        seen = np.bincount(places, np.concatenate([c for _, c in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(seen)], names=["token", "seen"])
+
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
-            tokens, at, kinds = token_hashes(whole.slice(start, 512).column(0))
-            if not len(tokens):
-                continue
-            unique, order, starts, places = _distinct(tokens)
-            own = index_vectors(unique)[places]
-            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            near = np.zeros((len(tokens), DIMENSIONS), np.int8)  # from -16 to 16
-            for d in range(1, WINDOW + 1):
-                same = (text[:-d] == text[d:])[:, None]
-                near[:-d] += own[d:] * same
-                near[d:] += own[:-d] * same
-            sums = np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
-            held.append((unique, kinds[order[starts]], np.diff(starts, append=len(tokens)), sums))
-            n, read = n + len(unique), read + len(tokens)
-            if n > SUMMED:
-                held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                n = len(held[0][0])
-                if n > SUMMED // 2 or read > READ:
-                    yield from _written(*held[0])
-                    held, n, read = [none], 0, 0
-    yield from _written(*_grouped(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            tokens, _, _ = token_hashes(whole.slice(start, 512).column(0))
+            if len(tokens):
+                held.append(np.unique(tokens, return_counts=True))
+                n += len(held[-1][0])
+                if n > 4 * SUMMED:
+                    yield rows()
+                    held, n = [], 0
+    if held:
+        yield rows()
+
+
+def _among(ordered: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's place in a sorted array, and whether it is there."""
+    at = np.minimum(np.searchsorted(ordered, tokens), max(len(ordered) - 1, 0))
+    return at, ordered[at] == tokens if len(ordered) else np.zeros(len(tokens), bool)
+
+
+def _neighbours(keep):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, kind, seen, vector): how often each token is seen, and the sum of its neighbours'
+        index vectors. If it is known which tokens to ``keep``, others are added up by kind, as rows
+        with their kind in place of the token that are never seen."""
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int32))
+        held, n, read = [none], 0, 0
+        rare = np.zeros((64, DIMENSIONS), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                tokens, at, kinds = token_hashes(whole.slice(start, 512).column(0))
+                if not len(tokens):
+                    continue
+                unique, order, starts, places = _distinct(tokens)
+                own = index_vectors(unique)[places]
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                near = np.zeros((len(tokens), DIMENSIONS), np.int8)  # from -16 to 16
+                for d in range(1, WINDOW + 1):
+                    same = (text[:-d] == text[d:])[:, None]
+                    near[:-d] += own[d:] * same
+                    near[d:] += own[:-d] * same
+                made = (unique, kinds[order[starts]], np.diff(starts, append=len(tokens)), np.add.reduceat(near[order], starts, axis=0, dtype=np.int32))
+                if keep is not None:
+                    _, found = _among(keep.value, unique)
+                    np.add.at(rare, made[1][~found], made[3][~found])
+                    made = tuple(x[found] for x in made)
+                held.append(made)
+                n, read = n + len(made[0]), read + len(tokens)
+                if n > SUMMED or read > READ:
+                    held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    n = len(held[0][0])
+                    if n > SUMMED * 3 // 4 or read > READ:
+                        yield from _written(*held[0])
+                        held, n, read = [none], 0, 0
+        yield from _written(*_grouped(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        some = np.flatnonzero(np.abs(rare).sum(axis=1))
+        if len(some):
+            yield from _written(some.astype(np.uint64), some.astype(np.int32), np.zeros(len(some), np.int64), rare[some])
+
+    return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +190,18 @@ def _totals(keys: np.ndarray, kinds: np.ndarray, seen: np.ndarray, sums: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(seen), *(pa.array(c.copy()) for c in sums.T)], names=["token", "kind", "seen", *_AXES])
 
 
-def word_vectors(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def word_vectors(ws: Workspace, docs: DataFrame, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """Unit vectors over all of ``docs`` (text): (token, seen, v0, ...) of the tokens seen RARE times
-    or more, and (kind, v0, ...) of each kind of the others. A vector without any sum is 0."""
+    or more, and (kind, v0, ...) of each kind of the others. A vector without any sum is 0. Workers
+    are told which tokens these are if there are no more than ``held``."""
     schema = "token long, kind int, seen long, " + ", ".join(f"{x} long" for x in _AXES)
     sums = [F.sum(x).alias(x) for x in _AXES]
-    parts = docs.select("text").mapInArrow(_neighbours, "token long, kind int, seen long, vector binary")
+    often = docs.select("text").mapInArrow(_counts, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= RARE)
+    often = ws.save(often.select("token"), "often")
+    keep = None
+    if often.count() <= held:
+        keep = ws.spark.sparkContext.broadcast(np.sort(often.toArrow()["token"].to_numpy().view(np.uint64)))
+    parts = docs.select("text").mapInArrow(_neighbours(keep), "token long, kind int, seen long, vector binary")
     every = ws.save(parts.repartition("token").sortWithinPartitions("token").mapInArrow(_added, schema), "sums")
 
     def units(df: DataFrame, *keep: str) -> DataFrame:
@@ -184,8 +231,7 @@ class Vectors:
 
     def places(self, tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's place among the vectors, that of its kind if it isn't held; and whether it is."""
-        at = np.minimum(np.searchsorted(self.tokens, tokens), max(len(self.tokens) - 1, 0))
-        found = self.tokens[at] == tokens if len(self.tokens) else np.zeros(len(tokens), bool)
+        at, found = _among(self.tokens, tokens)
         return np.where(found, at, len(self.tokens) + kinds), found
 
 
@@ -349,7 +395,7 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, sample: int = SAMPL
     ``labels`` is (doc_id, quality). Rows with crc32(doc_id) mod 5 = 0 are never learnt from. A
     doc_id with several labels has the rounded mean, one with several texts is learnt from the
     least; null labels don't count."""
-    vectors = word_vectors(ws, docs)
+    vectors = word_vectors(ws, docs, held)
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     known = known.where(_share("doc_id", 5) != 0)
     known = ws.save(known, "known")
