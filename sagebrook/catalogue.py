@@ -8,8 +8,6 @@ request metrics. As queries, searches take every row whose id is divisible by 50
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +16,14 @@ from .functions import questions as Q
 from .functions import text as T
 from .operators import catalog, dense, enrich, fusion, sparse, state
 from .plans import ingest, search
-from .session import Settings, with_checkpoints
+from .registry import EVERY, ORACLE_SQL, QUERIES, query, table
+from .session import Settings, own_folder
 from .streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 S = Settings()
 NOW = "2024-06-01 00:00:00"
-EVERY = 50
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return with_checkpoints(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Dense search.
@@ -582,12 +566,6 @@ def get_or_create(spark: SparkSession, d: str) -> DataFrame:
     return catalog.insert_absent(have, new, ["project_id"])
 
 
-@query("SELECT DISTINCT 'collection_' || len(embedding)::VARCHAR || '_' || label::VARCHAR AS name, len(embedding)::INT AS embedding_size, label::BIGINT AS project_id FROM embeddings")
-def list_collections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select(F.size("embedding").alias("embedding_size"), F.col("label").cast("long").alias("project_id")).distinct()
-    return rows.select(F.concat_ws("_", F.lit("collection"), "embedding_size", "project_id").alias("name"), "embedding_size", "project_id")
-
-
 # Prompts, metrics, streams.
 
 
@@ -599,13 +577,14 @@ def char_budget(spark: SparkSession, d: str) -> DataFrame:
     return fusion.within_budget(rows, F.col("n"), 600).select(F.col("query_id").alias("conv_id"), F.col("rank").alias("turn"), "used")
 
 
-@query("SELECT conv_id, sha256(string_agg('[' || n::VARCHAR || '] ' || role || E'\\n' || t, E'\\n\\n' ORDER BY n)) AS digest FROM (SELECT conv_id, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) c GROUP BY conv_id")
+@query("""
+WITH kept AS (SELECT *, sum(length(t)) OVER w AS used, row_number() OVER w AS n FROM (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations) c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, sha256('""" + search.TEMPLATES["en"][0].replace("'", "''") + """' || E'\\n\\n' || string_agg('[' || n::VARCHAR || '] ' || role || ' — page ' || (turn + 1)::VARCHAR || E'\\n' || regexp_replace(left(t, 4000), '^\\s+|\\s+$', '', 'g'), E'\\n\\n' ORDER BY n)
+  || E'\\n\\nQuestion: hello there') AS digest FROM kept WHERE used <= 12000 OR n = 1 GROUP BY conv_id""")
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = _turns(spark, d).select("conv_id", place.alias("n"), "role", F.coalesce("text", F.lit("")).alias("t"))
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "role", F.lit("\n"), "t")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n\n")
-    return rows.groupBy("conv_id").agg(F.sha2(body, 256).alias("digest"))
+    rows = _turns(spark, d).select(F.col("conv_id").alias("query_id"), F.lit("hello there").alias("query"), F.col("turn").alias("rank"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("file_name"), (F.col("turn") + 1).cast("int").alias("page"))
+    return search.prompts(rows, S.context_chars).select(F.col("query_id").alias("conv_id"), F.sha2("prompt", 256).alias("digest"))
 
 
 @query()
@@ -628,18 +607,18 @@ _BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0, 500.0)
 
 
 @query(
-    "SELECT event_type, le, cumulative, n FROM ("
-    + " UNION ALL ".join(f"SELECT event_type, '{b}' AS le, count(*) FILTER (value <= {b}) AS cumulative, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type" for b in _BOUNDS)
-    + " UNION ALL SELECT event_type, '+Inf', count(*), count(*) FROM events WHERE value IS NOT NULL GROUP BY event_type) h"
+    "SELECT event_type, le, cumulative, total, n FROM ("
+    + " UNION ALL ".join(f"SELECT event_type, '{b}' AS le, count(*) FILTER (value <= {b}) AS cumulative, round(sum(value), 3) AS total, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type" for b in _BOUNDS)
+    + " UNION ALL SELECT event_type, '+Inf', count(*), round(sum(value), 3), count(*) FROM events WHERE value IS NOT NULL GROUP BY event_type) h"
 )
 def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return state.histogram(table(spark, d, "events"), F.col("value"), "event_type", bounds=_BOUNDS).select("event_type", "le", "cumulative", "n")
+    return state.histogram(table(spark, d, "events"), F.col("value"), "event_type", bounds=_BOUNDS).select("event_type", "le", "cumulative", F.round("total", 3).alias("total"), "n")
 
 
 @query("SELECT DISTINCT vec_id, label FROM embeddings")
 def incremental_index_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    folder = incremental._folder(spark)
+    folder = own_folder(spark, "stream")
     rows.where("vec_id % 2 = 0").write.parquet(f"{folder}/in/first")
     schema = rows.schema
 
@@ -657,6 +636,10 @@ FROM events, (SELECT max(ts) AS last FROM events) m GROUP BY event_type""")
 def retention_stream(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     last = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    folder = incremental._folder(spark)
+    folder = own_folder(spark, "stream")
     events.write.parquet(f"{folder}/events")
     return incremental.retained_counts(spark, f"{folder}/events", events.schema, "ts", "event_type", F.lit(last), S.retention_seconds)
+
+
+# More queries register themselves.
+from . import catalogue_forms, catalogue_store  # noqa: E402, F401

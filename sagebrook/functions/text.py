@@ -175,6 +175,39 @@ def tags(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.transform(F.split(text, ","), strip), lambda t: t != ""), 1, most)
 
 
+#: What a file is tagged with where no model could say; own wording.
+FALLBACK_TAGS = ("document", "text", "untagged")
+
+
+def tags_or_fallback(text: Column, most: int = 5) -> Column:
+    """The same; the fallback tags of a null list."""
+    return F.coalesce(tags(text, most), F.array(*[F.lit(t) for t in FALLBACK_TAGS]))
+
+
+def unique_file_name(name: Column, *of: Column) -> Column:
+    """A clean file name behind twelve letters and digits that follow from what it is of."""
+    return F.concat(F.substring(F.sha2(F.concat_ws("/", *of), 256), 1, 12), F.lit("_"), clean_file_name(name))
+
+
+def without_nulls(entries: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(entries, lambda _, v: v.isNotNull())
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Both maps' entries; of a key in both that of the right one."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+
+
+def recognised_language(pages: Column, stated: Column, default: str, most: int = 5000) -> Column:
+    """The language in which a file's pages (their texts in order) are to be recognised: of the
+    start of all text, else of the first three pages of which one can be told, else the stated one,
+    else the default."""
+    sample = F.substring(F.array_join(F.filter(pages, lambda p: p.isNotNull()), "\n"), 1, most)
+    each = F.filter(F.transform(F.slice(pages, 1, 3), text_language), lambda x: x.isNotNull())
+    return F.coalesce(text_language(sample), F.get(each, 0), F.when(stated.isin("ar", "en"), stated), F.lit(default))
+
+
 def needs_continuation(text: Column) -> Column:
     """Whether a chunk ends with a header that announces what comes in the next one."""
     own = strip(text)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +75,10 @@ class Collections:
         return self.read(size, project_id).where("chunk_id is not null").select("chunk_id").distinct()
 
 
+#: Kinds of stores; whatever has the methods of Collections can be added.
+STORES: dict[str, type] = {"parquet": Collections}
+
+
 def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` and those of ``rows`` whose keys it hasn't; the first of repeated ones by all columns."""
     new = rows.select(table.columns).dropDuplicates(keys)
@@ -99,22 +106,52 @@ def page(table: DataFrame, order: str, number: int, size: int) -> DataFrame:
     return table.orderBy(order).offset((number - 1) * size).limit(size)
 
 
-def contains(json: Column, wanted: dict[str, object]) -> Column:
-    """Whether a JSON object has all the wanted values; nested objects by their parts."""
-    out = F.lit(True)
+def contains(text: Column, wanted: dict[str, object]) -> Column:
+    """Whether a JSON object contains the wanted one: of an object every part, of an array every
+    element, of anything else the same value of the same kind. What isn't JSON contains nothing."""
+    root = F.try_parse_json(text)
+
+    def written(value: Column) -> Column:
+        return F.to_json(value)
+
+    def same(found: Column, value: object) -> Column:
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return ~found.startswith('"') & (found.try_cast("double") == float(value))
+        return found == json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+    def held(found: Column, value: object) -> Column:
+        return F.coalesce(F.exists(found, lambda x: F.coalesce(same(x, value), F.lit(False))), F.lit(False))
 
     def of(path: str, value: object) -> Column:
         if isinstance(value, dict):
-            inner = F.lit(True)
-            for k, v in value.items():
-                inner = inner & of(f"{path}.{k}", v)
-            return inner
-        text = str(value).lower() if isinstance(value, bool) else str(value)
-        return F.coalesce(F.get_json_object(json, path) == text, F.lit(False))
-
-    for k, v in wanted.items():
-        out = out & of(f"$.{k}", v)
-    return out
+            return reduce(and_, [of(f'{path}["{k}"]', v) for k, v in value.items()], F.coalesce(written(F.try_variant_get(root, path, "variant")).startswith("{"), F.lit(False)))
+        if isinstance(value, (list, tuple)):
+            found = F.transform(F.try_variant_get(root, path, "array<variant>"), written)
+            return reduce(and_, [held(found, v) for v in value], found.isNotNull())
+        return F.coalesce(same(written(F.try_variant_get(root, path, "variant")), value), F.lit(False))
+
+    return of("$", wanted)
+
+
+def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key."""
+    return table.where(F.col(key) == F.lit(value))
+
+
+def order_range(chunks: DataFrame, first: int, last: int) -> DataFrame:
+    """The chunks (asset_id, chunk_order, ...) of each asset from one order to another, both included."""
+    return chunks.where(F.col("chunk_order").between(first, last))
+
+
+def file_totals(chunks: DataFrame, *files: str) -> DataFrame:
+    """(files, chunks, characters): what each file has come to, of chunks with a text."""
+    return chunks.groupBy(*files).agg(F.count("text").alias("chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+
+
+def store(name: str | None, spark: SparkSession, path: str) -> Collections | None:
+    """A store of vectors by the name of its kind; None if there is no such kind."""
+    made = STORES.get((name or "").lower())
+    return made(spark, path) if made else None
 
 
 def upload_signal(file_type: Column, size: Column, types: list[str], most_mb: int) -> Column:

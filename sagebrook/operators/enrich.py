@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.questions import cited_articles, cites_article, starts_other_article, starts_other_chapter
+from ..functions.questions import article_context_limit, article_numbers, chapter_labels, cited_articles, cites_article, cites_chapter, is_structural, starts_other_article, starts_other_chapter
 
 RUN = 12
 
@@ -75,3 +75,31 @@ def article_runs(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = rows.withColumn("_over", F.max(stop).over(order)).where("not _over").withColumn("place", F.row_number().over(order) - 1)
     rows = rows.where("place < most")
     return rows.select("query_id", "asset_id", "number", "chunk_order", "place", (0.98 - 0.005 * F.col("place")).alias("score"))
+
+
+def top_seeds(found: DataFrame, n: int = 5) -> DataFrame:
+    """The n best rows of each query, by score, equal ones by rank."""
+    at = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
+    return found.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= n).drop("_n")
+
+
+def structural_context(found: DataFrame, chunks: DataFrame, seeds: int = 5) -> DataFrame:
+    """(query_id, asset_id, chunk_order, score, emitted): what goes with the rows found (query_id,
+    query, asset_id, chunk_order, page, text, score, rank) of questions about articles and chapters:
+    the runs of the articles asked for in the seeds' files, the seeds' pages, and the runs from seeds
+    that cite a chapter asked for until another one begins. Each chunk once, as it is emitted first;
+    those found already are left out."""
+    asked = found.where(is_structural(F.col("query")))
+    best = top_seeds(asked, seeds).checkpoint()
+    keys = ["query_id", "asset_id", "chunk_order"]
+    wanted = best.select("query_id", "query", "asset_id").distinct().withColumn("number", F.explode(article_numbers(F.col("query"))))
+    articles = article_runs(wanted.select("query_id", "asset_id", "number", article_context_limit(F.col("query")).alias("most")), chunks)
+    articles = articles.select(*keys, "score", F.struct(F.lit(0).alias("branch"), F.col("number").alias("of"), F.col("place").cast("long").alias("place")).alias("emitted"))
+    pages = page_siblings(best, chunks).select(*keys, "score", F.struct(F.lit(1).alias("branch"), F.lit("").alias("of"), F.col("chunk_order").cast("long").alias("place")).alias("emitted"))
+    labels = best.withColumn("chapter", F.explode(chapter_labels(F.col("query")))).where(cites_chapter(F.col("text"), F.col("chapter")))
+    each = labels.groupBy(*keys, "chapter").agg(F.max("score").alias("score"))
+    chapters = chapter_runs(each, chunks)
+    chapters = chapters.select(*keys, "score", F.struct(F.lit(2).alias("branch"), F.lit("").alias("of"), F.col("offset").cast("long").alias("place")).alias("emitted"))
+    first = Window.partitionBy(*keys).orderBy("emitted")
+    every = articles.union(pages).union(chapters).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return every.join(found.select(keys), keys, "left_anti")

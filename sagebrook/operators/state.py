@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: Upper bounds of latency buckets in seconds; fixed values.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -25,9 +26,11 @@ def json_text(text: Column) -> Column:
     return F.when(text.isNotNull(), F.array_join(units, ""))
 
 
-def latest(ledger: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """The row with the greatest ``by`` of each key."""
-    at = Window.partitionBy(*keys).orderBy(F.desc(by))
+def latest(ledger: DataFrame, keys: list[str], by: str, *ties: str) -> DataFrame:
+    """The row with the greatest ``by`` of each key; of equal ones that with the greatest ``ties``,
+    and then the greatest of all other columns that can be compared."""
+    rest = [c for c in ledger.columns if c not in (*keys, by, *ties) and not isinstance(ledger.schema[c].dataType, (MapType, VariantType))]
+    at = Window.partitionBy(*keys).orderBy(F.desc(by), *[F.desc(c) for c in (*ties, *rest)])
     return ledger.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
 
 
@@ -95,3 +98,20 @@ def histogram(rows: DataFrame, value: Column, *labels: str, bounds: tuple[float,
     names = F.array(*[F.lit(str(b)) for b in bounds], F.lit("+Inf"))
     each = wide.select(*labels, "total", "n", F.explode(F.arrays_zip(names.alias("le"), F.col("_c").alias("cumulative"))).alias("_b"))
     return each.select(*labels, F.col("_b.le").alias("le"), F.col("_b.cumulative").alias("cumulative"), "total", "n")
+
+
+def best_setting(measured: DataFrame, setting: Column, cost: Column, *by: str) -> DataFrame:
+    """(by, setting, cost): of each group's measured settings the cheapest; of equal ones the least."""
+    best = F.min(F.struct(cost.alias("cost"), setting.alias("setting")))
+    return measured.groupBy(*by).agg(best.alias("best")).select(*by, F.col("best.setting").alias("setting"), F.col("best.cost").alias("cost"))
+
+
+def statuses(ledger: DataFrame) -> DataFrame:
+    """(execution_id, task_name, status, result, started_at, completed_at): each task as it is now."""
+    rows = latest(ledger, ["execution_id"], "updated_at")
+    return rows.select("execution_id", "task_name", "status", "result", "started_at", "completed_at")
+
+
+def cleared(chat: DataFrame, session_id: str) -> DataFrame:
+    """A chat without one session."""
+    return chat.where(~F.coalesce(F.col("session_id") == session_id, F.lit(False)))

@@ -69,9 +69,18 @@ def cross_encoded(rows: DataFrame, model: Reranker, *, chars: int = 1024, top: i
     return out.withColumn("rank", F.row_number().over(at))
 
 
-def prompts(rows: DataFrame, budget: int, *, chars: int = 4000, compose: bool = True) -> DataFrame:
+def template(lang: Column, part: int, default: str = "en") -> Column:
+    """A part of the prompt's wording in a language, or in the default one if there is none."""
+    out = F.lit(TEMPLATES[default][part])
+    for known, parts in TEMPLATES.items():
+        out = F.when(lang == known, parts[part]).otherwise(out)
+    return out
+
+
+def prompts(rows: DataFrame, budget: int, *, chars: int = 4000, compose: bool = True, own: dict[str, str | None] | None = None) -> DataFrame:
     """(query_id, prompt): passages (query_id, query, rank, text, file_name, page) within the budget,
-    numbered and labelled, narrowed to their best item where the question wants that."""
+    numbered and labelled, narrowed to their best item where the question wants that. ``own`` has a
+    project's wording of the head by language, where it has one."""
     kept = within_budget(rows, F.length("text"), budget)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     lang = question_language(F.col("query"))
@@ -80,19 +89,30 @@ def prompts(rows: DataFrame, budget: int, *, chars: int = 4000, compose: bool =
     line = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), source_label(F.col("file_name"), F.col("page"), F.col("_lang")), F.lit("\n"), cut_then_strip(text, chars))
     kept = kept.withColumn("_line", line)
     body = kept.groupBy("query_id", "query", "_lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "\n\n").alias("_body"))
-    head = F.when(F.col("_lang") == "ar", TEMPLATES["ar"][0]).otherwise(TEMPLATES["en"][0])
-    foot = filled(F.when(F.col("_lang") == "ar", TEMPLATES["ar"][1]).otherwise(TEMPLATES["en"][1]), question=F.coalesce("query", F.lit("")))
+    head = template(F.col("_lang"), 0)
+    for known, words in (own or {}).items():
+        head = F.when((F.col("_lang") == known) & F.lit(bool((words or "").strip())), F.lit(words or "")).otherwise(head)
+    foot = filled(template(F.col("_lang"), 1), question=F.coalesce("query", F.lit("")))
     return body.select("query_id", F.concat_ws("\n\n", head, "_body", foot).alias("prompt"))
 
 
-def answers(prompted: DataFrame, model: Generator) -> DataFrame:
-    """(query_id, answer, asks): what the model makes of each prompt."""
+def answers(prompted: DataFrame, model: Generator, history: DataFrame | None = None) -> DataFrame:
+    """(query_id, answer, asks): what the model makes of each prompt and of the earlier messages that
+    go with it, ``history`` (query_id, place, role, text), a bounded number for each query."""
     from ..functions.text import parsed_answer
 
     def run(parts):
         for part in parts:
-            yield part[["query_id"]].assign(raw=[model.generate(p, []) for p in part["prompt"]])
-
-    raw = prompted.select("query_id", "prompt").mapInPandas(run, "query_id long, raw string")
+            said = [[(m["role"], m["text"]) for m in (h if h is not None else [])] for h in part["said"]]
+            yield part[["query_id"]].assign(raw=[model.generate(p, h) for p, h in zip(part["prompt"], said, strict=True)])
+
+    said = "array<struct<role:string,text:string>>"
+    rows = prompted.select("query_id", "prompt")
+    if history is None:
+        rows = rows.withColumn("said", F.lit(None).cast(said))
+    else:
+        listed = history.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("h"))
+        rows = rows.join(listed, "query_id", "left").withColumn("said", F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))).drop("h")
+    raw = rows.select("query_id", "prompt", "said").mapInPandas(run, "query_id long, raw string")
     text, asks = parsed_answer(F.col("raw"))
     return raw.select("query_id", text.alias("answer"), asks.alias("asks"))

@@ -19,7 +19,7 @@ from .operators import catalog, enrich, fusion, state
 from .operators.dense import nearest
 from .operators.sparse import query_tokens
 from .plans import ingest, search
-from .schema import CHAT, LEDGER, PROJECTS
+from .schema import CHAT, LEDGER, PROJECTS, PROMPTS
 from .session import Settings, with_checkpoints
 from .sources import files
 
@@ -139,12 +139,17 @@ class Service:
         assets = self._read("assets", ASSETS).where(F.col("project_id") == project_id)
         return catalog.coverage(assets, chunks, chunks.join(self.vectors.indexed_ids(self.embedder.size, project_id), "chunk_id", "left_semi").select("asset_id"))
 
-    def search(self, user_id: str, project_id: int, questions: list[str]) -> DataFrame:
+    def search(self, user_id: str, project_id: int, questions: list[str], metadata: dict[str, object] | None = None) -> DataFrame:
         """(query_id, query, id, text, score, rank, and the chunk's place) for a batch of questions,
-        numbered from 0: hybrid search, widened by derived questions where a question has some."""
+        numbered from 0: hybrid search, widened by derived questions where a question has some. With
+        ``metadata`` only chunks count whose own (file_name, page, chunk_order, asset_id) contain it."""
         chunks = self.chunks(user_id, project_id)
-        texts = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
         vectors = self.vectors.read(self.embedder.size, project_id).select("id", "vector")
+        if metadata:
+            own = F.to_json(F.struct("file_name", "page", "chunk_order", "asset_id"))
+            chunks = chunks.where(catalog.contains(own, metadata))
+            vectors = vectors.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        texts = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
         asked = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
         found = search.hybrid(self.spark, vectors, texts, self._embedded(asked), candidates=self.settings.candidates, k=self.settings.rrf_k)
         found = found.select("query_id", F.col("key").alias("id"), "score").join(texts.withColumnRenamed("doc_id", "id"), "id").select("query_id", "id", "text", "score").checkpoint()
@@ -166,19 +171,61 @@ class Service:
         vectors = ingest.embedded(asked.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("chunk_text")), self.embedder)
         return vectors.select(F.col("chunk_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), query_tokens(F.col("chunk_text")).alias("terms"))
 
-    def answer(self, user_id: str, project_id: int, questions: list[str], session_id: str) -> DataFrame:
-        """(query_id, answer, asks): the questions with what is found for them, re-ranked, followed by
-        chunks that a found header announces, and trimmed, put to the model. Both sides are kept in
-        the session's history."""
-        found = self.search(user_id, project_id, questions)
+    def set_prompt(self, user_id: str, project_id: int, prompt_en: str | None = None, prompt_ar: str | None = None) -> None:
+        """The project's own wording of the prompt; what is None stays as it is."""
+        self._owned(user_id, project_id)
+        new = self.spark.range(1).select(F.lit(project_id).alias("prompt_id"), F.lit(project_id).alias("project_id"), F.lit(prompt_en).cast("string").alias("prompt_en"), F.lit(prompt_ar).cast("string").alias("prompt_ar"))
+        self._replace(catalog.upsert(self._read("prompts", PROMPTS), new, "project_id"), "prompts")
+
+    def prompt(self, user_id: str, project_id: int) -> dict[str, str | None]:
+        self._owned(user_id, project_id)
+        row = catalog.lookup(self._read("prompts", PROMPTS), "project_id", project_id).first()
+        return {"en": row.prompt_en, "ar": row.prompt_ar} if row else {}
+
+    def _replace(self, rows: DataFrame, name: str) -> None:
+        """Put rows, which may come from the table itself, in its place."""
+        rows.checkpoint().write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+    def task_status(self, user_id: str, project_id: int) -> DataFrame:
+        """All tasks of the store as they are now; for an owner of a project in it."""
+        self._owned(user_id, project_id)
+        return state.statuses(self._read("ledger", LEDGER))
+
+    def process_and_push(self, user_id: str, project_id: int, path: str, *, reset: bool = False) -> int:
+        """Process files, then embed what is new: how many vectors there are then. If the same files
+        were done before, what is left to embed is embedded all the same."""
+        self.process(user_id, project_id, path, reset=reset)
+        return self.push(user_id, project_id)
+
+    def file_totals(self, user_id: str, project_id: int) -> DataFrame:
+        """(file_name, chunks, characters) of a project's files."""
+        return catalog.file_totals(self.chunks(user_id, project_id), "file_name")
+
+    def enriched(self, top: DataFrame, chunks: DataFrame) -> DataFrame:
+        """(query_id, query, text, file_name, page, rank) of re-ranked rows and what goes with them:
+        for structural questions runs of articles and chapters and other chunks of the pages, and for
+        all the chunks that a found header announces. What is added comes last, best first."""
+        keys = ["query_id", "asset_id", "chunk_order"]
+        more = enrich.structural_context(top, chunks).select(*keys, "score")
+        more = more.unionByName(enrich.continuations(top, chunks, needs_continuation(F.col("text"))).select(*keys, "score"))
+        more = more.groupBy(*keys).agg(F.max("score").alias("score")).join(chunks.select("asset_id", "chunk_order", "text", "file_name", "page"), ["asset_id", "chunk_order"])
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "asset_id", "chunk_order"))
+        more = more.join(top.select("query_id", "query").distinct(), "query_id").withColumn("rank", F.lit(1 << 20) + place)
+        columns = ["query_id", "query", "text", "file_name", "page", "rank"]
+        return top.select(columns).unionByName(more.select(columns))
+
+    def answer(self, user_id: str, project_id: int, questions: list[str], session_id: str, metadata: dict[str, object] | None = None, *, mode: str = "auto") -> DataFrame:
+        """(query_id, answer, asks): the questions with what is found for them, re-ranked, enriched and
+        trimmed, put to the model together with the earlier messages that ``mode`` chooses (minimal,
+        auto, user_only, full, of the session's last ones). Both sides are kept in the history."""
+        found = self.search(user_id, project_id, questions, metadata)
         found = fusion.in_document_order(found, Q.is_structural(F.col("query"))).drop("rank").withColumnRenamed("prompt_rank", "rank")
-        top = search.cross_encoded(found, self.reranker, chars=self.settings.rerank_chars, top=self.settings.rerank_top).checkpoint()
-        chunks = self.chunks(user_id, project_id)
-        more = enrich.continuations(top.withColumn("score", F.col("model_score")), chunks, needs_continuation(F.col("text")))
-        more = more.join(chunks.select("asset_id", "chunk_order", "text", "file_name", "page"), ["asset_id", "chunk_order"]).join(top.select("query_id", "query").distinct(), "query_id")
-        rows = top.select("query_id", "query", "text", "file_name", "page", "rank").unionByName(more.select("query_id", "query", "text", "file_name", "page", F.lit(1 << 20).alias("rank")))
-        out = search.answers(search.prompts(rows, self.settings.context_chars), self.generator).checkpoint()
+        top = search.cross_encoded(found, self.reranker, chars=self.settings.rerank_chars, top=self.settings.rerank_top)
+        top = top.withColumn("score", F.col("model_score").cast("double")).checkpoint()
+        rows = self.enriched(top, self.chunks(user_id, project_id))
         asked = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
+        prompted = search.prompts(rows, self.settings.context_chars, own=self.prompt(user_id, project_id))
+        out = search.answers(prompted, self.generator, self._said(user_id, project_id, asked, session_id, mode)).checkpoint()
         said = asked.select("query_id", F.lit("user").alias("role"), F.col("query").alias("text")).unionByName(out.where("answer is not null").select("query_id", F.lit("assistant").alias("role"), F.col("answer").alias("text")))
         now = F.lit(datetime.now(timezone.utc))
         message = identifier(F.lit(session_id), now, "query_id", "role")
@@ -188,6 +235,19 @@ class Service:
         )
         return out
 
+    def _said(self, user_id: str, project_id: int, asked: DataFrame, session_id: str, mode: str) -> DataFrame:
+        """(query_id, place, role, text): the session's earlier messages for each question."""
+        last = self.history(user_id, project_id, session_id).select("place", "role", F.col("content.text").alias("text")).checkpoint()
+        each = asked.select("query_id", Q.is_follow_up(F.col("query")).alias("follow_up")).join(F.broadcast(last))  # 20 rows at most
+        return state.history(each, "query_id", "place", mode, F.col("follow_up")).select("query_id", "place", "role", "text")
+
+    def clear_history(self, user_id: str, project_id: int, session_id: str) -> None:
+        """Forget a session of a project."""
+        self._owned(user_id, project_id)
+        chat = self._read("chat", CHAT)
+        other = chat.where(F.col("project_id") != project_id).unionByName(state.cleared(chat.where(F.col("project_id") == project_id), session_id))
+        self._replace(other, "chat")
+
     def history(self, user_id: str, project_id: int, session_id: str, n: int = 20) -> DataFrame:
         self._owned(user_id, project_id)
         chat = self._read("chat", CHAT).where((F.col("project_id") == project_id) & (F.col("session_id") == session_id))

@@ -71,6 +71,25 @@ def workbook_text(content: bytes) -> str | None:
     return "".join(parts) or "Empty Excel File"
 
 
+def recognised(pages: Pages, recognise: Callable[[bytes, int], str], least: int = 10) -> Pages:
+    """A page reader that has pages with hardly any text (under ``least`` characters) recognised from
+    their image by ``recognise`` (file, page number); what fails there gives an empty page."""
+
+    def read(content: bytes) -> list[tuple[int, str, bool]]:
+        out = []
+        for number, text, before in pages(content):
+            if len((text or "").strip()) >= least:
+                out.append((number, text, before))
+                continue
+            try:
+                out.append((number, recognise(content, number) or "", True))
+            except Exception:  # noqa: BLE001  whatever is wrong with a page, the others are read
+                out.append((number, "", True))
+        return sorted(out, key=lambda p: p[0])
+
+    return read
+
+
 def load_pdf(spark: SparkSession, path: str, pages: Pages) -> DataFrame:
     """The pages of each .pdf file that have text, as the reader gives them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)

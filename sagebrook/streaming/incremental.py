@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+from ..session import own_folder
 
 
 def index_new(spark: SparkSession, source: str, schema, target: str, key: str, prepare=lambda df: df) -> DataFrame:
@@ -40,7 +31,7 @@ def retained_counts(spark: SparkSession, source: str, schema, at: str, by: str,
     streaming aggregation written to a table of the last state."""
     rows = spark.readStream.schema(schema).parquet(source).withColumn("_old", F.col(at).cast("timestamp") < now - F.make_dt_interval(secs=F.lit(seconds)))
     counts = rows.groupBy(by).agg(F.count(F.when(~F.col("_old"), 1)).alias("kept"), F.count(F.when(F.col("_old"), 1)).alias("expired"))
-    folder = _folder(spark)
+    folder = own_folder(spark, "stream")
 
     def store(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/state")

@@ -1,10 +1,38 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sagebrook.service import Service
 
 
+def echo():
+    """A model that answers with the prompt and the earlier messages; workers don't have this module."""
+
+    class Echo:
+        def generate(self, prompt, history):
+            return prompt + "\nSAID " + ", ".join(f"{role}: {text.splitlines()[-1]}" for role, text in history)
+
+    return Echo()
+
+
+def test_structural_questions_get_their_context(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    parts = ["مادة (4) first rule. " * 8, "مادة (5) second rule. " * 8, "goes on with it. " * 50, "مادة (6) third rule. " * 8]
+    (folder / "law.txt").write_text("\n\n".join(parts))
+    service = Service(spark, f"{tmp_path}/store", generator=echo())
+    project = service.create_project("ann", "law")
+    service.process_and_push("ann", project, str(folder))
+    chunks = service.chunks("ann", project)
+    orders = {r.chunk_order: r.text for r in chunks.collect()}
+    assert len(orders) >= 4
+    seed = chunks.where("chunk_order = 1").select(F.lit(0).cast("long").alias("query_id"), F.lit("what is in المادة 5").alias("query"), "text", "file_name", "page", "asset_id", "chunk_order", F.lit(0.5).alias("score"), F.lit(1).alias("rank"))
+    got = [r.text for r in service.enriched(seed, chunks).orderBy("rank").collect()]
+    want = [t for o, t in sorted(orders.items()) if "مادة (5)" in t or "goes on" in t]
+    assert got[0] == orders[1] and got[1 : 1 + len(want)] == want and not any(t.startswith("مادة (6)") for t in got)
+
+
 def test_from_files_to_answers(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
@@ -25,6 +53,19 @@ def test_from_files_to_answers(spark, tmp_path):
     said = {r.query_id: r for r in service.answer("ann", project, ["green pears"], "s1").collect()}
     assert said[0].answer == "pears.txt" and not said[0].asks
     assert {r.role for r in service.history("ann", project, "s1").collect()} == {"user", "assistant"}
+    assert {r.file_name for r in service.search("ann", project, ["green pears"], {"file_name": "sea.txt"}).collect()} == {"sea.txt"}
+    assert service.search("ann", project, ["green pears"], {"file_name": "none.txt"}).isEmpty()
+    assert {(r.file_name, r.chunks) for r in service.file_totals("ann", project).collect()} == {("pears.txt", 1), ("sea.txt", 1), ("more.csv", 1)}
+    assert {(r.task_name, r.status) for r in service.task_status("ann", project).collect()} == {("process", "SUCCESS")} and service.task_status("ann", project).count() == 2
+    service.set_prompt("ann", project, prompt_en="Say it in our words.")
+    service.set_prompt("ann", project, prompt_ar="x")
+    assert service.prompt("ann", project) == {"en": "Say it in our words.", "ar": "x"}
+    service.generator = echo()
+    told = {r.query_id: r.answer for r in service.answer("ann", project, ["what about the same pears", "salty sea"], "s1").collect()}
+    assert told[0].startswith("Say it in our words.") and told[0].endswith("SAID user: green pears") and told[1].endswith("SAID")
+    assert service.answer("ann", project, ["salty sea"], "s1", mode="full").first().answer.count("assistant:") == 3
+    service.clear_history("ann", project, "s1")
+    assert service.history("ann", project, "s1").isEmpty() and service.process_and_push("ann", project, str(folder)) == 3
     assert service.process("ann", project, str(folder), reset=True) and service.chunks("ann", project).count() == 3 and not service.vectors.exists(64, project)
 
 
