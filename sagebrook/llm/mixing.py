@@ -7,8 +7,9 @@ probability keeps its expectation and a source keeps its expected words exactly.
 documents are dealt by a hash into groups of some 32; a fold over each group leaves one fractional
 document at most, and these residuals are dealt into groups again, in a reduction tree, until one
 is left for each source, which is drawn. Documents above their source's median size come first; by
-what they miss, the probabilities of the smaller ones are shifted (in expectation by nothing), so
-that a source commonly misses its target by less than the words of one of its smaller documents.
+what they miss, the probabilities of the smaller ones are shifted (in expectation by nothing; what
+one of them can't take between 0 and 1, the others do), so that a source commonly misses its target
+by less than the words of one of its smaller documents.
 All randomness is a hash of the documents' ids, so reruns agree. All of it is DataFrame functions.
 """
 
@@ -23,6 +24,7 @@ GROUP = 32
 MOST_COPIES = 3.0
 WEIGHTS = (1, 2, 3)
 SEED = 20240506
+ROUNDS = 6
 
 #: One step of the fold: s.held is the fractional document so far, x the next one. What both names
 #: stand for is bound step by step by transforms over one element.
@@ -101,6 +103,25 @@ def _settled(ws: Workspace, units: DataFrame, seed: int) -> DataFrame:
     return out
 
 
+def _shifted(ws: Workspace, units: DataFrame, owed: DataFrame) -> DataFrame:
+    """``units`` with probabilities that give each source so many more expected words as it is
+    ``owed`` (of, owed), evenly over words, as far as they stay between 0 and 1. What some can't
+    take is spread over the others in up to ROUNDS rounds, until half a word is left."""
+    for _ in range(ROUNDS):
+        free = units.where("p > 0 and p < 1").groupBy(F.col("source").alias("at")).agg(F.sum("size").alias("room"))
+        shift = owed.join(free, F.col("of").eqNullSafe(F.col("at"))).select("of", (F.col("owed") / F.col("room")).alias("shift"))
+        moved = units.join(small(ws.save(shift, "shift")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        to = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))
+        moved = ws.save(moved.withColumn("to", F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise(to)), "moved")
+        gained = moved.groupBy(F.col("source").alias("at")).agg(F.sum((F.col("to") - F.col("p")) * F.col("size")).alias("gained"))
+        owed = owed.join(gained, F.col("of").eqNullSafe(F.col("at"))).select("of", (F.col("owed") - F.col("gained")).alias("owed"))
+        owed = ws.save(owed, "owed")
+        units = moved.select(*[F.col("to").alias("p") if c == "p" else F.col(c) for c in units.columns])
+        if owed.where("abs(owed) > 0.5").isEmpty():
+            break
+    return units
+
+
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, size long, source_size long, target double, taken long) for each row of ``docs``
     (doc_id, text, source): the words of the text, those of its source, its source's target, and
@@ -133,12 +154,8 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     large = ws.save(large, "large")
     missed = open_now.where("large").groupBy("source").agg(F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("wished"))
     missed = missed.join(large.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("copies") * F.col("size")).alias("got")), F.col("source").eqNullSafe(F.col("of")))
-    room = open_now.where("not large").groupBy(F.col("source").alias("at")).agg(F.sum("size").alias("room"))
-    shift = missed.join(room, F.col("source").eqNullSafe(F.col("at"))).select(F.col("source").alias("of"), ((F.col("wished") - F.col("got")) / F.col("room")).alias("shift"))
-    shift = small(ws.save(shift, "shift"))
-    less = open_now.where("not large").join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
-    less = less.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce("shift", F.lit(0.0)))))
-    parts = [certain, large, _settled(ws, less.drop("large", "of", "shift"), SEED + 100)]
+    owed = ws.save(missed.select(F.col("source").alias("of"), (F.col("wished") - F.col("got")).alias("owed")), "owed")
+    parts = [certain, large, _settled(ws, _shifted(ws, open_now.where("not large").drop("large"), owed), SEED + 100)]
 
     taken = parts[0]
     for part in parts[1:]:

@@ -440,6 +440,9 @@ def test_count_tokens_and_cache(spark, tmp_path):
     first = token_counts.count_tokens(spark, df.where("doc_id is null or doc_id < 6"), path, cache).collect()
     assert {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in first} == {(1, 5, 3, False), (2, 5, 3, False), (3, 0, 0, False), (4, 0, 0, False), (None, 1200, 600, True)}
     assert spark.read.parquet(cache).count() == 3
+    clashing = df.union(spark.createDataFrame([(7, LONG, "", "", 0)], DOC)).withColumns({"content": F.lit(1), "n_tokens": F.lit("x"), "counted": F.lit(True)})
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, clashing, path).collect()}
+    assert counts[7] == token_counts.Counter(path)([LONG])[0] and counts[1] == 3 and len(counts) == 7
     assert len(token_counts.count_tokens(spark, df, path, cache).collect()) == 6
     stored = spark.read.parquet(cache)
     assert stored.count() == 4 and stored.select("content").distinct().count() == 4
@@ -482,6 +485,39 @@ def test_mixing(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
+def brute_targets(sizes):
+    """Targets by raising a common level in small steps: weights 1, 2, 3 in order, null last."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    total, low, high = sum(sizes.values()), 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(weight[s] * level, 3 * n) for s, n in sizes.items()) < total else (low, level)
+    return {s: min(weight[s] * high, 3 * n) for s, n in sizes.items()}
+
+
+def test_targets_match_brute_force(spark):
+    rng = random.Random(11)
+    for n in (1, 2, 7, 40):
+        rows = [(i, "w " * rng.choice([1, 5, 30]), None, rng.choice([None, *(f"s{k}" for k in range(n))]), 0) for i in range(6 * n)]
+        rows += [(1000 + i, LONG, None, "s0", 0) for i in range(2)] + [(2000, "q " * 900, None, "z", 0)]
+        by, sizes = {i: s for i, _, _, s, _ in rows}, Counter()
+        for _, t, _, s, _ in rows:
+            sizes[s] += len(t.split())
+        docs = spark.createDataFrame(rows, DOC).withColumns({"size": F.lit("x"), "target": F.lit(1), "p": F.lit(2)})
+        out, want = mixing.mix(spark, docs).collect(), brute_targets(sizes)
+        assert len(out) == len(rows) and all(r.target == pytest.approx(want[by[r.doc_id]], rel=1e-6) and r.source_size == sizes[by[r.doc_id]] for r in out)
+        assert all(r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0 for r in out)
+
+
+def test_shifts_are_handed_on(spark):
+    """What documents near 0 or 1 can't take, others do."""
+    ws = Workspace(spark, "test")
+    units = spark.createDataFrame([("a", i, 10, 1, 0, p) for i, p in enumerate([0.99, 0.98, 0.5, 0.4])] + [(None, 9, 5, 1, 0, 0.5)], "source string, doc_id long, size long, rows long, whole long, p double")
+    out = mixing._shifted(ws, units, spark.createDataFrame([("a", 8.0), (None, -100.0)], "of string, owed double")).collect()
+    assert sum(r.p * r.size for r in out if r.source) == pytest.approx(28.7 + 8, abs=0.5) and all(0 <= r.p <= 1 for r in out) and [r.p for r in out if r.source is None] == [0.0]
+
+
 def test_mixing_edges(spark):
     assert mixed(spark, []) == []
     assert [tuple(r) for r in sorted(mixed(spark, [(1, None, None, "a", 0), (2, " ", None, None, 0)]))] == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
