@@ -37,8 +37,10 @@ BANDS, ROWS = 45, 5
 #: Bits of each coordinate in a sketch; coordinates that must agree of 225: at 0.75, all but five
 #: standard deviations.
 BITS, AGREEING = 4, 141
-#: Shingles that one unit of exact comparisons takes, and so its memory (some 100 MB).
-UNIT_SHINGLES = 1_000_000
+#: Shingles that one unit of exact comparisons takes, and so its memory (some 50 MB).
+UNIT_SHINGLES = 500_000
+#: Texts that are cut into shingles at once, which bounds what a worker holds.
+TEXTS = 64
 PERCENT = 75
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 
@@ -89,8 +91,8 @@ def alike(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndar
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
+        for at in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(at, TEXTS)
             sets = shingle_sets(batch.column(2))
             signatures = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -110,8 +112,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of candidates to their sets; of repeated texts one for each partition."""
     seen = set()
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
+        for at in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(at, TEXTS)
             marks = zip(*(batch.column(k).to_pylist() for k in ("unit", "component", "side", "key", "digest", "repeated")), strict=True)
             keep, sets = [], []
             for i, (mark, s) in enumerate(zip(marks, shingle_sets(batch.column("text")), strict=True)):

@@ -36,7 +36,9 @@ RARE = 20
 #: Tokens whose vectors a worker holds; some 70 bytes each.
 HELD = 500_000
 #: Tokens that a task adds up before it passes sums on.
-SUMMED = 400_000
+SUMMED = 150_000
+#: Texts that are cut into tokens at once, which bounds what a worker holds.
+TEXTS = 64
 #: Tokens that it reads before it does so, which keeps sums below 2**31.
 READ = 1 << 26
 SAMPLE = 20_000
@@ -104,12 +106,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(seen)], names=["token", "seen"])
 
     for whole in batches:
-        for start in range(0, whole.num_rows, 512):
-            tokens, _, _ = token_hashes(whole.slice(start, 512).column(0))
+        for start in range(0, whole.num_rows, TEXTS):
+            tokens, _, _ = token_hashes(whole.slice(start, TEXTS).column(0))
             if len(tokens):
                 held.append(np.unique(tokens, return_counts=True))
                 n += len(held[-1][0])
-                if n > 4 * SUMMED:
+                if n > 2 * SUMMED:
                     yield rows()
                     held, n = [], 0
     if held:
@@ -131,8 +133,8 @@ def _neighbours(keep):
         held, n, read = [none], 0, 0
         rare = np.zeros((64, DIMENSIONS), np.int64)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                tokens, at, kinds = token_hashes(whole.slice(start, 512).column(0))
+            for start in range(0, whole.num_rows, TEXTS):
+                tokens, at, kinds = token_hashes(whole.slice(start, TEXTS).column(0))
                 if not len(tokens):
                     continue
                 unique, order, starts, places = _distinct(tokens)
@@ -352,8 +354,8 @@ def pooled(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame],
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
                 counts, sums, rest = sums_of(batch.column("text"), sent.value)
                 own = [batch.column(c) for c in keep]
                 if sent.value.whole:
