@@ -35,6 +35,7 @@ EXHAUSTIVE = [
     rf"(?:كل\s+)?(?:شروط|بنود|عناصر)\s+(?:ال?\s*{ARTICLE_AR}|article)",
     r"\b(?:all|every)\b.*\b(?:conditions|requirements|items|criteria)\b",
 ]
+# Arabic words beside a digit aren't listed: the digit is enough.
 SPECIFIC = [
     r"\d",
     r"\b(section|chapter|paragraph|part|step|item|appendix|table|figure|clause|schedule)\b",
@@ -43,7 +44,7 @@ SPECIFIC = [
 ]
 FOLLOW_UP = [
     r"\b(it|its|that|this|those|these|same|above|mentioned|previous|earlier|there)\b",
-    r"(?:^|\s)(?:ده|دي|دا|دول|ه(?:و|ي)|هما|هم)\b",
+    r"(?:^|\s)(?:ده|دي|دا|دول|ه(?:و|ي)|هما|هم)\b|"
     r"(?:ال(?:سابق|مذكور|موض(?:ح|وح)|سابق(?:ة)?)|(?:اللي|الذي)\s+(?:فات|قلت|ذكرت|قصد))",
     r"^(?:و|also|plus|additionally|كمان|أيضاً|además)\s",
 ]
@@ -69,6 +70,18 @@ ITEM_TAIL = r"(?:^|\s)\d+[\.\)]\s+[^:]+:\s*$"
 ORDINAL_AR = "(?:اولا|ثانيا|ثالثا|رابعا|خامس)"
 ORDINAL_EN = r"\b(?:first|second|third|fourth|fifth)\b"
 
+#: Fixed values, in their order: what is replaced in text from pages, and by what.
+ARABIC = "\u0600-\u06ff\u0750-\u077f"
+CLEANING = (
+    (r"\r\n?", "\n"),
+    (r"(?mU)^\s*\d{1,3}\s*$", ""),
+    (rf"(?<=[{ARABIC}A-Za-z0-9])[\r\n]+(?=[{ARABIC}A-Za-z0-9])", " "),
+    (rf"(?U)(?<=\s[{ARABIC}]) (?=[{ARABIC}]{{1,3}}(?:\s|$|[،.:\)]))", ""),
+    (r"(?U)(?<=\s[A-Za-z]) (?=[A-Za-z]{1,3}(?:\s|$|[,.:;)]))", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"(?U)[^\S\n]+", " "),
+)
+
 CLARIFICATION = "CLARIFICATION_NEEDED"
 
 #: Letters that recognition of Arabic print confuses with Latin ones, and digits, with what they become.

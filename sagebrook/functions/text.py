@@ -76,17 +76,8 @@ def lexical_recall(text: Column, query: Column, *, compose: bool = True) -> Colu
 
 def clean_extracted(text: Column) -> Column:
     """Text from pages without lone page numbers, hard line breaks, split words and blank lines."""
-    both = "\u0600-\u06ff\u0750-\u077f"
     out = nfc(F.coalesce(text, F.lit("")))
-    for pattern, new in (
-        (r"\r\n?", "\n"),
-        (r"(?mU)^\s*\d{1,3}\s*$", ""),
-        (rf"(?<=[{both}A-Za-z0-9])[\r\n]+(?=[{both}A-Za-z0-9])", " "),
-        (rf"(?U)(?<=\s[{both}]) (?=[{both}]{{1,3}}(?:\s|$|[،.:\)]))", ""),
-        (r"(?U)(?<=\s[A-Za-z]) (?=[A-Za-z]{1,3}(?:\s|$|[,.:;)]))", ""),
-        (r"\n{3,}", "\n\n"),
-        (r"(?U)[^\S\n]+", " "),
-    ):
+    for pattern, new in P.CLEANING:
         out = F.regexp_replace(out, pattern, new)
     lines = F.filter(F.transform(F.split(out, "\n"), strip), lambda line: line != "")
     return strip(F.array_join(lines, "\n"))

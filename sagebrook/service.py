@@ -237,8 +237,9 @@ class Service:
 
     def _said(self, user_id: str, project_id: int, asked: DataFrame, session_id: str, mode: str) -> DataFrame:
         """(query_id, place, role, text): the session's earlier messages for each question."""
-        last = self.history(user_id, project_id, session_id).select("place", "role", F.col("content.text").alias("text")).checkpoint()
-        each = asked.select("query_id", Q.is_follow_up(F.col("query")).alias("follow_up")).join(F.broadcast(last))  # 20 rows at most
+        last = self.history(user_id, project_id, session_id).select("session_id", "place", "role", F.col("content.text").alias("text")).checkpoint()
+        each = asked.select("query_id", F.lit(session_id).alias("session_id"), Q.is_follow_up(F.col("query")).alias("follow_up"))
+        each = each.join(F.broadcast(last), "session_id")  # 20 rows at most
         return state.history(each, "query_id", "place", mode, F.col("follow_up")).select("query_id", "place", "role", "text")
 
     def clear_history(self, user_id: str, project_id: int, session_id: str) -> None:

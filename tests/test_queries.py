@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 import pytest
 from compare import by_spark, by_sql
 from pyspark.sql import functions as F
 
 from sagebrook.catalogue import ORACLE_SQL, QUERIES
+from sagebrook.functions import patterns as P
 from sagebrook.functions import text as T
 from sagebrook.operators import sparse
 
@@ -59,6 +61,72 @@ def test_whole_texts_are_the_questions(spark, tmp_path):
     assert len(prompt) == 1 and f"السؤال: {texts[0][1]}" in prompt[0].prompt
 
 
+def plain_params(n, size=800, overlap=120):
+    scale = next((f for most, f in ((600, 0.6), (1500, 0.75), (4000, 1.0), (12_000, 1.15)) if n <= most), 1.3)
+    own = max(200, min(1000, round(size * scale)))
+    if n <= 200 or own >= n:
+        return n, 0
+    return own, max(20, min(round(own * (0.15 if n <= 1500 else 0.18)), own // 3, int(overlap * scale)))
+
+
+def test_chunks_match_plain_python(spark, sf_dir):
+    """Cleaning, cutting and numbering of all documents, one after the other."""
+    cleaned = {r.doc_id: r.text for r in QUERIES["clean_text"](spark, sf_dir).collect()}
+    raw = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for i, text in raw.items():
+        out = re.sub(r"^\s*\d{1,3}\s*$", "", re.sub(r"\r\n?", "\n", unicodedata.normalize("NFC", text)), flags=re.M)
+        out = re.sub(r"(?<=[A-Za-z0-9])[\r\n]+(?=[A-Za-z0-9])", " ", out)
+        out = re.sub(r"(?<=\s[A-Za-z]) (?=[A-Za-z]{1,3}(?:\s|$|[,.:;)]))", "", out)
+        lines = (x.strip() for x in re.sub(r"[^\S\n]+", " ", re.sub(r"\n{3,}", "\n\n", out)).split("\n"))
+        assert cleaned[i] == "\n".join(x for x in lines if x), i
+    want = {}
+    for i, text in cleaned.items():
+        made = [c for p in T.structural_parts(text) for c in T.recursive_split(p, *plain_params(len(text)))] if text else []
+        want |= {(i, n): c for n, c in enumerate(made, 1)}
+    found = QUERIES["chunk_documents"](spark, sf_dir).collect()
+    assert {(r.asset_id, r.chunk_order): r.chunk_text for r in found} == want and all(r.char_count == len(r.chunk_text) for r in found)
+    parts = {(r.doc_id, r.part): r.text for r in QUERIES["structural_split"](spark, sf_dir).collect()}
+    assert parts == {(i, n): p for i, t in raw.items() for n, p in enumerate(T.structural_parts(t))}
+    lines = {(r.doc_id, r.part): r.text for r in QUERIES["line_chunks"](spark, sf_dir).collect()}
+    whole = {}
+    for (i, _), t in sorted(lines.items()):
+        whole[i] = whole.get(i, "") + "".join(t.split())
+    assert whole == {i: "".join("".join(x.split()) for x in t.split("\n") if len(x.strip()) > 1) for i, t in raw.items()}
+
+
+def plain_form(text, compose=True):
+    out = unicodedata.normalize("NFKC", text) if compose else text
+    out = re.sub(P.DIACRITICS, "", out)
+    for old, new in (P.DIGITS, P.CONFUSED, P.UNIFIED):
+        out = out.translate(str.maketrans(old, new))
+    return " ".join(re.sub(r"[^\w\s]", " ", out).split()).lower()
+
+
+def test_reranking_matches_plain_python(spark, sf_dir):
+    """Lexical recall and fused ranks of all nearest rows, computed one by one."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    near = [r for r in QUERIES["knn_cosine_topk"](spark, sf_dir).collect() if r.query_id in texts and r.id in texts]
+
+    def recall(text, q):
+        words = [w for w in re.sub(r"[^\w\s]", " ", q).split() if len(w) >= 3]
+        terms = dict.fromkeys([*words, *re.findall(r"\b(\d{1,4})\b", q), *filter(None, (x.strip() for x in re.findall("[«\"']([^»\"']{4,})[»\"']", q)))])
+        form = plain_form(text)
+        held = sum(plain_form(t, False) in form or t.isdigit() and t in text for t in terms)
+        return round(held / len(terms), 9) if terms and text else 0.0
+
+    lexical = {(r.query_id, r.id): recall(texts[r.id], texts[r.query_id]) for r in near}
+    found = QUERIES["rerank_rrf_lexical"](spark, sf_dir).collect()
+    assert {(r.query_id, r.id): r.lexical for r in found} == pytest.approx(lexical)
+    for q in {r.query_id for r in near}:
+        of = sorted((r for r in near if r.query_id == q), key=lambda r: r["rank"])
+        by_lexical = {r.id: n for n, r in enumerate(sorted(of, key=lambda r: (-lexical[q, r.id], r["rank"])), 1)}
+        fused = {r.id: round(1 / (60 + n) + 1 / (20 + by_lexical[r.id]) + lexical[q, r.id] * 1e-4, 9) for n, r in enumerate(of, 1)}
+        got = {r.id: r for r in found if r.query_id == q}
+        assert {i: r.combined for i, r in got.items()} == pytest.approx(fused, abs=2e-9)
+        order = [r.id for r in sorted(got.values(), key=lambda r: r.new_rank)]
+        assert all(got[a].combined >= got[b].combined for a, b in zip(order[:-1], order[1:], strict=True))
+
+
 def test_recall_of_terms_that_are_there(spark):
     pairs = [("An article on trees, 12", "trees grow 12"), ("", "x"), (None, "tree"), ("x", ""), ("Über 7 «long words»", "uber 7 «long words» 123"), ("a", None)]
     rows = spark.createDataFrame(pairs, "text string, q string")
