@@ -36,7 +36,7 @@ RARE = 20
 #: Tokens whose vectors a worker holds; some 70 bytes each.
 HELD = 500_000
 #: Tokens that a task adds up before it passes sums on.
-SUMMED = 150_000
+SUMMED = 400_000
 #: Texts that are cut into tokens at once, which bounds what a worker holds.
 TEXTS = 64
 #: Tokens that it reads before it does so, which keeps sums below 2**31.
@@ -111,7 +111,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(tokens):
                 held.append(np.unique(tokens, return_counts=True))
                 n += len(held[-1][0])
-                if n > 2 * SUMMED:
+                if n > SUMMED:
                     yield rows()
                     held, n = [], 0
     if held:
@@ -343,14 +343,22 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def pooled(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame], most: int) -> DataFrame:
+def pooled(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame], most: int, network: Network | None = None) -> DataFrame:
     """``rows`` (row, text and others) with features in place of text: those of the whole text, with
-    every token's own vector."""
+    every token's own vector; or, given a network, with the score that it makes of them, in the same
+    pass, so that a task has one Python worker."""
     words, kinds = vectors
+    scorer = ws.spark.sparkContext.broadcast(network) if network else None
+    result = "score" if network else "features"
+
+    def column(counts: np.ndarray, sums: np.ndarray) -> pa.Array:
+        x = features(counts, sums)
+        return pa.array(scorer.value(x).astype(np.float64)) if scorer else pa.array(list(x), pa.list_(pa.float32()))
+
     held = Vectors(words, kinds, most)
     sent = ws.spark.sparkContext.broadcast(held)
     keep = [c for c in rows.columns if c != "text"]
-    schema = _schema(rows, "text", StructField("features", _FEATURES))
+    schema = _schema(rows, "text", StructField(result, DoubleType() if network else _FEATURES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -359,8 +367,7 @@ def pooled(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame],
                 counts, sums, rest = sums_of(batch.column("text"), sent.value)
                 own = [batch.column(c) for c in keep]
                 if sent.value.whole:
-                    made = [pa.array(list(features(counts, sums)), pa.list_(pa.float32()))]
-                    yield pa.RecordBatch.from_arrays([*own, *made], names=[*keep, "features"])
+                    yield pa.RecordBatch.from_arrays([*own, column(counts, sums)], names=[*keep, result])
                 else:
                     made = [pa.array(counts[:, 0]), pa.array(counts[:, 1]), pa.array(list(sums), pa.list_(pa.float64()))]
                     made.append(pa.array(rest, pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64()), ("kind", pa.int32())]))))
@@ -381,9 +388,9 @@ def pooled(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame],
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.column_stack([batch.column("total").to_numpy(), batch.column("again").to_numpy()])
-            made = features(counts, _numbers(batch.column("sums"))) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(list(made), pa.list_(pa.float32()))], names=[*keep, "features"])
+            if batch.num_rows:
+                counts = np.column_stack([batch.column("total").to_numpy(), batch.column("again").to_numpy()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column(counts, _numbers(batch.column("sums")))], names=[*keep, result])
 
     return joined.mapInArrow(finish, schema)
 
@@ -411,21 +418,6 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, sample: int = SAMPL
     return vectors, Network(x, y, aside)
 
 
-def _scored(ws: Workspace, rows: DataFrame, vectors: tuple[DataFrame, DataFrame], network: Network, held: int) -> DataFrame:
-    """``rows`` (row, text and others) with a score in place of text."""
-    sent = ws.spark.sparkContext.broadcast(network)
-    df = pooled(ws, rows, vectors, held)
-    keep = [c for c in df.columns if c != "features"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = sent.value(_numbers(batch.column("features"))).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made)], names=[*keep, "score"])
-
-    return df.mapInArrow(run, _schema(df, "features", StructField("score", DoubleType())))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -442,7 +434,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     ws = Workspace(spark, "quality")
     texts = _texts(docs)
     vectors, network = train(ws, texts, labels, sample, held)
-    scored = _scored(ws, texts.withColumn("row", F.monotonically_increasing_id()), vectors, network, held)
+    scored = pooled(ws, texts.withColumn("row", F.monotonically_increasing_id()), vectors, held, network)
     return scored.select("doc_id", F.coalesce(_share("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -454,4 +446,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, held: int
     vectors, network = train(ws, _texts(docs), labels, held=held)
     # A struct keeps all columns apart from those that are added.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return _scored(ws, rows, vectors, network, held).where(F.col("score") >= THRESHOLD).select("doc.*")
+    return pooled(ws, rows, vectors, held, network).where(F.col("score") >= THRESHOLD).select("doc.*")
