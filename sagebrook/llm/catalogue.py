@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, pipeline, quality, token_counts, warc
+from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, pipeline, prefix_trie, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark, _table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
     "pipeline": pipeline.run,
 }
 
@@ -79,6 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.NEAR_DUPLICATES_SQL,
     "op3_warc_archive": warc.ROUND_TRIP_SQL,
     "op10_decontamination": decontaminate.CONTAINED_SQL,
+    "op12_prefix_trie": prefix_trie.TRIE_SQL,
 }
 if pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL
