@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, pipeline, prefix_trie, quality, token_counts, warc
+from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, pipeline, prefix_trie, quality, token_alignment, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark, _table(spark, sf_dir, "conversations"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "pipeline": pipeline.run,
 }

@@ -29,8 +29,8 @@ from .common import Workspace, joined
 
 #: Depths of one padded matrix; ids in one piece of text; turns of a row that say which shard it is in.
 DEEP, PIECE, RANGED = 16, 4096, 256
-#: Bytes of turn ids in a shard (a turn has 20).
-SHARD = 8 << 20
+#: Bytes of turn ids in a shard (a turn has 20), and in one of those that all tasks of a small table share.
+SHARD, LEAST = 32 << 20, 1 << 20
 
 _TURN = np.dtype([("a", ">u8"), ("b", ">u8"), ("n", ">u4")])
 _WIDTH = _TURN.itemsize
@@ -256,7 +256,7 @@ def trie(spark: SparkSession, turns: DataFrame, shard: int = SHARD) -> DataFrame
     ws = Workspace(spark, "trie")
     rows = ws.save(rebuilt(turns), "conversations")
     size = rows.agg(F.sum(F.octet_length("path") + 16)).first()[0] or 0
-    shards = max(1, -(-size // shard))
+    shards = max(1, -(-size // shard), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST))
     ranged = rows.repartitionByRange(shards, F.expr(f"substring(path, 1, {RANGED * _WIDTH})"), "conv_id") if shards > 1 else rows.coalesce(1)
     found = ws.save(ranged.select("conv_id", "path").mapInArrow(_nodes, _FIELDS), "nodes")
     ws.drop(rows)
