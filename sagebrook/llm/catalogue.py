@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, language, minhash, mixing, pii, pipeline, prefix_trie, quality, token_alignment, token_counts, warc
+from . import decontaminate, embedding_dedup, html_text, language, language_model, minhash, mixing, pii, pipeline, prefix_trie, quality, token_alignment, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark, _table(spark, sf_dir, "conversations"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_model": op13_language_model,
     "pipeline": pipeline.run,
 }
 
