@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, least_hashes
 
-#: Pieces that a worker remembers (some 100 MB), and the longest of them.
-REMEMBERED, LONGEST = 200_000, 200
+#: Pieces that a worker remembers (some 100 MB), the longest of them, and those that are looked at together.
+REMEMBERED, LONGEST, UNIT = 300_000, 200, 20_000
 #: Pairs of ids that are sent to tasks (17 bytes each), and entries of a product made at once.
 HELD, BLOCK = 1_000_000, 1 << 21
-#: Characters of text that are aligned at once, and links whose pairs are counted before they are handed on.
+#: Characters of text in one batch of results, and links whose pairs are counted before they are handed on.
 AT_ONCE, COUNTED = 1 << 20, 1 << 21
 
 
@@ -155,12 +155,15 @@ class Aligned:
         return Rows.of(self.groups_a, self.n_groups).times(Rows.of(self.groups_b, self.n_groups).transposed())
 
 
+_BLANKS = re.compile(r"\A\s| \s|\s |\s\Z")
+
+
 def pieces_of(text: str, splits: bool) -> list[str]:
     """``space + text`` cut before each single space between characters that aren't blank."""
     parts = text.split(" ")
     if not splits:
         return [" " + text]
-    if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+    if not _BLANKS.search(text):
         return [" " + p for p in parts]
     out = [""]
     for p in parts:
@@ -173,16 +176,26 @@ def pieces_of(text: str, splits: bool) -> list[str]:
 
 
 class Aligner:
-    """Aligns texts and remembers their pieces."""
+    """Aligns texts and remembers their pieces: of too many, those that came more than once."""
 
     def __init__(self, a: str, b: str):
         self.a, self.b = Tokenizer(a), Tokenizer(b)
         self.splits = self.a.splits and self.b.splits
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.numbers, self.said, self.keys, self.starts = np.zeros((0, 5), np.int64), [], np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.numbers, self.said, self.hits = np.zeros((0, 5), np.int64), [], np.zeros(0, np.int64)
+        self.keys, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        kept = sorted(((p, k) for p, k in self.place.items() if self.hits[k] > 1), key=lambda x: -self.hits[x[1]])[: REMEMBERED // 2]
+        at = np.array([k for _, k in kept], np.int64)
+        self.place = {p: i for i, (p, _) in enumerate(kept)}
+        self.keys, n = self.pairs(at), np.diff(self.starts)[at]
+        self.numbers, self.said, self.hits, self.starts = self.numbers[at], [self.said[k] for k in at.tolist()], self.hits[at] // 2, np.append(0, np.cumsum(n))
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        """Id pairs of some pieces, one after the other."""
+        n = np.diff(self.starts)[at]
+        return self.keys[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def learn(self, pieces: list[str]) -> None:
         """Numbers of each piece (same, tokens of a and b, groups, shared-group links), its groups in
@@ -201,31 +214,56 @@ class Aligner:
         self.numbers = np.concatenate([self.numbers, np.stack([np.array(x.same, np.int64), x.n_a, x.n_b, np.diff(last), np.diff(both[last])], 1)])
         self.keys = np.concatenate([self.keys, x.a[x.links[0]] << 32 | x.b[x.links[1]]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + last[1:]])
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
-        """For each text (tokens of a and b, groups, shared-group links), its groups and its id pairs."""
-        pieces = [pieces_of(t, self.splits) if t else [] for t in texts]
-        missing = list({p for of in pieces for p in of if p not in self.place})
-        if len(self.place) + len(missing) > REMEMBERED:
-            self.clear()
-            missing = list({p for of in pieces for p in of})
+        self.hits = np.append(self.hits, np.zeros(len(pieces), np.int64))
+
+    def known(self, units: list[list[str]]) -> list[np.ndarray]:
+        """Places of the pieces of some texts or parts of texts."""
+        missing = list({p for of in units for p in of if p not in self.place})
+        if len(self.said) + len(missing) > REMEMBERED or len(self.keys) > 8 * REMEMBERED:
+            self.forget()
+            missing = list({p for of in units for p in of if p not in self.place})
         for at in range(0, len(missing), 4096):
             self.learn(missing[at : at + 4096])
-        numbers, said, keys = np.zeros((len(texts), 4), np.int64), [], []
-        for i, of in enumerate(pieces):
-            at = np.fromiter(map(self.place.__getitem__, of), np.int64, len(of))
-            mine = self.numbers[at]
-            if len(of) and mine[:, 0].all():
-                numbers[i] = mine[:, 1:].sum(axis=0)
-                said.append(";".join([self.said[k] for k in at.tolist()]))
-                n = mine[:, 3]
-                keys.append(self.keys[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-            else:
-                said.append("")
-                keys.append(np.zeros(0, np.int64))
-        if any(len(p) > LONGEST for p in missing) or len(self.place) > REMEMBERED:
-            self.clear()
-        return numbers, said, keys
+        out = [np.fromiter(map(self.place.__getitem__, of), np.int64, len(of)) for of in units]
+        np.add.at(self.hits, np.concatenate(out), 1)
+        for p in missing:
+            if len(p) > LONGEST:
+                del self.place[p]
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+        """For each text (tokens of a and b, groups, shared-group links), the digest of its groups,
+        and its id pairs."""
+        numbers, same = np.zeros((len(texts), 4), np.int64), np.array([bool(t) for t in texts], bool)
+        digests, keys, units = [None] * len(texts), [[] for _ in texts], []
+
+        def done() -> None:
+            for (i, _), at in zip(units, self.known([of for _, of in units]), strict=True):
+                mine = self.numbers[at]
+                same[i] &= mine[:, 0].all()
+                numbers[i] += mine[:, 1:].sum(axis=0)
+                keys[i].append(self.pairs(at))
+                said = ";".join([self.said[k] for k in at.tolist()]).encode()
+                if digests[i] is None:
+                    digests[i] = hashlib.sha256(said)
+                else:
+                    digests[i].update(b";" + said)
+            units.clear()
+
+        n = 0
+        for i, text in enumerate(texts):
+            pieces = pieces_of(text, self.splits) if text else []
+            for at in range(0, len(pieces), UNIT):
+                units.append((i, pieces[at : at + UNIT]))
+                n += len(units[-1][1])
+                if n >= UNIT:
+                    done()
+                    n = 0
+        if units:
+            done()
+        numbers[~same] = 0
+        none = np.zeros(0, np.int64)
+        return numbers, [d.hexdigest() if ok else "" for d, ok in zip(digests, same, strict=True)], [np.concatenate(k) if ok else none for k, ok in zip(keys, same, strict=True)]
 
 
 _loaded: dict = {}
@@ -267,8 +305,7 @@ def _documents(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align, held = _aligner(a, b), []
         for rows, texts in _some(batches):
-            numbers, said, keys = align(texts)
-            digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said]
+            numbers, digests, keys = align(texts)
             pairs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in keys])), pa.int32()), pa.array(np.concatenate(keys)))
             columns = [rows.column("row"), rows.column("doc_id"), *[pa.array(numbers[:, k]) for k in range(4)], pa.array(digests), pairs, pa.nulls(len(texts), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)

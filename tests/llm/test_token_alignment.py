@@ -99,14 +99,15 @@ def test_very_long_and_empty(spark, tokens):
 
 
 def test_forgetful_worker(spark, tokens, monkeypatch):
-    aligner = token_alignment.Aligner(A, B)
-    monkeypatch.setattr(token_alignment, "REMEMBERED", 3)
-    texts = ["one two three four five", "one two", "six seven one", "x" * 300 + " one"]
-    again = token_alignment.Aligner(A, B)
-    for t in texts:
-        x, y = aligner([t]), again([t])
+    aligner, again = token_alignment.Aligner(A, B), token_alignment.Aligner(A, B)
+    texts = ["one two three four five", "one two", "six seven one", "x" * 300 + " one", "one two six one two six " * 3, "bad ▁ one", "six one"]
+    expected = [aligner([t]) for t in texts]
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 4)
+    monkeypatch.setattr(token_alignment, "UNIT", 2)
+    for t, x in zip(texts, expected, strict=True):
+        y = again([t])
         assert (x[0] == y[0]).all() and x[1] == y[1] and (x[2][0] == y[2][0]).all()
-    assert len(aligner.place) <= 5
+    assert len(again.place) <= 6
 
 
 @pytest.mark.parametrize("block", [token_alignment.BLOCK, 3])
