@@ -43,7 +43,9 @@ BUCKET, AT_ONCE, HALL = 3_000_000, 2_000_000, 256
 SWEEPS, FIRST = 4, 1
 STRENGTH = 1.0
 #: Repeats within AT_ONCE tokens that make a context a candidate for being dealt out by pair.
-REPEATS = 20
+REPEATS = 64
+#: Texts that a task sorts at once: a text's place and a 48-bit key are one number.
+TEXTS_AT_ONCE = 1 << 16
 
 BEGIN, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -54,12 +56,25 @@ ONCE, PAIRS, ASKED, CUSTOMERS, ANSWERS, WORDS, DEALT, VALUES, FOUND, TEXTS, TWIC
 _SCHEMA = "kind int, bucket int, src int, total long, data binary"
 
 
-def _pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+def _pack(**values) -> bytes:
+    """Arrays in few bytes: of ascending numbers the steps, and of numbers the bytes by place."""
+    out = {}
+    for name, x in values.items():
+        if isinstance(x, np.ndarray) and x.dtype.kind in "iu" and x.dtype.itemsize > 1:
+            steps = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+            y = np.diff(x, prepend=x.dtype.type(0)) if steps else x
+            x = (x.dtype.str, steps, np.ascontiguousarray(y.view(np.uint8).reshape(len(x), x.dtype.itemsize).T))
+        out[name] = x
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
 
 
 def _unpack(data: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    out = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    for name, x in out.items():
+        if isinstance(x, tuple):
+            y = np.ascontiguousarray(x[2].T).reshape(-1).view(x[0])
+            out[name] = np.cumsum(y, dtype=y.dtype) if x[1] else y
+    return out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -76,6 +91,16 @@ def _pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * _ODD[0] + mix(w * _ODD[1]))
 
 
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What a pair is looked up by: 47 bits. Among the pairs of a bucket an unseen one is taken for
+    another with a chance of 1e-8, an unknown word (below) with one of less than 1e-9."""
+    return _pair_hash(u, w) >> np.uint64(17)
+
+
+def _word_key(w: np.ndarray) -> np.ndarray:
+    return (mix(w ^ _ODD[2]) >> np.uint64(17)) | np.uint64(1 << 47)
+
+
 def _among(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of x in a sorted array, and whether it is there."""
     if not len(sorted_):
@@ -103,16 +128,23 @@ def _parts(by: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(by[a]), slice(int(a), int(b))
 
 
-def _summed(keys: list[np.ndarray], *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of keys, sorted by the first, then the next, and the sums of their values."""
-    if not len(keys[0]):
-        return keys, list(values)
-    by = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    keys = [k[by] for k in keys]
-    new = np.ones(len(by), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    starts = np.flatnonzero(new)
-    return [k[starts] for k in keys], [np.add.reduceat(v[by], starts) for v in values]
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in ascending order, and the sums of their values."""
+    by = np.argsort(key)
+    key = key[by]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else by
+    return key[starts], *(np.add.reduceat(v[by], starts) if len(key) else v for v in values)
+
+
+def _pairs(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs by context, and their sums."""
+    key = _pair_hash(u, w)
+    by = np.argsort(key)
+    key, u, w = key[by], u[by], w[by]
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+    u, w, n = u[starts], w[starts], np.add.reduceat(n[by], starts)
+    by = np.argsort(u, kind="stable")
+    return u[by], w[by], n[by]
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,13 +167,13 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
     """Rows with their tokens, some AT_ONCE at a time."""
     rows, parts, n = [], [], 0
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
+        for at in range(0, whole.num_rows, 256):  # a long text is in a slice of its own size
             batch = whole.slice(at, 256)
             u, w, of = _tokens(batch.column("text"))
             parts.append((u, w, of + sum(b.num_rows for b in rows)))
             rows.append(batch)
             n += len(w)
-            if n >= AT_ONCE:
+            if n >= AT_ONCE or sum(b.num_rows for b in rows) > TEXTS_AT_ONCE - 256:
                 yield pa.Table.from_batches(rows), *(np.concatenate(x) for x in zip(*parts, strict=True))
                 rows, parts, n = [], [], 0
     if n:
@@ -150,7 +182,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, u, _, _ in _gathered(batches):
-        contexts, n = np.unique(u, return_counts=True)
+        bins = (u >> np.uint64(44)).astype(np.int64)
+        contexts, n = np.unique(u[np.bincount(bins, minlength=1 << 20)[bins] >= REPEATS], return_counts=True)
         often = n >= REPEATS
         columns = [pa.array([len(u)]), pa.array([contexts[often].view(np.int64)], pa.list_(pa.int64())), pa.array([n[often]], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["n", "contexts", "counts"])
@@ -160,8 +193,8 @@ def _counted(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealing = sent.value
         for _, u, w, _ in _gathered(batches):
-            (u, w), (n,) = _summed([u, w], np.ones(len(u), np.int64))
-            bucket = dealing.of(u, w)
+            u, w, n = _pairs(u, w, np.ones(len(u), np.int64))
+            bucket = dealing.of(u, w).astype(np.uint16 if dealing.buckets <= 1 << 16 else np.uint32)
             by = np.argsort(bucket, kind="stable")
             u, w, n = u[by], w[by], n[by]
             for b, part in _parts(bucket[by]):
@@ -193,10 +226,10 @@ def _merged(sent):
         dealing = sent.value
         for bucket, rows in _buckets(batches):
             parts = [(x["u"], x["w"], x["n"]) for _, _, x in rows]
-            (u, w), (c,) = _summed([np.concatenate([p[k] for p in parts]) for k in (0, 1)], np.concatenate([p[2] for p in parts]))
+            u, w, c = _pairs(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
             one = c == 1
             out = [(TWICE, bucket, -1, int((c == 2).sum()), b""), (ONCE, bucket, -1, int(one.sum()), _pack(u=u[one], w=w[one])), (PAIRS, bucket, -1, int((~one).sum()), _pack(u=u[~one], w=w[~one], c=c[~one], t=np.ones((~one).sum(), np.int64), mean=np.zeros((~one).sum(), np.float32)))]
-            (words,), (alone, both, n) = _summed([w], one.astype(np.int64), (~one).astype(np.int64), c)
+            words, alone, both, n = _summed(w, one.astype(np.int64), (~one).astype(np.int64), c)
             for b, part in _parts(_owner(words, dealing.buckets)):
                 out.append((ASKED, b, bucket, 0, _pack(w=words[part], alone=alone[part], contexts=(alone + both)[part], n=n[part])))
                 if both[part].any():
@@ -214,7 +247,7 @@ def _dealt(dealing: Dealing, bucket: int, u: np.ndarray, c: np.ndarray, t: np.nd
     some = _among(dealing.spread, u)[1]
     if not some.any():
         return []
-    (contexts,), (c, t, alone) = _summed([u[some]], c[some], t[some], once[some].astype(np.int64))
+    contexts, c, t, alone = _summed(u[some], c[some], t[some], once[some].astype(np.int64))
     return [(DEALT, bucket, -1, 0, _pack(u=contexts, c=c, t=t, alone=alone))]
 
 
@@ -282,7 +315,7 @@ class Totals:
 def _context_tables(totals: Totals, u: np.ndarray, t: np.ndarray, alone: np.ndarray, alone_u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Distinct contexts of a bucket with the tables (and customers) of each one's whole restaurant."""
     c = np.ones(len(u), np.int64) if c is None else c
-    (contexts,), (tables, customers) = _summed([np.concatenate([u, alone_u])], np.concatenate([t, alone]), np.concatenate([c, alone]))
+    contexts, tables, customers = _summed(np.concatenate([u, alone_u]), np.concatenate([t, alone]), np.concatenate([c, alone]))
     if len(totals.contexts):
         at, spread = _among(totals.contexts[0], contexts)
         customers[spread], tables[spread] = totals.contexts[1][at[spread]], totals.contexts[2][at[spread]]
@@ -305,7 +338,7 @@ def _seat_parent(sent):
                 else:
                     came.append((src, data))
             if own is None:
-                (w,), (alone, n) = _summed([np.concatenate([a["w"] for a in asked])], *(np.concatenate([a[c] for a in asked]) for c in ("alone", "n")))
+                w, alone, n = _summed(np.concatenate([a["w"] for a in asked]), *(np.concatenate([a[c] for a in asked]) for c in ("alone", "n")))
                 own = {"w": w, "alone": alone, "n": n, "t": np.ones(len(w), np.int64), "mean": np.zeros(len(w))}
             customers = own["alone"].copy()
             for _, data in came:
@@ -344,7 +377,7 @@ def _seat_contexts(sent):
             u, w, c, t = (pairs[k] for k in "uwct")
             words, place = np.unique(w, return_inverse=True)
             mass = np.concatenate([m for _, m in sorted(answers, key=lambda a: a[0])]).astype(np.float64)
-            (lone,), (n,) = _summed([alone["u"]], np.ones(len(alone["u"]), np.int64))
+            lone, n = _summed(alone["u"], np.ones(len(alone["u"]), np.int64))
             contexts, tables, _ = _context_tables(x, u, t, n, lone)
             others = tables[np.searchsorted(contexts, u)] - t
             rng = np.random.default_rng([x.seed, 2, x.sweep, bucket])
@@ -411,64 +444,63 @@ def _valued(sent):
             score = np.log10(words["p"] / even) + weight
             begins = np.flatnonzero(held[0] == BEGIN)
             begin = float(np.log10((x.strength + x.discount * held[1][begins[0]]) / (x.strength + held[2][begins[0]]))) if len(begins) else None
-            keys = np.concatenate([_word_key(words["w"]), _pair_hash(u, w)])
-            by = np.argsort(keys, kind="stable")
+            keys = np.concatenate([_word_key(words["w"]), _pair_key(u, w)])
+            by = np.argsort(keys)
             data = {"keys": keys[by], "n": np.concatenate([words["n"], np.zeros(len(u), np.int64)])[by], "score": np.concatenate([score, shared])[by].astype(np.float32)}
             yield _batch([(VALUES, bucket, -1, 0, _pack(**data, begin=begin))])
 
     return run
 
 
-def _word_key(w: np.ndarray) -> np.ndarray:
-    return mix(w ^ _ODD[2])
-
-
 def _looked_for(sent):
     """Texts with their lengths, and what is to be looked up for them in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealing = sent.value
         for table, u, w, of in _gathered(batches):
-            row, doc_id = table["row"].to_numpy(), table["doc_id"].to_pylist()
-            yield _batch([(TEXTS, -1, -1, 0, _pack(row=row, doc_id=doc_id, n=np.bincount(of, minlength=len(row))))])
-            keys = np.concatenate([_word_key(w), _pair_hash(u, w)])
-            bucket = np.concatenate([_owner(w, dealing.buckets), dealing.of(u, w)])
-            by = np.argsort(keys, kind="stable")  # of equal keys those of earlier texts stay first
-            keys, place, bucket = keys[by], np.concatenate([of, of])[by], bucket[by]
-            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])))
-            times = np.diff(np.append(starts, len(keys)))
-            starts = starts[by := np.argsort(bucket[starts], kind="stable")]
-            keys, place, bucket, times = keys[starts], place[starts], bucket[starts], times[by]
-            for b, part in _parts(bucket):
-                distinct = np.append(True, keys[part][1:] != keys[part][:-1])
-                each = np.diff(np.append(np.flatnonzero(distinct), len(distinct)))
-                yield _batch([(FOUND, b, -1, 0, _pack(keys=keys[part][distinct], each=each.astype(np.int32), place=place[part].astype(np.int32), times=times[part].astype(np.int32), row=row))])
+            row, ids = table["row"].to_numpy(), table["doc_id"].to_pylist()
+            yield _batch([(TEXTS, int(row[0] % dealing.buckets), -1, 0, _pack(row=row, doc_id=ids, tokens=np.bincount(of, minlength=len(row))))])
+            bucket = np.concatenate([_owner(w, dealing.buckets), dealing.of(u, w)]).astype(np.uint16 if dealing.buckets <= 1 << 16 else np.uint32)
+            by = np.argsort(bucket, kind="stable")
+            both = (np.concatenate([_word_key(w), _pair_key(u, w)]) << np.uint64(16) | np.tile(of, 2).astype(np.uint64))[by]
+            for b, part in _parts(bucket[by]):
+                each = np.sort(both[part])
+                starts = np.flatnonzero(np.append(True, each[1:] != each[:-1]))
+                times, each = np.diff(np.append(starts, len(each))), each[starts]
+                keys, place = each >> np.uint64(16), (each & np.uint64(0xFFFF)).astype(np.uint16)
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                yield _batch([(FOUND, b, -1, 0, _pack(keys=keys[starts], each=np.diff(np.append(starts, len(keys))).astype(np.int32), place=place, times=times.astype(np.int32), row=row))])
 
     return run
 
 
+_SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _sums(row: np.ndarray, doc_id: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(row), doc_id, *[pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types, strict=True)]], names=[f.split()[0] for f in _SUMS.split(", ")])
+
+
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each text gets from a bucket."""
     for _, rows in _buckets(batches):
         values = {"keys": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64), "score": np.zeros(0, np.float32)}
         for kind, _, data in rows:
             if kind == VALUES:
                 values = data
-                continue
-            at, known = _among(values["keys"], data["keys"])
-            known = np.repeat(known, data["each"])
-            at, place, times = np.repeat(at, data["each"])[known], data["place"][known], data["times"][known]
-            n, width = values["n"][at], len(data["row"])
-            gained = (times * (n > 0), times * np.where(n > 0, np.log10(2 * n + 1), 0), times * values["score"][at].astype(np.float64))
-            sums = [np.bincount(place, weights=v, minlength=width) for v in gained]
-            some = np.flatnonzero(np.bincount(place, minlength=width))
-            columns = [data["row"][some], sums[0][some].astype(np.int64), sums[1][some].astype(float), sums[2][some].astype(float)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "n_known", "base", "score"])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in map(_unpack, batch.column("data").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(data["row"]), pa.array(data["doc_id"], pa.int64()), pa.array(data["n"], pa.int64())], names=["row", "doc_id", "n_tokens"])
+            elif kind == TEXTS:
+                none = np.zeros(len(data["row"]))
+                yield _sums(data["row"], pa.array(data["doc_id"], pa.int64()), data["tokens"], none, none, none)
+            else:
+                at, known = _among(values["keys"], data["keys"])
+                known = np.repeat(known, data["each"])
+                at, place, times = np.repeat(at, data["each"])[known], data["place"][known], data["times"][known]
+                n, width = values["n"][at], len(data["row"])
+                gained = (times * (n > 0), times * np.where(n > 0, np.log10(2 * n + 1), 0), times * values["score"][at].astype(np.float64))
+                sums = [np.bincount(place, weights=v, minlength=width) for v in gained]
+                some = np.flatnonzero(np.bincount(place, minlength=width))
+                yield _sums(data["row"][some], pa.nulls(len(some), pa.int64()), np.zeros(len(some)), *(v[some] for v in sums))
 
 
 @contextmanager
@@ -507,7 +539,7 @@ def _spread(rows: DataFrame, before: tuple) -> tuple:
     parts = [_unpack(r.data) for r in rows.where(F.col("kind") == DEALT).select("data").toLocalIterator()]
     if not parts:
         return before
-    (u,), (c, t, alone) = _summed([np.concatenate([p["u"] for p in parts])], *(np.concatenate([p[k] for p in parts]) for k in ("c", "t", "alone")))
+    u, c, t, alone = _summed(np.concatenate([p["u"] for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in ("c", "t", "alone")))
     if not before:
         return u, c, t, alone
     tables = before[3].copy()
@@ -579,7 +611,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def told() -> pa.RecordBatch:
-        _, (n,) = _summed([np.concatenate([x["w"] for x in held])], np.concatenate([x["contexts"] for x in held]))
+        _, n = _summed(np.concatenate([x["w"] for x in held]), np.concatenate([x["contexts"] for x in held]))
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in (len(n), int((n == 1).sum()), int((n == 2).sum()))], names=["words", "alone", "twice"])
 
     for b, d in rows:
@@ -611,18 +643,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
             values = ws.save(_by_bucket(all_, buckets).mapInArrow(_valued(context.broadcast((averaged, model.even, model.kept))), _SCHEMA), "values")
             ws.keep_only(values)
             begin = _begin(values, averaged)
-        found = ws.save(rows.mapInArrow(_looked_for(context.broadcast(x.dealing)), _SCHEMA), "found")
-        texts = found.where(F.col("kind") == TEXTS).select("data").mapInArrow(_texts, "row long, doc_id long, n_tokens long")
-        wanted = found.where(F.col("kind") == FOUND)
+        wanted = rows.mapInArrow(_looked_for(context.broadcast(x.dealing)), _SCHEMA)
         wanted = wanted.union(values) if values is not None else wanted
-        sums = _by_bucket(wanted, buckets).mapInArrow(_looked_up, "row long, n_known long, base double, score double")
-        sums = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
-        out = texts.join(sums, "row", "left")
+        sums = _by_bucket(wanted, buckets).mapInArrow(_looked_up, _SUMS)
+        out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
         each = F.log10(F.lit(model.even)) if model.tokens else F.lit(0.0)
         out = out.select(
-            "doc_id", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (F.col("n_tokens") * level + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-            (F.col("n_tokens") * each + begin + F.coalesce("score", F.lit(0.0))).alias("score"),
+            "doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+            (F.col("n_tokens") * level + F.col("base")).alias("base_score"), (F.col("n_tokens") * each + begin + F.col("score")).alias("score"),
         )
         return ws.save(out, "scores")
 
