@@ -38,7 +38,7 @@ from .common import Workspace
 from .shingles import mix, word_hashes
 
 #: Tokens whose pairs are in one bucket, tokens that a task sorts at once, customers of one hall.
-BUCKET, AT_ONCE, HALL = 3_000_000, 2_000_000, 256
+BUCKET, AT_ONCE, HALL = 2_000_000, 1_000_000, 256
 #: Sweeps, and those of them before any is averaged.
 SWEEPS, FIRST = 4, 1
 STRENGTH = 1.0
@@ -151,7 +151,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token's context, the token, and its text's place in the column."""
     words, at = word_hashes(column)
     n = len(column)
-    of = np.repeat(np.arange(n), np.diff(at) + 1)
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(at) + 1)
     ends = at[1:] + np.arange(n)
     w = np.full(len(words) + n, END)
     inner = np.ones(len(w), bool)
