@@ -51,8 +51,8 @@ BEGIN, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Kinds of rows: pairs seen once, and more often; what a bucket asks the owners of words; customers
 #: for them; what they answer; the owners' words; contexts that are dealt out by pair; looked-up
-#: values; a text's words and pairs; texts; how many pairs were seen twice.
-ONCE, PAIRS, ASKED, CUSTOMERS, ANSWERS, WORDS, DEALT, VALUES, FOUND, TEXTS, TWICE = range(11)
+#: values; a text's words and pairs; texts; how many pairs were seen twice; what texts get from a bucket.
+ONCE, PAIRS, ASKED, CUSTOMERS, ANSWERS, WORDS, DEALT, VALUES, FOUND, TEXTS, TWICE, GAINED = range(12)
 _SCHEMA = "kind int, bucket int, src int, total long, data binary"
 
 
@@ -469,38 +469,55 @@ def _looked_for(sent):
                 times, each = np.diff(np.append(starts, len(each))), each[starts]
                 keys, place = each >> np.uint64(16), (each & np.uint64(0xFFFF)).astype(np.uint16)
                 starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                yield _batch([(FOUND, b, -1, 0, _pack(keys=keys[starts], each=np.diff(np.append(starts, len(keys))).astype(np.int32), place=place, times=times.astype(np.int32), row=row))])
+                yield _batch([(FOUND, b, -1, 0, _pack(keys=keys[starts], each=np.diff(np.append(starts, len(keys))).astype(np.int32), place=place, times=times.astype(np.int32), first=int(row[0])))])
 
     return run
 
 
-_SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
-
-
-def _sums(row: np.ndarray, doc_id: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(row), doc_id, *[pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types, strict=True)]], names=[f.split()[0] for f in _SUMS.split(", ")])
-
-
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each text gets from a bucket."""
-    for _, rows in _buckets(batches):
+    """What each text that was looked at together gets from a bucket: one row for all of them."""
+    for bucket, rows in _buckets(batches):
         values = {"keys": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64), "score": np.zeros(0, np.float32)}
         for kind, _, data in rows:
             if kind == VALUES:
                 values = data
             elif kind == TEXTS:
-                none = np.zeros(len(data["row"]))
-                yield _sums(data["row"], pa.array(data["doc_id"], pa.int64()), data["tokens"], none, none, none)
+                yield _batch([(TEXTS, bucket, -1, int(data["row"][0]), _pack(**data))])
             else:
                 at, known = _among(values["keys"], data["keys"])
                 known = np.repeat(known, data["each"])
                 at, place, times = np.repeat(at, data["each"])[known], data["place"][known], data["times"][known]
-                n, width = values["n"][at], len(data["row"])
+                n = values["n"][at]
                 gained = (times * (n > 0), times * np.where(n > 0, np.log10(2 * n + 1), 0), times * values["score"][at].astype(np.float64))
-                sums = [np.bincount(place, weights=v, minlength=width) for v in gained]
-                some = np.flatnonzero(np.bincount(place, minlength=width))
-                yield _sums(data["row"][some], pa.nulls(len(some), pa.int64()), np.zeros(len(some)), *(v[some] for v in sums))
+                sums = [np.bincount(place, weights=v) for v in gained]
+                some = np.flatnonzero(np.bincount(place))
+                if len(some):
+                    yield _batch([(GAINED, bucket, -1, int(data["first"]), _pack(place=some.astype(np.uint16), known=sums[0][some].astype(np.int64), base=sums[1][some], score=sums[2][some]))])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that were looked at together, with all that they got."""
+    names, now, texts, sums = ["doc_id", "n_tokens", "n_known", "base", "score"], None, None, {}
+
+    def told() -> pa.RecordBatch:
+        n = len(texts["tokens"])
+        columns = [sums[c][:n].astype(t) for c, t in (("known", np.int64), ("base", np.float64), ("score", np.float64))]
+        return pa.RecordBatch.from_arrays([pa.array(texts["doc_id"], pa.int64()), pa.array(texts["tokens"].astype(np.int64)), *map(pa.array, columns)], names=names)
+
+    for batch in batches:
+        for first, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("total", "kind", "data")), strict=True):
+            if first != now:
+                if texts is not None:
+                    yield told()
+                now, texts, sums = first, None, {c: np.zeros(TEXTS_AT_ONCE) for c in ("known", "base", "score")}
+            data = _unpack(packed)
+            if kind == TEXTS:
+                texts = data
+            else:
+                for c, total in sums.items():
+                    total[data["place"]] += data[c]
+    if texts is not None:
+        yield told()
 
 
 @contextmanager
@@ -645,8 +662,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
             begin = _begin(values, averaged)
         wanted = rows.mapInArrow(_looked_for(context.broadcast(x.dealing)), _SCHEMA)
         wanted = wanted.union(values) if values is not None else wanted
-        sums = _by_bucket(wanted, buckets).mapInArrow(_looked_up, _SUMS)
-        out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+        gained = _by_bucket(wanted, buckets).mapInArrow(_looked_up, _SCHEMA)
+        together = gained.repartition("total").sortWithinPartitions("total", "bucket")
+        out = together.mapInArrow(_added, "doc_id long, n_tokens long, n_known long, base double, score double")
         each = F.log10(F.lit(model.even)) if model.tokens else F.lit(0.0)
         out = out.select(
             "doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
