@@ -15,6 +15,7 @@ from .functions import patterns as P
 from .functions import questions as Q
 from .functions import text as T
 from .operators import catalog, dense, enrich, fusion, sparse, state
+from .operators.text_index import TextIndex
 from .plans import ingest, search
 from .registry import EVERY, ORACLE_SQL, QUERIES, query, table
 from .session import Settings, own_folder
@@ -80,6 +81,10 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    return TextIndex.of(spark, _documents(spark, d), f"{d}/documents.parquet")
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     rows = _documents(spark, d).where(F.col("doc_id") % EVERY == 0)
     return rows.select(F.col("doc_id").alias("query_id"), sparse.query_tokens(F.col("text")).alias("terms")).where("size(terms) > 0")
@@ -116,7 +121,7 @@ WITH RECURSIVE asked AS (
 
 @query(_fts_sql("SELECT query_id, doc_id, hits FROM hit"))
 def fts_prefix_match(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.matches(_documents(spark, d), _asked(spark, d))
+    return _index(spark, d).matches(_asked(spark, d))
 
 
 _RANKED = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) r WHERE rank <= 30"
@@ -125,17 +130,26 @@ _RANKED = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (P
 @query(_fts_sql(_RANKED, terms="w[1:1]"))
 def fts_single_term_rank(spark: SparkSession, d: str) -> DataFrame:
     first = _asked(spark, d).withColumn("terms", F.slice("terms", 1, 1))
-    return sparse.search_one_term(_documents(spark, d), first, S.candidates)
+    return _index(spark, d).search_one_term(first, S.candidates)
 
 
 @query(_fts_sql(_RANKED, "lang = 'en'"))
 def fts_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.search(_documents(spark, d).where(F.col("lang") == "en"), _asked(spark, d), S.candidates)
+    return _index(spark, d).search(_asked(spark, d), S.candidates, among=_documents(spark, d).where(F.col("lang") == "en"))
 
 
 @query(_fts_sql(_RANKED))
 def fts_cover_rank(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.search(_documents(spark, d), _asked(spark, d), S.candidates)
+    return _index(spark, d).search(_asked(spark, d), S.candidates)
+
+
+# A short question: the first two words of a document, answered from postings.
+
+
+@query(_fts_sql(_RANKED, terms="list_filter(w, lambda x, i: list_position(w, x) = i)[1:2]"))
+def fts_short_questions(spark: SparkSession, d: str) -> DataFrame:
+    first = _asked(spark, d).withColumn("terms", F.slice("terms", 1, 2))
+    return _index(spark, d).search(first, S.candidates)
 
 
 # Fusion and re-ranking.
@@ -152,7 +166,7 @@ SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION B
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _vectors(spark, d)
     near = dense.nearest(spark, corpus, queries, S.candidates).withColumnRenamed("id", "key").checkpoint()
-    worded = sparse.search(_documents(spark, d), _asked(spark, d), S.candidates).withColumnRenamed("id", "key").checkpoint()
+    worded = _index(spark, d).search(_asked(spark, d), S.candidates).withColumnRenamed("id", "key").checkpoint()
     both = near.select("query_id").distinct().join(worded.select("query_id").distinct(), "query_id")
     near, worded = (x.join(both, "query_id", "left_semi") for x in (near, worded))
     return fusion.reciprocal_rank_fusion(near, worded, k=S.rrf_k, limit=S.candidates)
@@ -168,7 +182,7 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30"""))
 def hybrid_rrf_single_sided(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    worded = sparse.scored(docs, _asked(spark, d)).join(docs.select(F.col("doc_id").alias("id"), fusion.text_key(F.col("text")).alias("prefix")), "id")
+    worded = _index(spark, d).scored(_asked(spark, d)).join(docs.select(F.col("doc_id").alias("id"), fusion.text_key(F.col("text")).alias("prefix")), "id")
     kept = fusion.greedy_dedup(worded, ["id", "prefix"], order=[-F.col("score"), F.col("id")], limit=S.candidates)
     return kept.select("query_id", "id", "score", "kept_rank")
 
