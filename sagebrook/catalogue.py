@@ -344,6 +344,30 @@ def chapter_run(spark: SparkSession, d: str) -> DataFrame:
     return enrich.runs(seeds, rows, F.col("text") == "system").select("asset_id", "start", "chunk_order", "offset")
 
 
+# Every second turn begins a chapter, the first and the second in turns; a file's seeds are of both.
+
+_CHAPTERS = ("الأول", "الثاني")
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn FROM conversations WHERE turn IS NOT NULL GROUP BY ALL),
+s AS (SELECT conv_id, turn AS start, unnest(['{_CHAPTERS[0]}', '{_CHAPTERS[1]}']) AS chapter FROM c WHERE turn % 3 = 0),
+r AS (SELECT s.conv_id, start, chapter, turn, turn - start AS off, row_number() OVER w AS n,
+    max((turn > start AND (turn % 4 = 1 AND chapter <> '{_CHAPTERS[0]}' OR turn % 4 = 3 AND chapter <> '{_CHAPTERS[1]}'))::INT) OVER w AS stopped
+  FROM s JOIN c ON c.conv_id = s.conv_id AND turn BETWEEN start AND start + 11
+  WINDOW w AS (PARTITION BY s.conv_id, start, chapter ORDER BY turn))
+SELECT conv_id AS asset_id, chapter, start::INT AS start, turn::INT AS chunk_order, round(greatest(1.0::DOUBLE / (start + 1), 0.95::DOUBLE - 0.01::DOUBLE * off), 6) AS score
+FROM r WHERE off = n - 1 AND stopped = 0""")
+def chapter_runs(spark: SparkSession, d: str) -> DataFrame:
+    order = F.col("turn").cast("int")
+    header = F.when(order % 4 == 1, f"الفصل {_CHAPTERS[0]}\n").when(order % 4 == 3, f"الفصل {_CHAPTERS[1]}\n").otherwise("")
+    rows = _turns(spark, d).where("turn is not null").groupBy(F.col("conv_id").alias("asset_id"), order.alias("chunk_order"), header.alias("header")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.select("asset_id", "chunk_order", F.concat("header", "text").alias("text"))
+    labels = F.array(*[F.lit(c) for c in _CHAPTERS])
+    seeds = rows.where("chunk_order % 3 = 0").select(F.lit(1).alias("query_id"), "asset_id", "chunk_order", F.explode(labels).alias("chapter"), (1 / (F.col("chunk_order") + 1)).alias("score"))
+    return enrich.chapter_runs(seeds, rows).select("asset_id", "chapter", "start", "chunk_order", F.round("score", 6).alias("score"))
+
+
 # Chunking and cleaning.
 
 

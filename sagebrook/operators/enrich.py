@@ -37,25 +37,28 @@ def page_siblings(found: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("query_id", "asset_id", "page", "chunk_order", F.greatest("score", F.lit(0.96)).alias("score"))
 
 
-def runs(seeds: DataFrame, chunks: DataFrame, stops: Column, length: int = RUN) -> DataFrame:
-    """(query_id, asset_id, start, chunk_order, offset): up to ``length`` consecutive chunks from
-    each seed (query_id, asset_id, chunk_order) on, until an order is missing or one ``stops``.
+def runs(seeds: DataFrame, chunks: DataFrame, stops: Column, length: int = RUN, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, asset_id, *by, start, chunk_order, offset): up to ``length`` consecutive chunks from
+    each seed (query_id, asset_id, chunk_order, *by) on, until an order is missing or one ``stops``,
+    which may read the chunk and the seed's ``by``. Each distinct seed has one run.
     An equality join: each seed's orders are listed, not searched for."""
-    wanted = seeds.select("query_id", "asset_id", F.col("chunk_order").alias("start"), F.posexplode(F.sequence(F.col("chunk_order"), F.col("chunk_order") + length - 1)).alias("offset", "chunk_order"))
-    rows = wanted.join(chunks, ["asset_id", "chunk_order"], "left")
-    order = Window.partitionBy("query_id", "asset_id", "start").orderBy("chunk_order")
-    missing = F.col("text").isNull()
-    over = missing | ((F.col("offset") > 0) & F.coalesce(stops, F.lit(False)))
+    keys = ["query_id", "asset_id", *by]
+    seeds = seeds.select(*keys, F.col("chunk_order").alias("start")).distinct()
+    wanted = seeds.select(*keys, "start", F.posexplode(F.sequence(F.col("start"), F.col("start") + length - 1)).alias("offset", "chunk_order"))
+    rows = wanted.join(chunks.drop(*by), ["asset_id", "chunk_order"], "left")
+    order = Window.partitionBy(*keys, "start").orderBy("chunk_order")
+    over = F.col("text").isNull() | ((F.col("offset") > 0) & F.coalesce(stops, F.lit(False)))
     rows = rows.withColumn("_over", F.max(over).over(order))
-    return rows.where("not _over").select("query_id", "asset_id", "start", "chunk_order", "offset")
+    return rows.where("not _over").select(*keys, "start", "chunk_order", "offset")
 
 
 def chapter_runs(seeds: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Runs from each seed, which has a chapter, until another chapter begins, scored from 0.95
-    downwards, but not below the seed's own score."""
-    labelled = chunks.join(seeds.select("asset_id", "chapter").distinct(), "asset_id")
-    keyed = runs(seeds, labelled.withColumn("_stop", starts_other_chapter(F.col("text"), F.col("chapter"))), F.col("_stop"))
-    scored = keyed.join(seeds.select("query_id", "asset_id", F.col("chunk_order").alias("start"), "score"), ["query_id", "asset_id", "start"])
+    """(query_id, asset_id, chapter, start, chunk_order, offset, score): runs from each seed (query_id,
+    asset_id, chunk_order, chapter, score) until another chapter than the seed's own begins, scored
+    from 0.95 downwards, but not below the seed's own score. A file's seeds may have several chapters."""
+    keyed = runs(seeds, chunks, starts_other_chapter(F.col("text"), F.col("chapter")), by=("chapter",))
+    best = seeds.groupBy("query_id", "asset_id", "chapter", F.col("chunk_order").alias("start")).agg(F.max("score").alias("score"))
+    scored = keyed.join(best, ["query_id", "asset_id", "chapter", "start"])
     return scored.withColumn("score", F.greatest("score", 0.95 - 0.01 * F.col("offset")))
 
 

@@ -197,3 +197,17 @@ def test_budget_keeps_first(spark):
 
 def test_filled(spark):
     assert spark.range(1).select(search.filled(F.lit("a $x b $x"), x=F.lit("1"))).first()[0] == "a 1 b 1"
+
+
+def test_runs_of_several_chapters_in_a_file(spark):
+    texts = {1: "opening", 2: "الفصل الأول\nbegins", 3: "goes on", 4: "الفصل الثاني\nbegins", 5: "goes on"}
+    chunks = spark.createDataFrame([(7, n, t, 1) for n, t in texts.items()] + [(8, 1, "other file", 1)], "asset_id long, chunk_order int, text string, page int")
+    seeds = [(1, 7, 1, "الأول", 0.5), (1, 7, 4, "الثاني", 0.97), (1, 7, 4, "الثاني", 0.5), (2, 7, 1, "الثاني", 0.5)]
+    found = enrich.chapter_runs(spark.createDataFrame(seeds, "query_id long, asset_id long, chunk_order int, chapter string, score double"), chunks)
+    rows = sorted((r.query_id, r.chapter, r.chunk_order, round(r.score, 2)) for r in found.collect())
+    assert rows == [(1, "الأول", 1, 0.95), (1, "الأول", 2, 0.94), (1, "الأول", 3, 0.93), (1, "الثاني", 4, 0.97), (1, "الثاني", 5, 0.97), (2, "الثاني", 1, 0.95)]
+    context = enrich.structural_context(
+        spark.createDataFrame([(1, "قارن الفصل الأول و الفصل الثاني", 7, n, None, texts[n], 0.5, r) for r, n in enumerate((2, 4), 1)], "query_id long, query string, asset_id long, chunk_order int, page int, text string, score double, rank int"),
+        chunks.withColumn("page", F.lit(None).cast("int")),
+    )
+    assert sorted((r.chunk_order, round(r.score, 2)) for r in context.collect()) == [(3, 0.94), (5, 0.94)]
