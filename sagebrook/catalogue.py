@@ -15,6 +15,7 @@ from .functions import patterns as P
 from .functions import questions as Q
 from .functions import text as T
 from .operators import catalog, dense, enrich, fusion, sparse, state
+from .operators.graph_index import indexed_nearest
 from .operators.text_index import TextIndex
 from .plans import ingest, search
 from .registry import EVERY, ORACLE_SQL, QUERIES, query, table
@@ -71,6 +72,12 @@ def knn_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.InvertedFile(corpus).nearest(spark, corpus, queries, S.candidates, probes=24)
 
 
+@query()
+def knn_graph_topk(spark: SparkSession, d: str) -> DataFrame:
+    corpus, queries = _vectors(spark, d)
+    return indexed_nearest(spark, corpus, queries, S.candidates, own_folder(spark, "graph"), threshold=S.index_threshold, beam=40)
+
+
 # Full text. The words of a document whose id is divisible by 50 are looked for in all documents: all
 # of its words, but for fts_single_term_rank, which is about the first one.
 
