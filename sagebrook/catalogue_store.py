@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog, state
+from .operators.metadata_index import MetadataIndex
 from .registry import query, table
 from .session import own_folder
 from .sources import files
@@ -124,6 +125,17 @@ def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(held).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'en' AND doc_id % 7 = 3")
+def metadata_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Stored rows by two levels of objects and an object within an array, read from the parts that
+    can hold them."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("of"), (F.col("doc_id") % n).alias("rest")) for n in (5, 7)])
+    own = F.to_json(F.struct(F.struct("source", F.struct("lang").alias("said")).alias("file"), kinds.alias("kinds")))
+    rows = table(spark, d, "documents").select("doc_id", own.alias("metadata"))
+    stored = MetadataIndex.build(spark, rows, own_folder(spark, "metadata"), part=max(50, rows.count() // 64))
+    return stored.select({"file": {"source": "src1", "said": {"lang": "en"}}, "kinds": [{"of": 7, "rest": 3}]}).select("doc_id")
+
+
 @query("SELECT DISTINCT s_name AS name, s_suppkey AS id FROM supplier ORDER BY name, id LIMIT 20")
 def projects_by_name(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")).distinct()

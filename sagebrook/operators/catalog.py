@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .metadata_index import variant_contains
+
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -112,28 +111,7 @@ def contains(text: Column, wanted: dict[str, object]) -> Column:
     empty filter leaves out nothing."""
     if not wanted:
         return F.lit(True)
-    root = F.try_parse_json(text)
-
-    def written(value: Column) -> Column:
-        return F.to_json(value)
-
-    def same(found: Column, value: object) -> Column:
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return ~found.startswith('"') & (found.try_cast("double") == float(value))
-        return found == json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-    def held(found: Column, value: object) -> Column:
-        return F.coalesce(F.exists(found, lambda x: F.coalesce(same(x, value), F.lit(False))), F.lit(False))
-
-    def of(path: str, value: object) -> Column:
-        if isinstance(value, dict):
-            return reduce(and_, [of(f'{path}["{k}"]', v) for k, v in value.items()], F.coalesce(written(F.try_variant_get(root, path, "variant")).startswith("{"), F.lit(False)))
-        if isinstance(value, (list, tuple)):
-            found = F.transform(F.try_variant_get(root, path, "array<variant>"), written)
-            return reduce(and_, [held(found, v) for v in value], found.isNotNull())
-        return F.coalesce(same(written(F.try_variant_get(root, path, "variant")), value), F.lit(False))
-
-    return of("$", wanted)
+    return variant_contains(F.try_parse_json(text), wanted)
 
 
 def lookup(table: DataFrame, key: str, value: object) -> DataFrame:

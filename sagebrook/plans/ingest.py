@@ -55,9 +55,15 @@ def pending(chunks: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def index(chunks: DataFrame, store: Collections, embedder: Embedder, project_id: int) -> None:
-    """Embed and store the chunks of a project that aren't stored yet."""
-    new = embedded(pending(chunks, store.indexed_ids(embedder.size, project_id)), embedder)
-    rows = new.select(F.col("chunk_id").alias("id"), F.col("chunk_text").alias("text"), "vector", F.lit(None).cast("string").alias("metadata"), "chunk_id")
+    """Embed and store the chunks (chunk_id, chunk_text, and, where they have some, metadata as JSON)
+    of a project that aren't stored yet."""
+    left = pending(chunks, store.indexed_ids(embedder.size, project_id))
+    new = embedded(left, embedder)
+    if "metadata" in chunks.columns:
+        new = new.join(left.select("chunk_id", "metadata"), "chunk_id")
+    else:
+        new = new.withColumn("metadata", F.lit(None).cast("string"))
+    rows = new.select(F.col("chunk_id").alias("id"), F.col("chunk_text").alias("text"), "vector", "metadata", "chunk_id")
     store.insert(rows, embedder.size, project_id)
 
 

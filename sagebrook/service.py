@@ -129,7 +129,8 @@ class Service:
 
     def push(self, user_id: str, project_id: int) -> int:
         """Embed and store the chunks that aren't stored yet; how many vectors there are then."""
-        rows = self.chunks(user_id, project_id).select("chunk_id", F.col("text").alias("chunk_text"))
+        own = F.to_json(F.struct("file_name", "page", "chunk_order", "asset_id"))
+        rows = self.chunks(user_id, project_id).select("chunk_id", F.col("text").alias("chunk_text"), own.alias("metadata"))
         ingest.index(rows, self.vectors, self.embedder, project_id)
         found = self.vectors.info(self.embedder.size, project_id)
         return found["records"] if found else 0
@@ -204,15 +205,17 @@ class Service:
     def enriched(self, top: DataFrame, chunks: DataFrame) -> DataFrame:
         """(query_id, query, text, file_name, page, rank) of re-ranked rows and what goes with them:
         for structural questions runs of articles and chapters and other chunks of the pages, and for
-        all the chunks that a found header announces. What is added comes last, best first."""
+        all the chunks that a found header announces. All of them by score; among equal ones those
+        that were found come first, in their order."""
         keys = ["query_id", "asset_id", "chunk_order"]
         more = enrich.structural_context(top, chunks).select(*keys, "score")
         more = more.unionByName(enrich.continuations(top, chunks, needs_continuation(F.col("text"))).select(*keys, "score"))
         more = more.groupBy(*keys).agg(F.max("score").alias("score")).join(chunks.select("asset_id", "chunk_order", "text", "file_name", "page"), ["asset_id", "chunk_order"])
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "asset_id", "chunk_order"))
-        more = more.join(top.select("query_id", "query").distinct(), "query_id").withColumn("rank", F.lit(1 << 20) + place)
-        columns = ["query_id", "query", "text", "file_name", "page", "rank"]
-        return top.select(columns).unionByName(more.select(columns))
+        more = more.join(top.select("query_id", "query").distinct(), "query_id").withColumn("found", F.lit(1 << 20))
+        columns = ["query_id", "query", "text", "file_name", "page", "asset_id", "chunk_order", "score"]
+        rows = top.select(*columns, F.col("rank").alias("found")).unionByName(more.select(*columns, "found"))
+        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "found", "asset_id", "chunk_order")
+        return rows.withColumn("rank", F.row_number().over(place)).select("query_id", "query", "text", "file_name", "page", "rank")
 
     def answer(self, user_id: str, project_id: int, questions: list[str], session_id: str, metadata: dict[str, object] | None = None, *, mode: str = "auto") -> DataFrame:
         """(query_id, answer, asks): the questions with what is found for them, re-ranked, enriched and
