@@ -42,6 +42,12 @@ OTHER_NAMES = re.compile(
 )
 #: Such names say how a page is laid out or what state it is in.
 LAYOUT_NAMES = re.compile(r"(?:^|[_-])(?:has|no|not|non|with|without|hide|hides|show|shows|layout|template|open|opened|closed|enabled|disabled|active|inactive|allowed|free|less)(?=$|[_-])")
+#: An id is often made from a heading, so it marks another part only if all its words are such names
+#: or say where a part stands; within an article only what holds comments is known by its id.
+PLACES = frozenset("site main top bottom left right upper lower page global primary secondary inner outer box bar block list container wrapper wrap area links section div region module".split())
+COMMENTS = re.compile(r"comments?|comments?[_-](?:list|area|section|wrapper|container)|commentlist|respond|replies|disqus_thread")
+#: Elements whose text is a page's own, whatever they are called.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold a page's text, whatever their classes say.
 WHOLE = frozenset("html body main article".split())
 _OPENING = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -98,6 +104,10 @@ TABLE: list[list[tuple[int, int, int, int, int]]] = [
 ]
 
 
+#: What a block stands within.
+OUTSIDE, MAIN, ARTICLE = range(3)
+
+
 class Block:
     __slots__ = ("words", "linked", "other", "inside", "text")
 
@@ -160,8 +170,8 @@ def classify(x: np.ndarray, node=None) -> np.ndarray:
 
 
 class Mark:
-    """An element that may be another part of the page: always, if it is no form and has no class or
-    id that could say something else of what it holds. start and end: of its blocks."""
+    """An element that may be another part of the page: always, if it is no form and isn't known by a
+    class or id alone. start and end: of its blocks."""
 
     __slots__ = ("kind", "parent", "start", "end", "articles", "inside", "held")
 
@@ -182,7 +192,15 @@ def _names_other(names: str) -> bool:
     return any(OTHER_NAMES.search(x) and not LAYOUT_NAMES.search(x) for x in names.split())
 
 
-def _marks_other(name: str, attributes: str, inside: bool) -> str:
+def _id_other(value: str, inside: int) -> bool:
+    """Whether an id says that its element is another part."""
+    if inside == ARTICLE:
+        return COMMENTS.fullmatch(value) is not None
+    words = [w for w in re.split("[_-]", value) if w and not w.isdigit() and w not in PLACES]
+    return bool(words) and all(OTHER_NAMES.fullmatch(w) for w in words)
+
+
+def _marks_other(name: str, attributes: str, inside: int) -> str:
     """How an element is marked as another part: as a part, a form, by a name, or not at all."""
     if name != "form" and name in OTHER or name == "header" and not inside:
         return "part"
@@ -193,7 +211,10 @@ def _marks_other(name: str, attributes: str, inside: bool) -> str:
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in OTHER_ROLES and not (name == "form" and value == "form"):
             return "part"
-        if key in ("class", "id") and name not in WHOLE and _names_other(html.unescape(value)):
+        if name in WHOLE or name in HEADINGS:
+            continue
+        value = html.unescape(value)
+        if key == "class" and _names_other(value) or key == "id" and _id_other(value.strip(), inside):
             kind = kind or "name"
     return kind
 
@@ -240,13 +261,13 @@ def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page. Broken markup is fine: a closing tag closes what stands open
     within its element, and none closes what isn't open."""
     out: list[Block] = []
-    stack: list[tuple[str, Mark | None, bool]] = []  # of open blocks: name, mark, inside
+    stack: list[tuple[str, Mark | None, int]] = []  # of open blocks: name, mark, inside
     opened: Counter[str] = Counter()
     marks: list[Mark] = []
     of: list[Mark | None] = []  # of the blocks
     parts: list[str] = []
     linked = links = articles = 0
-    other, inside = None, False
+    other, inside = None, OUTSIDE
 
     def flush() -> None:
         nonlocal linked
@@ -254,7 +275,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, linked, False, inside))
+                out.append(Block(text, linked, False, inside > OUTSIDE))
                 of.append(other)
         linked = 0
 
@@ -278,7 +299,7 @@ def blocks_of(page: str) -> list[Block]:
                     opened[gone] -= 1
                     if gone == kind:
                         break
-                before, (other, inside) = other, (stack[-1][1], stack[-1][2]) if stack else (None, False)
+                before, (other, inside) = other, (stack[-1][1], stack[-1][2]) if stack else (None, OUTSIDE)
                 while before is not other and before is not None:
                     before.close(len(out), articles)
                     before = before.parent
@@ -287,7 +308,7 @@ def blocks_of(page: str) -> list[Block]:
             if opened["head"] and (kind == "body" or kind in ("article", "main") and stack[-1][0] == "head"):
                 stack = [x for x in stack if x[0] != "head"]
                 opened["head"] = 0
-            within, inside = inside, inside or kind in ("article", "main")
+            within, inside = inside > OUTSIDE, max(inside, ARTICLE if kind == "article" else MAIN if kind == "main" else OUTSIDE)
             if marked := _marks_other(kind, attributes, inside):
                 other = Mark(marked, other, len(out), articles, within)
                 marks.append(other)

@@ -568,3 +568,29 @@ def test_decontamination_matches_brute_force(spark):
     rows = decontaminate.contained_items(spark, docs, bench).collect()
     assert len(want) > 20 and sorted((r.doc_id, r.item_id, r.n_item, r.n_common) for r in rows) == want
     assert decontaminate.contained_items(spark, docs.limit(0), bench).collect() == decontaminate.contained_items(spark, docs, bench.limit(0)).collect() == []
+
+
+SLUGS = "search-algorithms comments-on-the-method social-history legal-basis menu-items related-work alert-levels footer share login banner notice promotion sidebar header ads nav newsletter".split()
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+def test_main_text_whatever_its_parts_are_called(slug):
+    """Ids made from headings drop nothing of an article; off it they do if they say nothing else."""
+    words = " ".join(["word"] * 30)
+    for page, want in (
+        (f"<article><h1>Title</h1><h2 id='{slug}'>Heading</h2><p>{words}</p></article>", f"Title\n\nHeading\n\n{words}"),
+        (f"<article><h1>Title</h1><section id='{slug}'><h2>Heading</h2><p>{words}</p><p>{words}</p></section></article>", f"Title\n\nHeading\n\n{words}\n\n{words}"),
+        (f"<main><article><div id={slug}><p>{words}</p></div></article></main>", words),
+        (f"<article><h2 class='{slug}'>Heading</h2><p>{words}</p></article>", f"Heading\n\n{words}"),
+    ):
+        assert html_text.main_text(page) == want
+    if "-" in slug:
+        loose = f"<nav><a href=x>Home</a></nav><div><h1>Some title of it</h1><section id='{slug}'><h2 id='{slug}'>Heading of it</h2><p>{words}</p><p>{words}</p></section></div>"
+        assert html_text.main_text(loose).endswith(f"{words}\n\n{words}")
+
+
+@pytest.mark.parametrize("part", ["<div id=comments><p>{}</p></div>", "<section id='comment-list'><ol><li>{}</li></ol></section>", "<div class='ad'>{}</div>", "<div class=share-bar>{}</div>", "<form id=any><p>{}</p></form>", "<aside><p>{}</p></aside>", "<div class='cookie-notice'><p>{}</p></div>", "<div id=disqus_thread>{}</div>"])
+def test_other_parts_of_an_article_still_go(part):
+    words = " ".join(["word"] * 30)
+    page = f"<article><h1>Title</h1><p>{words}</p>{part.format('Something else entirely')}<p>{words}</p></article>"
+    assert html_text.main_text(page) == f"Title\n\n{words}\n\n{words}"
