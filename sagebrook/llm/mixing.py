@@ -6,10 +6,11 @@ exchange mass at random, in words, until one of the two is certain to be in or o
 probability keeps its expectation and a source keeps its expected words exactly. In a source the
 documents are dealt by a hash into groups of some 32; a fold over each group leaves one fractional
 document at most, and these residuals are dealt into groups again, in a reduction tree, until one
-is left for each source, which is drawn. Documents above their source's median size come first; by
-what they miss, the probabilities of the smaller ones are shifted (in expectation by nothing; what
-one of them can't take between 0 and 1, the others do), so that a source commonly misses its target
-by less than the words of one of its smaller documents.
+is left for each source, which is drawn. A source's documents are rounded by size, the largest tenth
+first, the smallest 4 % last; by what the larger ones miss, the smaller ones are wanted more or less
+often (on average as often, unless a source would miss more than a few words; what one of them can't
+take, the others do), so that a source commonly misses its target by less than the words of one of its
+smallest documents.
 All randomness is a hash of the documents' ids, so reruns agree. All of it is DataFrame functions.
 """
 
@@ -24,7 +25,11 @@ GROUP = 32
 MOST_COPIES = 3.0
 WEIGHTS = (1, 2, 3)
 SEED = 20240506
-ROUNDS = 6
+ROUNDS = 12
+#: Words that a source may miss before its smaller documents are wanted more or less often than on average.
+SLACK = 16.0
+#: Where a source's documents are parted by size.
+CUTS = (0.9, 0.5, 0.15, 0.04)
 
 #: One step of the fold: s.held is the fractional document so far, x the next one. What both names
 #: stand for is bound step by step by transforms over one element.
@@ -104,22 +109,36 @@ def _settled(ws: Workspace, units: DataFrame, seed: int) -> DataFrame:
 
 
 def _shifted(ws: Workspace, units: DataFrame, owed: DataFrame) -> DataFrame:
-    """``units`` with probabilities that give each source so many more expected words as it is
-    ``owed`` (of, owed), evenly over words, as far as they stay between 0 and 1. What some can't
-    take is spread over the others in up to ROUNDS rounds, until half a word is left."""
-    for _ in range(ROUNDS):
-        free = units.where("p > 0 and p < 1").groupBy(F.col("source").alias("at")).agg(F.sum("size").alias("room"))
-        shift = owed.join(free, F.col("of").eqNullSafe(F.col("at"))).select("of", (F.col("owed") / F.col("room")).alias("shift"))
-        moved = units.join(small(ws.save(shift, "shift")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-        to = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))
-        moved = ws.save(moved.withColumn("to", F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise(to)), "moved")
-        gained = moved.groupBy(F.col("source").alias("at")).agg(F.sum((F.col("to") - F.col("p")) * F.col("size")).alias("gained"))
-        owed = owed.join(gained, F.col("of").eqNullSafe(F.col("at"))).select("of", (F.col("owed") - F.col("gained")).alias("owed"))
-        owed = ws.save(owed, "owed")
-        units = moved.select(*[F.col("to").alias("p") if c == "p" else F.col(c) for c in units.columns])
-        if owed.where("abs(owed) > 0.5").isEmpty():
-            break
-    return units
+    """``units`` that are wanted (whole + p times) so much more often that each source has as many more
+    expected words as it is ``owed`` (of, owed), evenly over words. What some can't take is spread over
+    the others, which are as many as still can. At first each may move as far up as down, so that all
+    are wanted as often on average; what is left then, if it is more than SLACK words, moves them
+    anywhere between never and MOST_COPIES times each row."""
+    most = F.col("rows") * MOST_COPIES
+    columns = [c for c in units.columns if c not in ("whole", "p")]
+    units = units.withColumn("wanted", F.col("whole") + F.col("p")).withColumn("reach", F.least(F.col("wanted"), most - F.col("wanted")))
+    units = units.withColumn("low", F.col("wanted") - F.col("reach")).withColumn("high", F.col("wanted") + F.col("reach"))
+    for bound, low, high in ((0.5, F.col("low"), F.col("high")), (SLACK, F.lit(0.0), most)):
+        before = None
+        for _ in range(ROUNDS):
+            large = F.abs("owed") > bound
+            left = owed.agg(F.sum(F.when(large, F.abs("owed")))).first()[0] or 0.0
+            if not left or before is not None and left > before - bound:
+                break
+            before = left
+            moved = units.join(small(owed), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("owed", F.when(large, F.col("owed")).otherwise(0.0))
+            can = ((F.col("owed") > 0) & (F.col("wanted") < high)) | ((F.col("owed") < 0) & (F.col("wanted") > low))
+            free = moved.where(can).groupBy(F.col("source").alias("at")).agg(F.sum(F.col("size") * F.col("rows")).alias("room"))
+            free = small(ws.save(free, "free"))
+            moved = moved.join(free, F.col("source").eqNullSafe(F.col("at")), "left")
+            # A word of each row gets the same share.
+            to = F.greatest(low, F.least(high, F.col("wanted") + F.col("owed") / F.col("room") * F.col("rows")))
+            moved = ws.save(moved.withColumn("to", F.when(can, to).otherwise(F.col("wanted"))), "moved")
+            gained = moved.groupBy(F.col("source").alias("at")).agg(F.sum((F.col("to") - F.col("wanted")) * F.col("size")).alias("gained"))
+            owed = owed.join(gained, F.col("of").eqNullSafe(F.col("at")), "left").select("of", (F.col("owed") - F.coalesce("gained", F.lit(0.0))).alias("owed"))
+            owed = ws.save(owed, "owed")
+            units = moved.select(*columns, F.col("to").alias("wanted"), "low", "high")
+    return units.select(*columns, F.floor("wanted").alias("whole"), (F.col("wanted") - F.floor("wanted")).alias("p"))
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -141,21 +160,25 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     units = units.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     wanted = F.when(F.col("source_size") > 0, F.col("rows") * (F.col("target") / F.col("source_size"))).otherwise(0.0)
     units = units.withColumn("wanted", F.when(F.col("size") > 0, wanted).otherwise(0.0))
-    units = units.select("source", "doc_id", "size", "rows", F.floor("wanted").alias("whole"), (F.col("wanted") - F.floor("wanted")).alias("p"))
-
-    certain = units.where("p = 0").select("source", "doc_id", "size", "rows", F.col("whole").alias("copies"))
-    # Documents of more than the median size first; what the last of them misses the target by is
-    # made up for by the probabilities of the smaller ones, whose last one then misses little.
-    open_now = units.where("p > 0")
-    median = open_now.groupBy(F.col("source").alias("of")).agg(F.percentile_approx("size", 0.5).alias("median"))
-    median = small(ws.save(median, "median"))
-    open_now = ws.save(open_now.join(median, F.col("source").eqNullSafe(F.col("of"))).withColumn("large", F.col("size") > F.col("median")).drop("of", "median"), "open")
-    large = _settled(ws, open_now.where("large").drop("large"), SEED)
-    large = ws.save(large, "large")
-    missed = open_now.where("large").groupBy("source").agg(F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("wished"))
-    missed = missed.join(large.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("copies") * F.col("size")).alias("got")), F.col("source").eqNullSafe(F.col("of")))
-    owed = ws.save(missed.select(F.col("source").alias("of"), (F.col("wished") - F.col("got")).alias("owed")), "owed")
-    parts = [certain, large, _settled(ws, _shifted(ws, open_now.where("not large").drop("large"), owed), SEED + 100)]
+    units = units.select("source", "doc_id", "size", "rows", "source_size", F.floor("wanted").alias("whole"), (F.col("wanted") - F.floor("wanted")).alias("p"))
+
+    never = units.where("size = 0 or source_size = 0").select("source", "doc_id", "size", "rows", F.lit(0).cast("long").alias("copies"))
+    # Larger documents first; what they miss the target by is made up for by smaller ones.
+    open_now = units.where("size > 0 and source_size > 0").drop("source_size")
+    cuts = open_now.groupBy(F.col("source").alias("of")).agg(F.percentile_approx("size", list(CUTS)).alias("cuts"))
+    cuts = small(ws.save(cuts, "cuts"))
+    part = F.size(F.filter("cuts", lambda c: F.col("size") <= c))
+    open_now = ws.save(open_now.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("part", part).drop("of", "cuts"), "open")
+    parts, owed = [never], None
+    for n in range(len(CUTS) + 1):
+        own = open_now.where(F.col("part") == n).drop("part")
+        done = ws.save(_settled(ws, own if owed is None else _shifted(ws, own, owed), SEED + 100 * n), "done")
+        parts.append(done)
+        wished = own.groupBy("source").agg(F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("owed"))
+        got = done.groupBy("source").agg((-F.sum(F.col("copies") * F.col("size"))).cast("double").alias("owed"))
+        both = wished.select("source", F.col("owed").cast("double").alias("owed")).unionByName(got)
+        both = both if owed is None else both.unionByName(owed.withColumnRenamed("of", "source"))
+        owed = ws.save(both.groupBy(F.col("source").alias("of")).agg(F.sum("owed").alias("owed")), "owed")
 
     taken = parts[0]
     for part in parts[1:]:

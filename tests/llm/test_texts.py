@@ -485,6 +485,32 @@ def test_mixing(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("rows, most", [(50, 0.01), (400, 0.002)])
+def test_mixing_where_all_are_wanted_alike(spark, rows, most):
+    """Sources whose documents are all wanted nearly never, nearly once, or nearly three times."""
+    rng = random.Random(rows)
+    of = {"a": 1, "b": 40, "c": 1, "d": 1.01, "e": 0.36, "f": 3}
+    docs = [(10_000 * k + i, "w " * round(f * rng.choice([5, 20, 60, 100, 300, 1500])), None, s, 0) for k, (s, f) in enumerate(of.items()) for i in range(rows)]
+    out = mixed(spark, docs)
+    total, goal = Counter(), {}
+    for r in out:
+        s = "abcdef"[r.doc_id // 10_000]
+        total[s] += r.taken
+        goal[s] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(total[s] - t) <= max(most * t, 40) for s, t in goal.items()), (total, goal)
+
+
+def test_mixing_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    total, goal = Counter(), {}
+    for r in mixing.mix(spark, docs).collect():
+        total[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+    assert all(abs(total[s] - t) <= 0.005 * t for s, t in goal.items())
+
+
 def brute_targets(sizes):
     """Targets by raising a common level in small steps: weights 1, 2, 3 in order, null last."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
