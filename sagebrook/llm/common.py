@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,19 @@ class Workspace:
             self._delete(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that wrote them has ended; for queries whose results are
+    saved, which is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before or "false")
+
+
 def small(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A saved table of narrow columns, marked for broadcast if it has no more than so many rows;
     else unchanged, and joins shuffle."""

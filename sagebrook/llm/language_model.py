@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, shuffles_removed
 from .shingles import mix, word_hashes
 
 #: Tokens whose pairs are in one bucket, tokens that a task sorts at once, customers of one hall.
@@ -520,18 +519,6 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """Shuffle files go when the query that wrote them has ended; all that is read later is saved."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    try:
-        spark.conf.set(name, "true")
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 @dataclass
 class Model:
     """What has been learnt: tables in the shared folder and totals."""
@@ -579,7 +566,7 @@ def learn(spark: SparkSession, docs: DataFrame, *, sweeps: int = SWEEPS, first:
     totals = Totals(dealing, 0.5, 0.5, strength, seed, 0)
     if not tokens:
         return Model(ws, totals, 0)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         sent = context.broadcast(dealing)
         pairs = ws.save(_by_bucket(texts.mapInArrow(_counted(sent), _SCHEMA), buckets).mapInArrow(_merged(sent), _SCHEMA), "pairs")
         of = {r.kind: r.n for r in pairs.groupBy("kind").agg(F.sum("total").alias("n")).collect()}
@@ -647,7 +634,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = x.dealing.buckets
     level = float(np.log10(0.5 / (model.tokens + 0.5 * (x.words + 1))))
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         begin, values = 0.0, None
         if model.tokens:
             # An owner's words come before the questions about them.

@@ -83,9 +83,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows of ``documents``."""
+    """The last stage's rows of ``documents``. What a stage has read goes when its rows are saved."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name.split()[0])
+        ws.keep_only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

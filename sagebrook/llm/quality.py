@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from .common import Workspace, least_hashes
+from .common import Workspace, least_hashes, shuffles_removed
 from .shingles import mix, token_hashes
 
 DIMENSIONS = 16
@@ -36,7 +36,7 @@ RARE = 20
 #: Tokens whose vectors a worker holds; some 70 bytes each.
 HELD = 500_000
 #: Tokens that a task adds up before it passes sums on.
-SUMMED = 400_000
+SUMMED = 200_000
 #: Texts that are cut into tokens at once, which bounds what a worker holds.
 TEXTS = 64
 #: Tokens that it reads before it does so, which keeps sums below 2**31.
@@ -204,14 +204,17 @@ def word_vectors(ws: Workspace, docs: DataFrame, held: int = HELD) -> tuple[Data
     if often.count() <= held:
         keep = ws.spark.sparkContext.broadcast(np.sort(often.toArrow()["token"].to_numpy().view(np.uint64)))
     parts = docs.select("text").mapInArrow(_neighbours(keep), "token long, kind int, seen long, vector binary")
-    every = ws.save(parts.repartition("token").sortWithinPartitions("token").mapInArrow(_added, schema), "sums")
+    with shuffles_removed(ws.spark):
+        every = ws.save(parts.repartition("token").sortWithinPartitions("token").mapInArrow(_added, schema), "sums")
 
     def units(df: DataFrame, *keep: str) -> DataFrame:
         norm = F.sqrt(sum(F.col(x).cast("double") * F.col(x) for x in _AXES))
         return df.withColumn("norm", F.when(norm > 0, norm).otherwise(1.0)).select(*keep, *[(F.col(x) / F.col("norm")).cast("float").alias(x) for x in _AXES])
 
     rare = every.where(F.col("seen") < RARE).groupBy("kind").agg(*sums)
-    return ws.save(units(every.where(F.col("seen") >= RARE), "token", "seen"), "words"), ws.save(units(rare, "kind"), "kinds")
+    words, kinds = ws.save(units(every.where(F.col("seen") >= RARE), "token", "seen"), "words"), ws.save(units(rare, "kind"), "kinds")
+    ws.drop(every, often)
+    return words, kinds
 
 
 class Vectors:
@@ -414,6 +417,7 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, sample: int = SAMPL
     table = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # ``sample`` rows at most
     x = np.array(table["features"].to_pylist(), np.float32).reshape(-1, FEATURES)
     y = table["quality"].to_numpy().astype(int)
+    ws.keep_only(*vectors)
     aside = np.array([i % 5 == 0 for i in range(len(y))], bool)
     return vectors, Network(x, y, aside)
 
