@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, least_hashes
 
 #: Pieces that a worker remembers (some 100 MB), the longest of them, and those that are looked at together.
-REMEMBERED, LONGEST, UNIT = 300_000, 200, 20_000
+REMEMBERED, LONGEST, UNIT = 250_000, 200, 20_000
 #: Pairs of ids that are sent to tasks (17 bytes each), and entries of a product made at once.
 HELD, BLOCK = 1_000_000, 1 << 21
 #: Characters of text in one batch of results, and links whose pairs are counted before they are handed on.
@@ -134,11 +135,20 @@ class Aligned:
     """Tokens of some pieces, one after the other, and their products."""
 
     def __init__(self, a: Tokenizer, b: Tokenizer, pieces: list[str]):
-        ids = [(x, y) for x, y in zip(a(pieces), b(pieces), strict=True)]
         raw = [p.encode() for p in pieces]
-        self.same = [b"".join(map(a.bytes.__getitem__, x)) == r == b"".join(map(b.bytes.__getitem__, y)) for (x, y), r in zip(ids, raw, strict=True)]
-        self.n_a, self.n_b = (np.array([len(x[k]) if ok else 0 for x, ok in zip(ids, self.same, strict=True)], np.int64) for k in (0, 1))
-        self.a, self.b = (np.array([i for x, ok in zip(ids, self.same, strict=True) if ok for i in x[k]], np.int64) for k in (0, 1))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids, n, given = [], [], []
+        for of, lists in ((a, a(pieces)), (b, b(pieces))):
+            n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(n[-1].sum())))
+            upto = np.append(0, np.cumsum(of.lengths[ids[-1]]))[np.append(0, np.cumsum(n[-1]))]
+            given.append((b"".join(map(of.bytes.__getitem__, ids[-1].tolist())), upto))
+        same = np.logical_and.reduce([np.diff(upto) == size for _, upto in given])
+        if not same.all() or any(text != b"".join(raw) for text, _ in given):
+            same &= [all(text[upto[i] : upto[i + 1]] == r for text, upto in given) for i, r in enumerate(raw)]
+        self.same = same
+        self.n_a, self.n_b = (np.where(same, k, 0) for k in n)
+        self.a, self.b = (x[np.repeat(same, k)] for x, k in zip(ids, n, strict=True))
         self.spans_a, self.spans_b = Rows.spans(a.lengths[self.a]), Rows.spans(b.lengths[self.b])
         self.ends_a, self.ends_b = self.spans_a.starts[1:], self.spans_b.starts[1:]
         ends = [(i[e], j[e]) for i, j, _ in self.overlaps() for e in [self.ends_a[i] == self.ends_b[j]]]
@@ -211,7 +221,7 @@ class Aligner:
         for i, piece in enumerate(pieces):
             self.place[piece] = len(self.said)
             self.said.append(";".join(words[last[i] : last[i + 1]]))
-        self.numbers = np.concatenate([self.numbers, np.stack([np.array(x.same, np.int64), x.n_a, x.n_b, np.diff(last), np.diff(both[last])], 1)])
+        self.numbers = np.concatenate([self.numbers, np.stack([x.same.astype(np.int64), x.n_a, x.n_b, np.diff(last), np.diff(both[last])], 1)])
         self.keys = np.concatenate([self.keys, x.a[x.links[0]] << 32 | x.b[x.links[1]]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + last[1:]])
         self.hits = np.append(self.hits, np.zeros(len(pieces), np.int64))
@@ -278,7 +288,7 @@ def _aligner(a: str, b: str) -> Aligner:
 
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Rows whose texts have AT_ONCE characters together, or one row."""
-    for batch in batches:
+    for batch in (whole.slice(k, 128) for whole in batches for k in range(0, whole.num_rows, 128)):
         texts = batch.column("text").to_pylist()
         at = 0
         while at < len(texts):
