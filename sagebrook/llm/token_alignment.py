@@ -332,15 +332,15 @@ def _documents(a: str, b: str):
 def _looked_up(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = sent.value
-        for batch in batches:
+        for batch in (whole.slice(k, 128) for whole in batches for k in range(0, whole.num_rows, 128)):
             pairs = batch.column("pairs")
             sizes, flat = np.asarray(pairs.value_lengths()), pairs.flatten().to_numpy()
             of = np.repeat(np.arange(batch.num_rows), sizes)
             at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
             known = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
             sums = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
-            np.add.at(sums[0], of[known], best[at[known]].astype(np.int64))
-            np.add.at(sums[1], of[known], n[at[known]])
+            for total, values in zip(sums, (best, n), strict=True):
+                np.add.at(total, of[known], values[at[known]].astype(np.int64))
             rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of[~known], minlength=batch.num_rows))), pa.int32()), pa.array(flat[~known]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, sums), rest], names=["row", "n_best", "count_sum", "rest"])
 
