@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..functions import questions as Q
 from ..functions.text import cut_then_strip, focused, lexical_recall, question_language, source_label
 from ..models import Generator, Reranker
+from ..operators.common import small
 from ..operators.dense import nearest
 from ..operators.fusion import greedy_dedup, reciprocal_rank_fusion, rerank, text_key, within_budget
 from ..operators.sparse import search
@@ -82,10 +83,15 @@ def prompts(rows: DataFrame, budget: int, *, chars: int = 4000, compose: bool =
     numbered and labelled, narrowed to their best item where the question wants that. ``own`` has a
     project's wording of the head by language, where it has one."""
     kept = within_budget(rows, F.length("text"), budget)
+    # What a question is is found out once for each; only passages of those that want it are narrowed.
+    asked = rows.groupBy("query_id").agg(F.first("query").alias("query"))
+    asked = asked.select(F.col("query_id").alias("_of"), question_language(F.col("query")).alias("_lang"), F.coalesce(Q.wants_focus(F.col("query")), F.lit(False)).alias("_focus")).checkpoint()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    lang = question_language(F.col("query"))
-    text = F.when(Q.wants_focus(F.col("query")), focused(F.col("text"), F.col("query"), compose=compose)).otherwise(F.col("text"))
-    kept = kept.withColumn("_n", place).withColumn("_lang", lang)
+    kept = kept.withColumn("_n", place).join(small(asked), F.col("query_id") == F.col("_of")).drop("_of")
+    if not asked.where("_focus").isEmpty():
+        narrowed = kept.where("_focus").withColumn("text", focused(F.col("text"), F.col("query"), compose=compose))
+        kept = narrowed.unionByName(kept.where("not _focus"))
+    text = F.col("text")
     line = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), source_label(F.col("file_name"), F.col("page"), F.col("_lang")), F.lit("\n"), cut_then_strip(text, chars))
     kept = kept.withColumn("_line", line)
     body = kept.groupBy("query_id", "query", "_lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "\n\n").alias("_body"))
