@@ -36,7 +36,7 @@ RARE = 20
 #: Tokens whose vectors a worker holds; some 70 bytes each.
 HELD = 500_000
 #: Tokens that a task adds up before it passes sums on.
-SUMMED = 200_000
+SUMMED = 400_000
 #: Texts that are cut into tokens at once, which bounds what a worker holds.
 TEXTS = 64
 #: Tokens that it reads before it does so, which keeps sums below 2**31.
