@@ -20,7 +20,7 @@ from .operators.text_index import TextIndex
 from .plans import ingest, search
 from .registry import EVERY, ORACLE_SQL, QUERIES, query, table
 from .session import Settings, own_folder
-from .streaming import incremental
+from .streaming import gate, incremental
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -686,5 +686,39 @@ def retention_stream(spark: SparkSession, d: str) -> DataFrame:
     return incremental.retained_counts(spark, f"{folder}/events", events.schema, "ts", "event_type", F.lit(last), S.retention_seconds)
 
 
+#: Seconds after which a task of ``task_gate_stream`` is stuck, for its requests are hours apart.
+GATE_WAIT = 21_600
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' WHEN 'signup' THEN 'RETRY' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE ts IS NOT NULL),
+g AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::TIMESTAMP AS due, NULL::BIGINT AS run, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS decision, NULL::BIGINT AS stuck, NULL::TIMESTAMP AS stuck_at FROM e
+  UNION ALL
+  SELECT user_id, n, CASE WHEN s IS NOT NULL THEN s WHEN go THEN 'STARTED' ELSE was END,
+    CASE WHEN s = 'RETRY' OR (s IS NULL AND go) THEN date_trunc('second', ts) + INTERVAL {GATE_WAIT + 1} SECOND ELSE due END, CASE WHEN s = 'RETRY' OR (s IS NULL AND go) THEN event_id ELSE run END,
+    event_id, ts, CASE WHEN s IS NULL THEN CASE WHEN go THEN 'run' ELSE 'skip' END END, CASE WHEN was = 'STUCK' AND status <> 'STUCK' THEN run END, due
+  FROM (SELECT *, coalesce(was NOT IN ('SUCCESS', 'STARTED', 'RETRY'), true) AS go FROM (
+    SELECT e.user_id, e.n, e.s, e.event_id, e.ts, g.status, g.due, g.run, CASE WHEN g.status IN ('STARTED', 'RETRY') AND e.ts >= g.due THEN 'STUCK' ELSE g.status END AS was
+    FROM g JOIN e ON e.user_id IS NOT DISTINCT FROM g.user_id AND e.n = g.n + 1) a) b)
+SELECT user_id, event_id, ts, decision FROM g WHERE decision IS NOT NULL
+UNION ALL SELECT user_id, stuck, stuck_at, 'stuck' FROM g WHERE stuck IS NOT NULL
+UNION ALL SELECT user_id, run, due, 'stuck' FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1) l
+WHERE status IN ('STARTED', 'RETRY') AND due <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def task_gate_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the events' time first, then the rest, by a stream that goes on from its checkpoint."""
+    events = table(spark, d, "events").withColumn("status", F.expr("CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' WHEN 'signup' THEN 'RETRY' END"))
+    events = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "status")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cut = F.lit(None if first is None else first + (last - first) * 2 / 3)
+    folder = own_folder(spark, "gate")
+    for name, part in (("first", F.col("ts") < cut), ("second", ~F.coalesce(F.col("ts") < cut, F.lit(False)))):
+        events.where(part).write.parquet(f"{folder}/in/{name}")
+        out = gate.decided(spark, f"{folder}/in/*", events.schema, f"{folder}/out", ["user_id"], id="event_id", at="ts", status="status", wait=GATE_WAIT)
+    return out.select("user_id", F.col("id").alias("event_id"), F.col("at").alias("ts"), "decision")
+
+
 # More queries register themselves.
 from . import catalogue_forms, catalogue_store  # noqa: E402, F401
