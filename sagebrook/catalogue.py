@@ -20,7 +20,7 @@ from .operators.text_index import TextIndex
 from .plans import ingest, search
 from .registry import EVERY, ORACLE_SQL, QUERIES, query, table
 from .session import Settings, own_folder
-from .streaming import gate, incremental
+from .streaming import gate, incremental, retention
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -711,14 +711,35 @@ def task_gate_stream(spark: SparkSession, d: str) -> DataFrame:
     """Two thirds of the events' time first, then the rest, by a stream that goes on from its checkpoint."""
     events = table(spark, d, "events").withColumn("status", F.expr("CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' WHEN 'signup' THEN 'RETRY' END"))
     events = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "status")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    cut = F.lit(None if first is None else first + (last - first) * 2 / 3)
     folder = own_folder(spark, "gate")
-    for name, part in (("first", F.col("ts") < cut), ("second", ~F.coalesce(F.col("ts") < cut, F.lit(False)))):
-        events.where(part).write.parquet(f"{folder}/in/{name}")
+    for _ in _in_two(spark, events, f"{folder}/in"):
         out = gate.decided(spark, f"{folder}/in/*", events.schema, f"{folder}/out", ["user_id"], id="event_id", at="ts", status="status", wait=GATE_WAIT)
     return out.select("user_id", F.col("id").alias("event_id"), F.col("at").alias("ts"), "decision")
 
 
+def _in_two(spark: SparkSession, events: DataFrame, folder: str):
+    """Files of two thirds of the events' time, and then of the rest."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cut = F.coalesce(F.col("ts") < F.lit(None if first is None else first + (last - first) * 2 / 3), F.lit(False))
+    for name, part in (("first", cut), ("second", ~cut)):
+        yield events.where(part).write.parquet(f"{folder}/{name}")
+
+
+@query(f"""
+SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM (
+  SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life, sum(new) OVER (PARTITION BY user_id) AS lives FROM (
+    SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL {S.retention_seconds} SECOND)::INT, 1) AS new FROM events WHERE ts IS NOT NULL) a) b
+GROUP BY user_id, life
+HAVING life < any_value(lives)
+  OR max(ts) + INTERVAL {S.retention_seconds} SECOND < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def retention_expiry_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Users that aren't heard of for the retention time, by a stream that goes on from its checkpoint."""
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder = own_folder(spark, "expiry")
+    for _ in _in_two(spark, events, f"{folder}/in"):
+        out, _ = retention.expired(spark, f"{folder}/in/*", events.schema, f"{folder}/out", ["user_id"], at="ts", seconds=S.retention_seconds)
+    return out
+
+
 # More queries register themselves.
 from . import catalogue_forms, catalogue_store  # noqa: E402, F401

@@ -3,28 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-UNDER_WAY = ("PENDING", "STARTED", "RETRY")
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SECOND = 1_000_000
-
+from .keyed import SECOND, by_key, named
 
-@contextmanager
-def rocks_state(spark: SparkSession) -> Iterator[None]:
-    """Streams that start within keep their state in RocksDB, as timers and time to live want it."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+UNDER_WAY = ("PENDING", "STARTED", "RETRY")
 
 
 class Gate(StatefulProcessor):
@@ -48,16 +35,16 @@ class Gate(StatefulProcessor):
         for row in sorted(rows, key=lambda r: (r["_us"], r["_id"] is not None, r["_id"] or 0)):
             at, id_, said = row["_us"], row["_id"], row["_status"]
             if status in UNDER_WAY and at >= self._due(began):
-                yield Row(**self._named(key), id=of, at=self._due(began), decision="stuck")
+                yield Row(**named(key), id=of, at=self._due(began), decision="stuck")
                 status = "STUCK"
             if said is not None:
                 status = said
             elif status == "SUCCESS" or status in UNDER_WAY:
-                yield Row(**self._named(key), id=id_, at=at, decision="skip")
+                yield Row(**named(key), id=id_, at=at, decision="skip")
                 continue
             else:
                 status = "STARTED"
-                yield Row(**self._named(key), id=id_, at=at, decision="run")
+                yield Row(**named(key), id=id_, at=at, decision="run")
             if status in UNDER_WAY:
                 began, of = at, id_
         after = self._due(began) if status in UNDER_WAY else None
@@ -72,11 +59,7 @@ class Gate(StatefulProcessor):
         status, began, of = self.last.get()
         if status in UNDER_WAY and self._due(began) // 1000 == expiredTimerInfo.getExpiryTimeInMs():
             self.last.update(("STUCK", began, of))
-            yield Row(**self._named(key), id=of, at=self._due(began), decision="stuck")
-
-    @staticmethod
-    def _named(key: Any) -> dict[str, Any]:
-        return {f"_k{i}": k for i, k in enumerate(key)}
+            yield Row(**named(key), id=of, at=self._due(began), decision="stuck")
 
     def close(self) -> None:
         pass
@@ -96,16 +79,6 @@ def decided(spark: SparkSession, source: str, schema, target: str, by: list[str]
     Rows of a task go by time and id within a batch, of ``files`` files at most, and one task's rows
     of a batch are sorted in one Python worker. Rows that are ``late`` behind the newest row of the
     batches before are dropped, as are rows without a time. A null key is a key."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
-    time = F.col(at).cast("timestamp")
-    rows = rows.select(*keys, time.alias("_at"), F.unix_micros(time).alias("_us"), F.col(id).cast("long").alias("_id"), F.col(status).alias("_status"))
-    names = [f"_k{i}" for i in range(len(by))]
-    types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    timed = rows.where("_at is not null").withWatermark("_at", late).groupBy(*names)
-    out = timed.transformWithState(Gate(wait), f"{types}, id long, at long, decision string", "append", "EventTime")
-    out = out.select(*[F.col(n).alias(k) for n, k in zip(names, by, strict=True)], "id", F.timestamp_micros("at").alias("at"), "decision")
-    with rocks_state(spark):
-        stream = out.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-progress").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.schema(out.schema).parquet(target)
+    columns = {"_id": F.col(id).cast("long"), "_status": F.col(status)}
+    out, _ = by_key(spark, source, schema, target, by, at, columns, Gate(wait), "id long, at long, decision string", late, files)
+    return out.select(*by, "id", F.timestamp_micros("at").alias("at"), "decision")

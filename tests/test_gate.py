@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from sagebrook.streaming import gate
+from sagebrook.streaming import gate, retention
 
 SCHEMA = "task string, args long, n long, at timestamp, status string, id string"
 START = datetime(2024, 1, 1)
@@ -74,3 +74,26 @@ def test_nothing_and_one_batch(spark, tmp_path):
     assert decided(spark, f"file://{tmp_path}") == []
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/in/1")
     assert decided(spark, f"file://{tmp_path}") == expected(rows, rows[-1][3] - timedelta(seconds=60))
+
+
+def test_what_is_not_heard_of_expires(spark, tmp_path):
+    """The state stays small however long the stream is, whatever comes late; against plain rules."""
+    rng, rows, sizes, found = random.Random(4), [], [], []
+    for i in range(6):
+        part = [(k, START + timedelta(seconds=1000 * i + rng.randrange(1000))) for k in [*range(20 * i, 20 * i + 20), *rng.choices(range(20 * i + 20), k=15), None]]
+        rows += part
+        late = [(999, START), (1, None)] if i == 4 else []
+        spark.createDataFrame([*part[::-1], *late], "k long, at timestamp").coalesce(2).write.parquet(f"file://{tmp_path}/in/{i}")
+        out, progress = retention.expired(spark, f"file://{tmp_path}/in/*", spark.createDataFrame([], "k long, at timestamp").schema, f"file://{tmp_path}/out", ["k"], at="at", seconds=700, late="900 seconds")
+        sizes.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+        found = sorted(map(tuple, out.collect()), key=repr)
+    want, alive = [], {}
+    for k, at in sorted(rows, key=lambda r: r[1]):
+        if k in alive and at > alive[k][1] + timedelta(seconds=700):
+            want.append((k, *alive.pop(k)))
+        first, _, n = alive.get(k, (at, at, 0))
+        alive[k] = (first, at, n + 1)
+    last = max(at for _, at in rows) - timedelta(seconds=900)
+    want += [(k, *v) for k, v in alive.items() if v[1] + timedelta(seconds=700) < last]
+    assert found == sorted(want, key=repr) and len(want) > 100
+    assert max(sizes[3:]) <= 1.5 * max(sizes[:3])  # 121 keys in all
