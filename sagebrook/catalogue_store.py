@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog, state
+from .operators.keyed_table import KeyedTable
 from .operators.metadata_index import MetadataIndex
 from .registry import query, table
 from .session import own_folder
@@ -116,6 +117,18 @@ def clear_chat(spark: SparkSession, d: str) -> DataFrame:
     return state.cleared(chat, str(first)).select("conv_id", "turn")
 
 
+@query("SELECT conv_id, turn, role, CASE WHEN conv_id % 50 = 1 THEN 'forgotten' ELSE text END AS text FROM conversations WHERE conv_id IS NULL OR conv_id % 50 <> 0")
+def chats_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Of stored chats some are cleared and others overwritten, in their buckets only."""
+    chats = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    stored = KeyedTable(spark, own_folder(spark, "chats"), "conv_id long, turn long, role string, text string", "conv_id")
+    stored.append(chats)
+    gone, told = (chats.where(f"conv_id % 50 = {n}").select("conv_id").distinct() for n in (0, 1))
+    stored.change(gone, lambda old: old.join(gone, "conv_id", "left_anti"))
+    stored.change(told, lambda old: old.withColumn("text", F.when(F.col("conv_id") % 50 == 1, "forgotten").otherwise(F.col("text"))))
+    return stored.read()
+
+
 @query("""
 SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'en' AND doc_id % 3 = 1""")
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,7 @@ from .functions.text import needs_continuation
 from .models import Embedder, FirstPassage, Generator, HashEmbedder, OverlapReranker, Reranker
 from .operators import catalog, enrich, fusion, state
 from .operators.dense import nearest
+from .operators.keyed_table import KeyedTable
 from .operators.sparse import query_tokens
 from .plans import ingest, search
 from .schema import CHAT, LEDGER, PROJECTS, PROMPTS
@@ -40,6 +41,8 @@ class Service:
         self.embedder, self.reranker, self.generator = embedder or HashEmbedder(), reranker or OverlapReranker(), generator or FirstPassage()
         self.pdf_pages = pdf_pages
         self.vectors = catalog.Collections(spark, f"{root}/vectors")
+        self.chats = KeyedTable(self.spark, f"{root}/chat", CHAT, "session_id")
+        self.own_prompts = KeyedTable(self.spark, f"{root}/prompts", PROMPTS, "project_id")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -176,17 +179,13 @@ class Service:
         """The project's own wording of the prompt; what is None stays as it is."""
         self._owned(user_id, project_id)
         new = self.spark.range(1).select(F.lit(project_id).alias("prompt_id"), F.lit(project_id).alias("project_id"), F.lit(prompt_en).cast("string").alias("prompt_en"), F.lit(prompt_ar).cast("string").alias("prompt_ar"))
-        self._replace(catalog.upsert(self._read("prompts", PROMPTS), new, "project_id"), "prompts")
+        self.own_prompts.change(new, lambda old: catalog.upsert(old, new, "project_id"))
 
     def prompt(self, user_id: str, project_id: int) -> dict[str, str | None]:
         self._owned(user_id, project_id)
-        row = catalog.lookup(self._read("prompts", PROMPTS), "project_id", project_id).first()
+        row = self.own_prompts.read(project_id).first()
         return {"en": row.prompt_en, "ar": row.prompt_ar} if row else {}
 
-    def _replace(self, rows: DataFrame, name: str) -> None:
-        """Put rows, which may come from the table itself, in its place."""
-        rows.checkpoint().write.mode("overwrite").parquet(f"{self.root}/{name}")
-
     def task_status(self, user_id: str, project_id: int) -> DataFrame:
         """All tasks of the store as they are now; for an owner of a project in it."""
         self._owned(user_id, project_id)
@@ -232,9 +231,8 @@ class Service:
         said = asked.select("query_id", F.lit("user").alias("role"), F.col("query").alias("text")).unionByName(out.where("answer is not null").select("query_id", F.lit("assistant").alias("role"), F.col("answer").alias("text")))
         now = F.lit(datetime.now(timezone.utc))
         message = identifier(F.lit(session_id), now, "query_id", "role")
-        self._add(
-            said.select(message.alias("message_id"), message.cast("string").alias("message_uuid"), F.lit(session_id).alias("session_id"), F.lit(project_id).alias("project_id"), "role", F.struct("text").alias("content"), now.alias("created_at")),
-            "chat",
+        self.chats.append(
+            said.select(message.alias("message_id"), message.cast("string").alias("message_uuid"), F.lit(session_id).alias("session_id"), F.lit(project_id).alias("project_id"), "role", F.struct("text").alias("content"), now.alias("created_at"))
         )
         return out
 
@@ -248,11 +246,11 @@ class Service:
     def clear_history(self, user_id: str, project_id: int, session_id: str) -> None:
         """Forget a session of a project."""
         self._owned(user_id, project_id)
-        chat = self._read("chat", CHAT)
-        other = chat.where(F.col("project_id") != project_id).unionByName(state.cleared(chat.where(F.col("project_id") == project_id), session_id))
-        self._replace(other, "chat")
+        own = F.col("project_id") == project_id
+        session = self.spark.range(1).select(F.lit(session_id).alias("session_id"))
+        self.chats.change(session, lambda chat: chat.where(~F.coalesce(own, F.lit(False))).unionByName(state.cleared(chat.where(own), session_id)))
 
     def history(self, user_id: str, project_id: int, session_id: str, n: int = 20) -> DataFrame:
         self._owned(user_id, project_id)
-        chat = self._read("chat", CHAT).where((F.col("project_id") == project_id) & (F.col("session_id") == session_id))
+        chat = self.chats.read(session_id).where(F.col("project_id") == project_id)
         return state.last_messages(chat, "session_id", "created_at", n)
