@@ -41,11 +41,11 @@ def stuck_after(time_limit: int) -> int:
 def should_execute(status: Column, started_at: Column, now: Column, time_limit: int = 1200) -> Column:
     """Whether a task runs, given its last record: not after success; while under way only if it
     started so long ago that it must be stuck (a start that isn't known doesn't count as long)."""
-    waited = F.unix_timestamp(now) - F.unix_timestamp(started_at)
+    waited = F.unix_micros(now) - F.unix_micros(started_at)  # parts of a second count
     return (
         F.when(status.isNull(), True)
         .when(status == "SUCCESS", False)
-        .when(status.isin("PENDING", "STARTED", "RETRY"), F.coalesce(waited > stuck_after(time_limit), F.lit(False)))
+        .when(status.isin("PENDING", "STARTED", "RETRY"), F.coalesce(waited > stuck_after(time_limit) * 1_000_000, F.lit(False)))
         .otherwise(True)
     )
 

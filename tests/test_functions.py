@@ -169,6 +169,13 @@ def test_should_execute(spark):
     assert [r[0] for r in out] == [x for _, _, x in rows]
 
 
+def test_stuck_to_the_part_of_a_second(spark):
+    rows = [("00:00:00.100000", "00:02:00.100000"), ("00:00:00.100000", "00:02:00.100001"), ("00:00:00.900000", "00:02:01.100000"), ("00:00:00.900000", "00:02:00.950000")]
+    df = spark.createDataFrame([(f"2024-01-01 {a}", f"2024-01-01 {b}") for a, b in rows], "a string, b string")
+    out = df.select(state.should_execute(F.lit("STARTED"), F.col("a").cast("timestamp"), F.col("b").cast("timestamp")).alias("run")).collect()
+    assert [r.run for r in out] == [False, True, True, True]
+
+
 def test_args_hash_is_ascii_json(spark):
     import hashlib
     import json
