@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import io
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby, islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.common import BROADCAST_ROWS, small
+from ..session import with_checkpoints
+
 TYPES = ("txt", "pdf", "csv", "xlsx")
 #: A page reader: the bytes of a file to (page number, text, whether it was recognised).
 Pages = Callable[[bytes], list[tuple[int, str, bool]]]
@@ -34,19 +40,60 @@ def load_text(spark: SparkSession, path: str) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
     """Each row of each .csv file is a record of ``column: value`` lines. Files may have different
-    columns, so each is read with its own header, line by line on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-
-        for part in parts:
-            for where, content in zip(part.path, part.content, strict=True):
-                table = csv.DictReader(io.StringIO(content.decode("utf-8-sig", errors="replace")))
-                texts = ["\n".join(f"{(k or '').strip()}: {(v if isinstance(v, str) else ', '.join(v or [])).strip()}" for k, v in r.items()) for r in table]
-                yield pd.DataFrame({"path": where, "text": texts, "row": range(len(texts))})
-
-    return _records(files.select("path", "content").mapInPandas(rows, "path string, text string, row int"))
+    columns, so each is read with its own header. Files are read by lines, in splits, and no file is
+    held; where one has a quote, a record may go over many lines, and the file's lines go by one
+    task in their order."""
+    line = F.col("value").cast("binary")
+    lines = with_checkpoints(spark).read.text(path, lineSep="\n", pathGlobFilter="*.csv", recursiveFileLookup=True)
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), line.alias("_line"), F.contains("value", F.lit('"')).alias("_quote"), (F.rtrim("value", F.lit("\r")) != "").alias("_filled"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_file", "_start").agg(F.count_if("_filled").alias("n"), F.bool_or("_quote").alias("_quotes"), F.min_by("_line", "_at").alias("first"))
+    of = Window.partitionBy("_file")
+    before = F.sum("n").over(of.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    header = F.first("first").over(of.orderBy("_start"))
+    splits = splits.withColumns({"_before": F.coalesce(before, F.lit(0)), "_header": header, "_quotes": F.bool_or("_quotes").over(of)})
+    splits = splits.select("_file", "_start", "_before", "_header", "_quotes", F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))).alias("path")).checkpoint()
+    out = "path string, text string, row int"
+    one = small(splits.where("not _quotes"))
+    plain = lines.join(one, ["_file", "_start"]).select("path", "_start", "_before", "_header", "_line", "_at")
+    if splits.count() > BROADCAST_ROWS:  # a join that shuffles loses the order
+        plain = plain.sortWithinPartitions("path", "_start", "_at")
+    quoted = splits.where("_quotes")
+    if quoted.isEmpty():
+        return _records(plain.drop("_at").mapInArrow(_csv_rows, out))
+    whole = lines.join(small(quoted), ["_file", "_start"]).select("path", F.lit(0).cast("long").alias("_start"), F.lit(0).cast("long").alias("_before"), F.lit(None).cast("binary").alias("_header"), "_line", F.col("_start").alias("_place"), "_at")
+    whole = whole.repartition("path").sortWithinPartitions("path", "_place", "_at").drop("_place", "_at")
+    return _records(plain.drop("_at").mapInArrow(_csv_rows, out).union(whole.mapInArrow(_csv_rows, out)))
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of lines in their order, split by split, each with the file's header and the number of
+    filled lines before the split; without a header the first record is it."""
+
+    def lines() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("path", "_start", "_before", "_header", "_line")), strict=True)
+
+    def decoded(line: bytes) -> str:
+        return line.decode("utf-8", errors="replace") + "\n"
+
+    def records() -> Iterator[tuple[str, str, int]]:
+        for (path, start, before, header), rows in groupby(lines(), lambda x: x[:4]):
+            texts = (decoded(x[4]) for x in rows)
+            if start == 0:
+                texts = chain([next(texts).removeprefix("\ufeff")], texts)
+            names = None
+            if header is not None:
+                names = next(csv.reader([decoded(header).removeprefix("\ufeff")]))
+                if start == 0:
+                    next(texts)
+                elif names:
+                    before -= 1
+            for i, r in enumerate(csv.DictReader(texts, names)):
+                yield path, "\n".join(f"{(k or '').strip()}: {(v if isinstance(v, str) else ', '.join(v or [])).strip()}" for k, v in r.items()), before + i
+
+    found = records()
+    while part := list(islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], names=["path", "text", "row"])
 
 
 def load_xlsx(spark: SparkSession, path: str) -> DataFrame:

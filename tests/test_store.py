@@ -24,6 +24,30 @@ def test_files_to_chunks(spark, tmp_path):
     assert ("a.txt", 1, "Hello there.\nMore text.") in found and ("d.pdf", 3, "four") in found
 
 
+def test_csv_in_splits(spark, tmp_path):
+    """What csv makes of each file whole, however it is split; no file is one row."""
+    import csv
+    import io
+
+    body = "".join(f"{i},a{i}{',more,yet' * (i % 7 == 0)}\r\n" + "\n" * (i % 5 == 0) for i in range(3000))
+    made = {"plain a+b%25.csv": "\ufeffid,x\r\n" + body, "quoted.csv": 'id,"x\ny"\n' + body + '7,"two\nlines, ""so"""\n8,"open\n', "blank.csv": "\n" + body[:90], "named.csv": "only,names\n", "none.csv": "", "few.csv": "a,b,a\n1\n2,3,4"}
+    for name, text in made.items():
+        (tmp_path / name).write_bytes(text.encode() + b"9,\xff\xc3\n" * (len(text) > 9000))
+    for size in ("1g", "5000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = sorted((r.path.rsplit("/", 1)[1], r.row, r.text) for r in files.load_csv(spark, str(tmp_path)).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        wanted = []
+        for name in made:
+            table = csv.DictReader(io.StringIO((tmp_path / name).read_bytes().decode("utf-8-sig", errors="replace")))
+            wanted += [(name, i, "\n".join(f"{(k or '').strip()}: {(v if isinstance(v, str) else ', '.join(v or [])).strip()}" for k, v in r.items())) for i, r in enumerate(table)]
+        assert len(found) > 6000 and found == sorted(wanted)
+    plan = files.load_csv(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "MapInArrow" in plan
+
+
 def test_collections(spark, tmp_path):
     store, model = Collections(spark, f"{tmp_path}/store"), HashEmbedder(8)
     chunks = spark.createDataFrame([(1, "red apples"), (2, "green pears"), (3, "")], "chunk_id long, chunk_text string")
