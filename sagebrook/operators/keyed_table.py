@@ -43,7 +43,9 @@ class KeyedTable:
         return rows.drop(_BUCKET)
 
     def append(self, rows: DataFrame) -> None:
-        rows.withColumn(_BUCKET, self._bucket(F.col(self.key))).write.mode("append").partitionBy(_BUCKET).parquet(self.path)
+        """Rows are dealt to their buckets first, so that a bucket gets files by its size, not one of
+        every task."""
+        rows.withColumn(_BUCKET, self._bucket(F.col(self.key))).hint("rebalance", _BUCKET).write.mode("append").partitionBy(_BUCKET).parquet(self.path)
 
     def change(self, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> None:
         """Put what ``new`` makes of the rows of some buckets, those that the keys (a table with the
@@ -57,7 +59,7 @@ class KeyedTable:
         filled = {r[0] for r in out.select(_BUCKET).distinct().collect()}
         if not filled <= set(touched):
             raise ValueError("rows of keys that weren't to be changed")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(self.path)
+        out.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(self.path)
         for bucket in set(touched) - filled:
             system, where = self._folder(f"{self.path}/{_BUCKET}={bucket}")
             system.delete(where, True)
