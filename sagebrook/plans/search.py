@@ -13,6 +13,7 @@ from ..operators.common import small
 from ..operators.dense import nearest
 from ..operators.fusion import greedy_dedup, reciprocal_rank_fusion, rerank, text_key, within_budget
 from ..operators.sparse import search
+from ..operators.text_index import TextIndex
 
 #: Own wording of the prompt, by language.
 TEMPLATES = {
@@ -28,18 +29,20 @@ def filled(template: Column, **values: Column) -> Column:
     return template
 
 
-def hybrid(spark: SparkSession, vectors: DataFrame, texts: DataFrame, queries: DataFrame, *, candidates: int = 30, k: int = 60) -> DataFrame:
+def hybrid(spark: SparkSession, vectors: DataFrame, texts: DataFrame, queries: DataFrame, *, candidates: int = 30, k: int = 60, index: TextIndex | None = None) -> DataFrame:
     """(query_id, key, score, rank): dense and sparse rankings of ``candidates`` rows each, fused.
     ``queries`` is (query_id, vector, terms); keys are ids. If one ranking of a query is empty, the
-    other one stands as it is, with its own scores, deduplicated by text."""
+    other one stands as it is, with its own scores, deduplicated by text. With an index of ``texts``
+    these are searched there."""
     dense = nearest(spark, vectors, queries.where("vector is not null").select("query_id", "vector"), candidates)
-    sparse = search(texts, queries.select("query_id", "terms").where("size(terms) > 0"), candidates)
+    worded = queries.select("query_id", "terms").where("size(terms) > 0")
+    sparse = search(texts, worded, candidates) if index is None else index.search(worded, candidates)
     dense, sparse = (x.withColumnRenamed("id", "key").checkpoint() for x in (dense, sparse))
     both = dense.select("query_id").distinct().join(sparse.select("query_id").distinct(), "query_id")
     fused = reciprocal_rank_fusion(dense.join(both, "query_id", "left_semi"), sparse.join(both, "query_id", "left_semi"), k=k, limit=candidates)
     alone = dense.unionByName(sparse).join(both, "query_id", "left_anti")
-    worded = alone.join(texts.select(F.col("doc_id").alias("key"), text_key(F.col("text")).alias("_t")), "key", "left")
-    single = greedy_dedup(worded, ["key", "_t"], order=[-F.col("score"), F.col("key")], limit=candidates)
+    alone = alone.join(texts.select(F.col("doc_id").alias("key"), text_key(F.col("text")).alias("_t")), "key", "left")
+    single = greedy_dedup(alone, ["key", "_t"], order=[-F.col("score"), F.col("key")], limit=candidates)
     return fused.unionByName(single.select("query_id", "key", "score", F.col("kept_rank").alias("rank")))
 
 
