@@ -30,6 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of a batch that a Python worker gets, whose rows may be texts of any length.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers of the session get batches of BATCH_BYTES at most, or less where it says so."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)

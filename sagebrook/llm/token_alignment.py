@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, least_hashes
+from .common import Workspace, least_hashes, small_batches
 
 #: Pieces that a worker remembers (some 100 MB), the longest of them, and those that are looked at together.
 REMEMBERED, LONGEST, UNIT = 250_000, 200, 20_000
 #: Pairs of ids that are sent to tasks (17 bytes each), and entries of a product made at once.
 HELD, BLOCK = 1_000_000, 1 << 21
-#: Characters of text in one batch of results, and links whose pairs are counted before they are handed on.
-AT_ONCE, COUNTED = 1 << 20, 1 << 21
+#: Characters of text in one batch of results, and links, then distinct pairs of them, that a task counts before it hands them on.
+AT_ONCE, COUNTED = 1 << 20, 1 << 18
 
 
 class Rows:
@@ -123,12 +123,29 @@ class Tokenizer:
         else:
             raise ValueError(f"neither .json nor .model: {path}")
         self.lengths = np.array(list(map(len, self.bytes)), np.int64)
-
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
-        """``pieces`` begin with the space; a .model adds it by itself."""
+        self.joins = self.json and self.splits and bool(self.lengths.all())
+
+    def __call__(self, pieces: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``pieces``, one after the other, and how many each has. They begin with the space,
+        which a .model adds by itself; ``sizes`` are their bytes."""
+        if self.joins and len(pieces) > 1:
+            # What may follow each other in a text is encoded as one.
+            runs: list[list[str]] = [[]]
+            for p in pieces:
+                if runs[-1] and (p[1:2].isspace() or runs[-1][-1][-1].isspace()):
+                    runs.append([])
+                runs[-1].append(p)
+            ids = np.concatenate([np.array(x.ids, np.int64) for x in self.library.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False)])
+            ends, upto = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
+            at = np.searchsorted(ends, upto)
+            if len(ends) and ends[-1] == upto[-1] and (ends[at] == upto).all():
+                return ids, np.diff(at + 1, prepend=0)
         if self.json:
-            return [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        return self.library.encode([p[1:] for p in pieces], num_threads=1)
+            lists = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        else:
+            lists = self.library.encode([p[1:] for p in pieces], num_threads=1)
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
 class Aligned:
@@ -138,9 +155,9 @@ class Aligned:
         raw = [p.encode() for p in pieces]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ids, n, given = [], [], []
-        for of, lists in ((a, a(pieces)), (b, b(pieces))):
-            n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(n[-1].sum())))
+        for of in (a, b):
+            for said, x in zip((ids, n), of(pieces, size), strict=True):
+                said.append(x)
             upto = np.append(0, np.cumsum(of.lengths[ids[-1]]))[np.append(0, np.cumsum(n[-1]))]
             given.append((b"".join(map(of.bytes.__getitem__, ids[-1].tolist())), upto))
         same = np.logical_and.reduce([np.diff(upto) == size for _, upto in given])
@@ -165,6 +182,17 @@ class Aligned:
         return Rows.of(self.groups_a, self.n_groups).times(Rows.of(self.groups_b, self.n_groups).transposed())
 
 
+def written(ids: np.ndarray, marks: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Decimal ids, each with its mark behind it, and where each begins and the last ends."""
+    digits = np.zeros((len(ids), len(str(ids.max(initial=0))) + 1), np.uint8)
+    digits[:, -1], left = marks, ids.copy()
+    for k in range(digits.shape[1] - 2, -1, -1):
+        digits[:, k] = np.where((left > 0) | (k == digits.shape[1] - 2), 48 + left % 10, 0)
+        left //= 10
+    shown = digits != 0
+    return digits[shown].tobytes(), np.append(0, np.cumsum(shown.sum(axis=1)))
+
+
 _BLANKS = re.compile(r"\A\s| \s|\s |\s\Z")
 
 
@@ -215,12 +243,15 @@ class Aligner:
         last = np.searchsorted(x.links[0], upto[0])
         in_a, in_b = np.bincount(x.groups_a, minlength=x.n_groups), np.bincount(x.groups_b, minlength=x.n_groups)
         both = np.append(0, np.cumsum(in_a * in_b))
-        groups = [np.append(0, np.cumsum(n)).tolist() for n in (in_a, in_b)]
-        ids = [list(map(str, v.tolist())) for v in (x.a, x.b)]
-        words = [f"{','.join(ids[0][a:c])}|{','.join(ids[1][b:d])}" for a, c, b, d in zip(groups[0], groups[0][1:], groups[1], groups[1][1:])]  # noqa: B905
-        for i, piece in enumerate(pieces):
-            self.place[piece] = len(self.said)
-            self.said.append(";".join(words[last[i] : last[i + 1]]))
+        # Groups in words: a group's tokens of a, then those of b.
+        at = np.arange(len(x.a)) + np.append(0, np.cumsum(in_b))[x.groups_a], np.arange(len(x.b)) + np.cumsum(in_a)[x.groups_b]
+        ids, marks = np.zeros(len(x.a) + len(x.b), np.int64), np.full(len(x.a) + len(x.b), ord(","))
+        ids[at[0]], ids[at[1]] = x.a, x.b
+        marks[at[0][x.links[0]]], marks[at[1][x.links[1]]] = ord("|"), ord(";")
+        words, begins = written(ids, marks)
+        begins = begins[upto[0] + upto[1]].tolist()
+        self.place.update(zip(pieces, range(len(self.said), len(self.said) + len(pieces)), strict=True))
+        self.said += [words[i : max(i, j - 1)] for i, j in zip(begins, begins[1:])]  # noqa: B905
         self.numbers = np.concatenate([self.numbers, np.stack([x.same.astype(np.int64), x.n_a, x.n_b, np.diff(last), np.diff(both[last])], 1)])
         self.keys = np.concatenate([self.keys, x.a[x.links[0]] << 32 | x.b[x.links[1]]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + last[1:]])
@@ -253,7 +284,7 @@ class Aligner:
                 same[i] &= mine[:, 0].all()
                 numbers[i] += mine[:, 1:].sum(axis=0)
                 keys[i].append(self.pairs(at))
-                said = ";".join([self.said[k] for k in at.tolist()]).encode()
+                said = b";".join([self.said[k] for k in at.tolist()])
                 if digests[i] is None:
                     digests[i] = hashlib.sha256(said)
                 else:
@@ -300,6 +331,16 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             at = stop
 
 
+def summed(keys: np.ndarray, n: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and their counts, with those of ``more`` added."""
+    new, times = np.unique(np.concatenate([np.zeros(0, np.int64), *more]), return_counts=True)
+    keys, n = np.concatenate([keys, new]), np.concatenate([n, times])
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else by
+    return keys[first], np.add.reduceat(n[by], first) if len(keys) else n
+
+
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_shared long, groups_sha256 string, pairs array<long>, counts array<long>"
 
 
@@ -307,13 +348,14 @@ def _documents(a: str, b: str):
     """A row for each document, and rows without one that hold counts of id pairs."""
     names = [f.split()[0] for f in _ROW.split(", ")]
 
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
+    def counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         nulls = [pa.nulls(1, t) for t in (*[pa.int64()] * 6, pa.string())]
         return pa.RecordBatch.from_arrays([*nulls, pa.array([keys], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align, held = _aligner(a, b), []
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        counted = none
         for rows, texts in _some(batches):
             numbers, digests, keys = align(texts)
             pairs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in keys])), pa.int32()), pa.array(np.concatenate(keys)))
@@ -321,16 +363,20 @@ def _documents(a: str, b: str):
             yield pa.RecordBatch.from_arrays(columns, names=names)
             held += keys
             if sum(map(len, held)) > COUNTED:
-                yield counts(held)
-                held = []
-        if any(map(len, held)):
-            yield counts(held)
+                counted, held = summed(*counted, held), []
+                if len(counted[0]) > COUNTED:
+                    yield counts(*counted)
+                    counted = none
+        counted = summed(*counted, held)
+        if len(counted[0]):
+            yield counts(*counted)
 
     return run
 
 
 def _looked_up(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()  # a worker that aligned before needs its pieces no more
         keys, n, best = sent.value
         for batch in (whole.slice(k, 128) for whole in batches for k in range(0, whole.num_rows, 128)):
             pairs = batch.column("pairs")
@@ -358,6 +404,7 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, held: int = HELD
     table gives an empty result. Other columns are ignored. A task holds one text at a time beyond
     AT_ONCE characters. ``held`` changes the work, not the result.
     """
+    small_batches(spark)
     ws = Workspace(spark, "alignment")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = ws.save(rows.mapInArrow(_documents(a, b), _ROW), "documents")
@@ -417,5 +464,6 @@ def links(docs: DataFrame, a: str, b: str, kind: str = "overlap") -> DataFrame:
                         shared = pa.nulls(len(i), pa.int64()) if kind == "group" else pa.array(n, pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(i), pa.int64()), *map(pa.array, (i, j, x.a[i], x.b[j])), shared], names=["doc_id", "a_at", "b_at", "a_id", "b_id", "bytes"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, a_at long, b_at long, a_id long, b_id long, bytes long")

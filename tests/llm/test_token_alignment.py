@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -110,6 +112,58 @@ def test_forgetful_worker(spark, tokens, monkeypatch):
     assert len(again.place) <= 6
 
 
+def test_workers_get_small_batches(spark):
+    """Of long texts 10,000 rows are tens of MB, which a worker and the JVM would hold several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, most in (("64m", 4 << 20), ("1048576", 1 << 20)):
+            spark.conf.set(name, given)
+            assert found(spark, [(1, "a b", 0, 0)])[0][:3] == (1, 2, 2)
+            assert spark.conf.get(name) == str(most)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_counts_are_summed_in_workers(monkeypatch):
+    """A worker holds distinct pairs, not all links, and forgets its pieces when links are looked up."""
+    monkeypatch.setattr(token_alignment, "COUNTED", 40)
+    texts = ["one two three four"] * 500 + [f"number {i}" for i in range(200)]
+    rows = pa.RecordBatch.from_pydict({"row": list(range(700)), "doc_id": list(range(700)), "text": texts})
+    out = [r for b in token_alignment._documents(A, B)(rows.slice(k, 10) for k in range(0, 700, 10)) for r in b.to_pylist()]
+    links = Counter(x for r in out if r["row"] is not None for x in r["pairs"])
+    counted = [r for r in out if r["row"] is None]
+    total = Counter()
+    for r in counted:
+        assert len(r["pairs"]) == len(set(r["pairs"])) <= 200
+        total.update(dict(zip(r["pairs"], r["counts"], strict=True)))
+    assert total == links and len(counted) <= 1 + len(links) // 40
+    sent = SimpleNamespace(value=(np.array(sorted(links)), np.array([links[x] for x in sorted(links)]), np.ones(len(links), bool)))
+    looked = pa.RecordBatch.from_pydict({"row": [0], "pairs": [[*links]]}, schema=pa.schema({"row": pa.int64(), "pairs": pa.list_(pa.int64())}))
+    assert [x.to_pylist() for x in token_alignment._looked_up(sent)([looked])] == [[{"row": 0, "n_best": len(links), "count_sum": sum(links.values()), "rest": []}]]
+    assert not token_alignment._loaded
+
+
+def test_pieces_encoded_together():
+    """Pieces that may follow each other are one call's text; what each gives is as if alone."""
+    a, b = token_alignment.Tokenizer(A), token_alignment.Tokenizer(B)
+    pieces = sorted({p for t in HARD if t for p in token_alignment.pieces_of(t, True)}, key=hash)
+    sizes = np.array([len(p.encode()) for p in pieces])
+    for of in (a, b):
+        ids, n = of(pieces, sizes)
+        alone = [of([p], sizes[k : k + 1])[0].tolist() for k, p in enumerate(pieces)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == alone
+    given = []
+    a.library = SimpleNamespace(encode_batch_fast=lambda texts, **_: given.append(texts) or [SimpleNamespace(ids=[i for c in t.encode() for i in [a.bytes.index(bytes([c]))]]) for t in texts])
+    assert a([" a", " b", "  c", " d "], np.array([2, 2, 3, 3]))[1].tolist() == [2, 2, 3, 3] and given == [[" a b", "  c d "]]
+
+
+def test_ids_are_written():
+    for ids in ([], [0], [10, 0, 7, 50_000, 123_456], list(range(0, 70_000, 997))):
+        said, begins = token_alignment.written(np.array(ids, np.int64), np.full(len(ids), ord(",")))
+        assert said == "".join(f"{i}," for i in ids).encode() and np.diff(begins).tolist() == [len(str(i)) + 1 for i in ids]
+
+
 @pytest.mark.parametrize("block", [token_alignment.BLOCK, 3])
 def test_products(block, monkeypatch):
     monkeypatch.setattr(token_alignment, "BLOCK", block)
