@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagebrook import catalogue
-from sagebrook.operators import dense
+from sagebrook.operators import dense, sparse, text_index
 from sagebrook.operators.keyed_table import KeyedTable
 from sagebrook.operators.text_index import TextIndex
 from sagebrook.plans import search
@@ -75,3 +75,27 @@ def test_hybrid_search_by_an_index(spark, tmp_path, monkeypatch):
     index = TextIndex.build(spark, texts, f"file://{tmp_path}/i")
     monkeypatch.setattr(search, "search", lambda *_: pytest.fail("a scan of all texts"))
     assert sorted(map(tuple, search.hybrid(spark, vectors, texts, queries, candidates=5, index=index).collect())) == wanted and len(wanted) == 13
+
+
+@pytest.fixture
+def saved(monkeypatch):
+    """Rows of what a search of the index checkpoints."""
+    seen, of = [], text_index.kept
+    monkeypatch.setattr(text_index, "kept", lambda df: (out := of(df), seen.append(out.count()))[0])
+    return seen
+
+
+def _frequent(spark, n):
+    """Documents that all hold all terms, and queries of two of these."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 13:02} w{k:02}" for k in range(12)) + " x" * (i % 29), "en" if i % 2 else "de") for i in range(n)], "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame([(a * 100 + b, [f"w{a:02}", f"w{b:02}"]) for a in range(8) for b in range(8) if a != b], "query_id long, terms array<string>")
+
+
+def test_short_questions_without_pairs_of_blocks(spark, tmp_path, monkeypatch, saved):
+    """Frequent terms: no row is made for each query and each block, nor for each of their documents."""
+    monkeypatch.setattr(text_index, "BLOCK", 2)
+    docs, queries = _frequent(spark, 400)
+    index = TextIndex.build(spark, docs, f"file://{tmp_path}/i")
+    found = index.search(queries, 3).collect()
+    assert len(found) == 56 * 3 and max(saved) <= 56 * 3 * 8 + 8
+    assert sorted(map(tuple, found)) == sorted(map(tuple, sparse.search(docs, queries, 3).select("query_id", "id", "score", "rank").collect()))
