@@ -99,3 +99,12 @@ def test_short_questions_without_pairs_of_blocks(spark, tmp_path, monkeypatch, s
     found = index.search(queries, 3).collect()
     assert len(found) == 56 * 3 and max(saved) <= 56 * 3 * 8 + 8
     assert sorted(map(tuple, found)) == sorted(map(tuple, sparse.search(docs, queries, 3).select("query_id", "id", "score", "rank").collect()))
+
+
+def test_prompts_get_what_is_within_the_budget(spark, sf_dir, monkeypatch):
+    """Texts that a prompt has no room for aren't joined to it."""
+    seen, of = [], search.prompts
+    monkeypatch.setattr(catalogue.search, "prompts", lambda rows, *a, **b: (seen.extend(rows.groupBy("query_id").agg(F.sum(F.length("text")).alias("all"), F.count("*").alias("n")).collect()), of(rows, *a, **b))[1])
+    monkeypatch.setattr(catalogue, "S", catalogue.Settings(context_chars=500))
+    catalogue.answer_prompts(spark, sf_dir).collect()
+    assert seen and all(r["all"] <= 500 or r.n == 1 for r in seen)
