@@ -101,6 +101,16 @@ def test_short_questions_without_pairs_of_blocks(spark, tmp_path, monkeypatch, s
     assert sorted(map(tuple, found)) == sorted(map(tuple, sparse.search(docs, queries, 3).select("query_id", "id", "score", "rank").collect()))
 
 
+def test_filtered_search_passes_on_the_best(spark, tmp_path, monkeypatch, saved):
+    """With a filter, too, a task passes on no more than a query's best rows."""
+    docs, queries = _frequent(spark, 400)
+    index = TextIndex.build(spark, docs, f"file://{tmp_path}/i")
+    only = docs.where("lang = 'en'")
+    found = index.search(queries, 3, among=only).collect()
+    assert len(found) == 56 * 3 and max(n for n in saved if n != 200) <= 56 * 3 * 8 + 8
+    assert sorted(map(tuple, found)) == sorted(map(tuple, sparse.search(only, queries, 3).select("query_id", "id", "score", "rank").collect()))
+
+
 def test_prompts_get_what_is_within_the_budget(spark, sf_dir, monkeypatch):
     """Texts that a prompt has no room for aren't joined to it."""
     seen, of = [], search.prompts
