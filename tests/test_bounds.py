@@ -111,6 +111,18 @@ def test_filtered_search_passes_on_the_best(spark, tmp_path, monkeypatch, saved)
     assert sorted(map(tuple, found)) == sorted(map(tuple, sparse.search(only, queries, 3).select("query_id", "id", "score", "rank").collect()))
 
 
+def _bytes(folder, name):
+    return sum(f.stat().st_size for f in Path(folder, name).rglob("*.parquet"))
+
+
+def test_an_index_is_smaller_than_its_texts(spark, sf_dir, tmp_path):
+    """What a build writes and shuffles: tokens once for a block, without positions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    TextIndex.build(spark, docs.select("doc_id", "text").coalesce(1), f"file://{tmp_path}/i")
+    parts = {p.name for p in (tmp_path / "i").iterdir() if p.is_dir()}
+    assert sum(_bytes(tmp_path / "i", p) for p in parts - {"texts"}) < _bytes(tmp_path / "i", "texts")
+
+
 def test_prompts_get_what_is_within_the_budget(spark, sf_dir, monkeypatch):
     """Texts that a prompt has no room for aren't joined to it."""
     seen, of = [], search.prompts
