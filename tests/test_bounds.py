@@ -130,3 +130,12 @@ def test_prompts_get_what_is_within_the_budget(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalogue, "S", catalogue.Settings(context_chars=500))
     catalogue.answer_prompts(spark, sf_dir).collect()
     assert seen and all(r["all"] <= 500 or r.n == 1 for r in seen)
+
+
+def test_texts_of_candidates_stay_in_their_task(spark, tmp_path):
+    """A whole text as a query is compared where the documents are; only what is found leaves the task."""
+    docs = spark.createDataFrame([(i, f"tree w{i % 3} river house " + "x " * (i % 2)) for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, ["tree", "w1", "river", "house"]), (2, ["tr", "w2", "ri"])], "query_id long, terms array<string>")
+    found = TextIndex.build(spark, docs, f"file://{tmp_path}/i").scored(queries)
+    assert "split(words" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sparse.scored(docs, queries).select("query_id", "id", "score").collect()))
